@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from creditmill.operators.coercion import coerce_loans, fingerprint_id, stored_columns
 from creditmill.operators.dedup import first_occurrences
+from creditmill.operators.retrieval import chunk_texts
 from creditmill.plans.feature_table import build_feature_table
 from creditmill.session import spread, stage
 
@@ -183,6 +184,17 @@ class Samples:
     def applicant_keys(self) -> DataFrame:
         return self.applicants().select("row_no", F.col("id").alias("applicant_id"))
 
+    def stored_applicants(self) -> DataFrame:
+        """The applicants of ``loan_existing``, with their key."""
+        return self.loan_existing().withColumn("id", fingerprint_id())
+
+    def documents(self) -> DataFrame:
+        """Retrieval documents: every text of ``documents`` in chunks."""
+        texts = self.table("documents").select("doc_id", F.col("source").alias("source_name"), "text")
+        chunks = chunk_texts(texts, "text")
+        key = F.concat_ws("-", F.lit("document"), F.col("doc_id"), F.col("chunk_index"))
+        return chunks.withColumn("id", key)
+
     def models(self) -> DataFrame:
         return self._sql(MODELS, supplier=self.table("supplier"))
 

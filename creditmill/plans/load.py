@@ -26,7 +26,7 @@ from creditmill.session import stage
 from creditmill.sources.store import BatchExistsError, LoanStore
 from creditmill.sources.tables import APPLICANTS, FEATURES
 
-_OK = F.col("storable")
+_STORABLE = "storable"
 
 
 class RejectedRowsError(ValueError):
@@ -64,11 +64,11 @@ def plan_load(features: DataFrame, stored: DataFrame, config: LoadConfig = LoadC
     """
     incoming = coerce_loans(features, config)
     order = order_column(features)
-    firsts = first_occurrences(stored_columns(incoming.where(_OK), order), order)
+    firsts = first_occurrences(stored_columns(incoming.where(_STORABLE), order), order)
     new_rows = not_stored(firsts, stored).withColumns(
         {"applicant_id": fingerprint_id(), "features_id": fingerprint_id("features")}
     )
-    return LoadPlan(incoming, explain_rejects(incoming.where(~_OK)), new_rows)
+    return LoadPlan(incoming, explain_rejects(incoming.where(~F.col(_STORABLE))), new_rows)
 
 
 def load_counters(plan: LoadPlan, stored: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def load_counters(plan: LoadPlan, stored: DataFrame) -> DataFrame:
     Rows are counted per fingerprint before the shuffle, so the batch is read
     once and a repeated fingerprint weighs as much as any other.
     """
-    groups = plan.incoming.groupBy(*KEYS, _OK.alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+    groups = plan.incoming.groupBy(*KEYS, F.col(_STORABLE).alias("valid")).agg(F.count(F.lit(1)).alias("n"))
     known = distinct_fingerprints(stored).withColumn("known", F.lit(True))
     counted = groups.join(known, KEYS, "left")
     valid, is_known = F.col("valid"), F.col("known").isNotNull()
@@ -95,7 +95,7 @@ def chunk_counters(plan: LoadPlan, chunk_size: int = LoadConfig.chunk_size) -> D
     """The same counts per chunk of ``chunk_size`` consecutive row numbers."""
     chunk = F.floor(F.col("row_no") / chunk_size).alias("chunk_no")
     tagged = plan.incoming.select(
-        chunk, F.lit(1).alias("total"), (~_OK).cast("int").alias("rejected"), F.lit(0).alias("inserted")
+        chunk, F.lit(1).alias("total"), (~F.col(_STORABLE)).cast("int").alias("rejected"), F.lit(0).alias("inserted")
     ).unionByName(
         plan.new_rows.select(
             chunk, F.lit(0).alias("total"), F.lit(0).alias("rejected"), F.lit(1).alias("inserted")
@@ -139,7 +139,7 @@ def load_features(
         raise BatchExistsError(batch_id)
     plan = plan_load(features, store.read(APPLICANTS.name), config)
     totals = plan.incoming.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(~_OK).alias("rejected")
+        F.count(F.lit(1)).alias("total"), F.count_if(~F.col(_STORABLE)).alias("rejected")
     ).first()
     total, rejected = totals["total"], totals["rejected"]
     if rejected and config.strict:
