@@ -141,7 +141,7 @@ class Samples:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
         text = text.replace("{series}", "explode(sequence(1, 5))")
@@ -151,7 +151,9 @@ class Samples:
         return self.spark.sql(text, **frames)
 
     def loan_raw(self) -> DataFrame:
-        return self._sql(LOAN_RAW, orders=self.table("orders"), customer=self.table("customer"))
+        return self._sql(
+            LOAN_RAW, orders=spread(self.table("orders")), customer=self.table("customer")
+        )
 
     def features(self) -> DataFrame:
         """The feature table as a written table, which is what the load starts from.
@@ -190,7 +192,7 @@ class Samples:
 
     def documents(self) -> DataFrame:
         """Retrieval documents: every text of ``documents`` in chunks."""
-        texts = self.table("documents").select("doc_id", F.col("source").alias("source_name"), "text")
+        texts = spread(self.table("documents")).select("doc_id", F.col("source").alias("source_name"), "text")
         chunks = chunk_texts(texts, "text")
         key = F.concat_ws("-", F.lit("document"), F.col("doc_id"), F.col("chunk_index"))
         return chunks.withColumn("id", key)
@@ -200,16 +202,16 @@ class Samples:
 
     def predictions(self) -> DataFrame:
         return self._sql(
-            PREDICTIONS, lineitem=self.table("lineitem"), applicant_keys=self.applicant_keys()
+            PREDICTIONS, lineitem=spread(self.table("lineitem")), applicant_keys=self.applicant_keys()
         )
 
     def explanations(self) -> DataFrame:
-        return self._sql(EXPLANATIONS, lineitem=self.table("lineitem"))
+        return self._sql(EXPLANATIONS, lineitem=spread(self.table("lineitem")))
 
     def explanation_chunks(self) -> DataFrame:
         return self._sql(
-            EXPLANATION_CHUNKS, lineitem=self.table("lineitem"), documents=self.table("documents")
+            EXPLANATION_CHUNKS, lineitem=spread(self.table("lineitem")), documents=self.table("documents")
         )
 
     def assessments(self) -> DataFrame:
-        return self._sql(ASSESSMENTS, lineitem=self.table("lineitem"))
+        return self._sql(ASSESSMENTS, lineitem=spread(self.table("lineitem")))

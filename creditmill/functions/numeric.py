@@ -11,36 +11,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditmill.functions.text import strip
-
-_INFINITY = [sign + word for word in ("inf", "infinity") for sign in ("", "+", "-")]
-
-
-def nan_to_null(value: Column) -> Column:
-    return F.when(~F.isnan(value), value)
-
+from creditmill.functions.text import WHITESPACE, strip
+
+# The cast alone would also read "1d", "2f", "nan" and hexadecimal floats. A plain
+# number ends in a digit or a point and has no "x", which is far cheaper to test
+# than a regular expression; infinity may be spelled out.
+_NUMBER = """
+try_cast(CASE
+  WHEN (substring({text}, -1, 1) BETWEEN '0' AND '9' OR endswith({text}, '.'))
+       AND NOT contains({text}, 'x') AND NOT contains({text}, 'X')
+    OR lower({text}) IN ('inf', '+inf', '-inf', 'infinity', '+infinity', '-infinity')
+  THEN {text} END AS double)
+"""
 
-def parse_number(text: Column) -> Column:
-    """Text to double; anything that is not a plain number becomes null.
 
-    The cast alone would also read "1d", "2f", "nan" and hexadecimal floats. A
-    plain number ends in a digit or a point and has no "x", which is far cheaper
-    to test than a regular expression.
-    """
-    bare = strip(text)
-    plain = F.substring(bare, -1, 1).isin(*"0123456789.") & ~(
-        bare.contains("x") | bare.contains("X")
-    )
-    return F.when(plain | F.lower(bare).isin(*_INFINITY), bare).try_cast("double")
+def parse_number(name: str) -> Column:
+    """A text column as double; anything that is not a plain number becomes null."""
+    return F.expr(_NUMBER.format(text=f"btrim(`{name}`, '{WHITESPACE}')"))
 
 
 def as_double(df: DataFrame, name: str) -> Column:
     """A column as double without NaN, whatever the source stored it as."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        return parse_number(F.col(name))
+        return parse_number(name)
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return nan_to_null(F.col(name).cast("double"))
+        return F.expr(f"CASE WHEN NOT isnan(`{name}`) THEN double(`{name}`) END")
     return F.col(name).cast("double")
 
 
@@ -58,21 +54,17 @@ def floor_at_zero(value: Column) -> Column:
     return F.when(value < 0, F.lit(0.0)).otherwise(value)
 
 
-def is_infinite(value: Column) -> Column:
-    return F.abs(value) == F.lit(float("inf"))
-
-
-def to_decimal(value: Column, precision: int, scale: int) -> Column:
-    """Double without NaN to decimal(p,s), half up; what does not fit gives null.
+def to_decimal(value: Column, kind: str) -> Column:
+    """Double to a decimal type, half up; NaN and what does not fit give null.
 
     The detour over ten decimals makes the rounding follow the printed value
     (2208.075 gives 2208.08) instead of its binary neighbour.
     """
-    return value.try_cast("decimal(38,10)").try_cast(f"decimal({precision},{scale})")
+    return value.try_cast("decimal(38,10)").try_cast(kind)
 
 
 def to_int(value: Column, kind: str = "int") -> Column:
-    """Double without NaN to an integer type, towards zero; what does not fit gives null."""
+    """Double to an integer type, towards zero; NaN and what does not fit give null."""
     return value.try_cast(kind)
 
 

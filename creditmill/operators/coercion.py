@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditmill.config import EDUCATION_SYNONYMS, INTENT_SYNONYMS, LoadConfig
-from creditmill.functions.numeric import as_double, is_infinite, nan_to_null, to_bool, to_decimal, to_int
+from creditmill.functions.numeric import as_double, to_bool, to_decimal, to_int
 from creditmill.functions.text import only_in, recode, strip
 from creditmill.operators.quality import row_violations
 from creditmill.sources.tables import APPLICANTS, FEATURES, Field, Table
@@ -54,11 +50,10 @@ def _coerced(df: DataFrame, field: Field) -> Column:
         return only_in(recode(text, _SYNONYMS.get(field.name, {})), field.domain)
     if field.type == "boolean":
         return to_bool(df, field.name)
-    number = nan_to_null(column.cast("double"))
     if field.type in _INTEGERS:
-        return to_int(number, field.type)
+        return to_int(column, field.type)
     if field.type.startswith("decimal"):
-        return to_decimal(number, *map(int, re.findall(r"\d+", field.type)))
+        return to_decimal(column, field.type)
     return column.cast("string")
 
 
@@ -94,17 +89,17 @@ def _given(field: Field) -> str:
     return f"given_{field.name}"
 
 
-def _does_not_fit(field: Field) -> Column:
+def _does_not_fit(field: Field) -> str:
     """A number was given but its column cannot hold it.
 
     Infinity in a decimal column is only a missing value; in an integer column
     it makes the row unusable.
     """
-    given = nan_to_null(F.col(_given(field)).cast("double"))
-    present = given.isNotNull()
+    given = f"double(`{_given(field)}`)"
+    present = f"isnotnull({given}) AND NOT isnan({given})"
     if field.type not in _INTEGERS:
-        present = present & ~is_infinite(given)
-    return present & F.col(field.name).isNull()
+        present += f" AND abs({given}) < double('Infinity')"
+    return f"({present} AND isnull(`{field.name}`))"
 
 
 def coerce_loans(df: DataFrame, config: LoadConfig = LoadConfig()) -> DataFrame:
@@ -122,17 +117,17 @@ def coerce_loans(df: DataFrame, config: LoadConfig = LoadConfig()) -> DataFrame:
         coerce_features, config.default_version
     )
     fields = _stored(APPLICANTS) + _stored(FEATURES)
-    holds = [F.col(f.name).isNotNull() for f in fields if f.required]
-    holds += [~_does_not_fit(f) for f in _NUMBERS if not f.required]
+    holds = [f"isnotnull(`{f.name}`)" for f in fields if f.required]
+    holds += [f"NOT {_does_not_fit(f)}" for f in _NUMBERS if not f.required]
     holds += [
-        F.coalesce(F.length(f.name) <= f.max_length, F.lit(True)) for f in fields if f.max_length
+        f"coalesce(length(`{f.name}`) <= {f.max_length}, true)" for f in fields if f.max_length
     ]
-    return typed.withColumn("storable", reduce(and_, holds))
+    return typed.withColumn("storable", F.expr(" AND ".join(holds)))
 
 
 def explain_rejects(coerced: DataFrame) -> DataFrame:
     """Add ``violations``, the reasons why a coerced row cannot be stored."""
-    misfits = [F.when(_does_not_fit(f), F.lit(f"{f.name}: out of range")) for f in _NUMBERS]
+    misfits = [F.when(F.expr(_does_not_fit(f)), F.lit(f"{f.name}: out of range")) for f in _NUMBERS]
     rules = F.concat(
         F.filter(F.array(*misfits), lambda rule: rule.isNotNull()),
         row_violations(APPLICANTS, skip=_GIVEN),

@@ -8,7 +8,7 @@ with ``fit_risk_baseline`` and enter the projection as constants.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -182,29 +182,41 @@ def fit_medians(cleaned: DataFrame, config: FeatureConfig = _DEFAULT) -> RiskBas
     return RiskBaseline(medians["rate"], medians["score"])
 
 
-def fit_risk_baseline(cleaned: DataFrame, config: FeatureConfig = _DEFAULT) -> RiskBaseline:
-    """Both medians, then the threshold of the composite score built on them.
+def fit_threshold(scored: DataFrame, config: FeatureConfig = _DEFAULT) -> float | None:
+    """Threshold of the composite score.
 
     Seven signals give the score at most 2^7 values, so the built-in exact
     percentile keeps a table of at most that many counts per task.
     """
+    quantile = F.lit(config.high_risk_quantile)
+    return scored.agg(F.percentile("composite_risk_score", quantile)).first()[0]
+
+
+def fit_risk_baseline(cleaned: DataFrame, config: FeatureConfig = _DEFAULT) -> RiskBaseline:
+    """Both medians, then the threshold of the composite score built on them."""
     medians = fit_medians(cleaned, config)
-    threshold = (
-        _scored(cleaned, medians, config)
-        .agg(F.percentile("composite_risk_score", F.lit(config.high_risk_quantile)))
-        .first()[0]
-    )
-    return RiskBaseline(medians.median_rate, medians.median_score, threshold)
+    return replace(medians, risk_threshold=fit_threshold(_scored(cleaned, medians, config), config))
 
 
-def engineer_features(
-    cleaned: DataFrame, baseline: RiskBaseline, config: FeatureConfig = _DEFAULT
-) -> DataFrame:
-    """All engineered columns next to the cleaned ones: a projection, no shuffle."""
+def _completed(scored: DataFrame, baseline: RiskBaseline, config: FeatureConfig) -> DataFrame:
     return (
-        _scored(cleaned, baseline, config)
-        .transform(with_risk_flag, baseline)
+        scored.transform(with_risk_flag, baseline)
         .transform(with_homeownership, config)
         .transform(with_intent_risk, config)
         .transform(with_version, config.version)
     )
+
+
+def engineer_features(
+    cleaned: DataFrame, baseline: RiskBaseline, config: FeatureConfig = _DEFAULT
+) -> DataFrame:
+    """All engineered columns next to the cleaned ones: a projection, no shuffle."""
+    return _completed(_scored(cleaned, baseline, config), baseline, config)
+
+
+def fit_and_engineer(cleaned: DataFrame, config: FeatureConfig = _DEFAULT) -> DataFrame:
+    """``fit_risk_baseline`` and ``engineer_features`` in one go."""
+    medians = fit_medians(cleaned, config)
+    scored = _scored(cleaned, medians, config)
+    baseline = replace(medians, risk_threshold=fit_threshold(scored, config))
+    return _completed(scored, baseline, config)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from creditmill.config import FeatureConfig
 from creditmill.operators.cleaning import clean_loans
-from creditmill.operators.features import engineer_features, fit_risk_baseline, select_features
+from creditmill.operators.features import fit_and_engineer, select_features
 from creditmill.session import stage
 from creditmill.sources.files import load_raw, read_features, write_features
 
@@ -19,9 +19,7 @@ def build_feature_table(
     Two narrow passes fit the statistics (two and seven columns of a columnar
     source); the returned frame is a single projection over the input.
     """
-    cleaned = clean_loans(raw, config)
-    baseline = fit_risk_baseline(cleaned, config)
-    return select_features(engineer_features(cleaned, baseline, config), extra)
+    return select_features(fit_and_engineer(clean_loans(raw, config), config), extra)
 
 
 def run_features(
@@ -37,7 +35,6 @@ def run_features(
     folder, and all three passes read their columns from there.
     """
     cleaned = stage(clean_loans(load_raw(spark, input_path), config), "cleaned-loans")
-    baseline = fit_risk_baseline(cleaned, config)
-    table = select_features(engineer_features(cleaned, baseline, config))
+    table = select_features(fit_and_engineer(cleaned, config))
     write_features(table, output_path, fmt)
     return read_features(spark, output_path, fmt)
