@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditmill.functions.text import strip
+from creditmill.session import stage
 
 CHUNK_SIZE = 512
 CHUNK_OVERLAP = 64
@@ -28,7 +29,9 @@ def chunk_texts(
     """One row per chunk of ``size`` blank-separated tokens, sharing ``overlap`` with the next.
 
     The chunks of a text are cut inside its row and only then exploded, so the
-    token list is not copied once per chunk.
+    token list is not copied once per chunk. A text with a token has a chunk, so
+    the outer form of explode adds no rows; it keeps the optimizer from adding a
+    "not empty" filter that would cut every text a second time.
     """
     tokens = F.split(strip(F.col(text)), r"[ \t\n\r\f]+")
     kept = [name for name in documents.columns if name != text]
@@ -44,7 +47,7 @@ def chunk_texts(
     )
     return (
         cut.withColumn("_pieces", pieces)
-        .select(*kept, F.posexplode("_pieces").alias("chunk_index", "_piece"))
+        .select(*kept, F.posexplode_outer("_pieces").alias("chunk_index", "_piece"))
         .select(*kept, "chunk_index", "_piece.*")
     )
 
@@ -62,11 +65,13 @@ def tfidf_weights(chunks: DataFrame, key: str, text: str) -> DataFrame:
     however many chunks there are. Those are broadcast; every other term has
     only a small share of the rows and is joined by shuffling.
     """
+    found = chunks.select(key, F.explode_outer(terms(F.col(text))).alias("term"))
     counted = (
-        chunks.select(key, F.explode(terms(F.col(text))).alias("term"))
+        found.where(F.col("term").isNotNull())
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+    counted = stage(counted, "term-counts")
     size = chunks.count()
     idf = (
         counted.groupBy("term")
@@ -80,7 +85,7 @@ def tfidf_weights(chunks: DataFrame, key: str, text: str) -> DataFrame:
     other_rows = counted.join(F.broadcast(frequent.select("term")), "term", "left_anti")
     weight = (F.col("tf") * F.col("idf")).alias("weight")
     return (
-        common_rows.unionByName(other_rows.join(rare, "term")).select(key, "term", "idf", weight)
+        common_rows.unionByName(other_rows.join(rare, "term")).select(key, "term", weight)
     )
 
 
@@ -91,18 +96,14 @@ def tfidf_vectors(chunks: DataFrame, key: str, text: str) -> DataFrame:
     """
     weights = tfidf_weights(chunks, key, text)
     grouped = weights.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("entries")
-    )
-    squares = F.aggregate(
-        "entries", F.lit(0.0), lambda total, e: total + e["weight"] * e["weight"]
+        F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("entries"),
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
     )
     scaled = F.transform(
         "entries",
         lambda e: F.struct(e["term"].alias("key"), (e["weight"] / F.col("norm")).alias("value")),
     )
-    return grouped.withColumn("norm", F.sqrt(squares)).select(
-        key, F.map_from_entries(scaled).alias("tfidf_vector")
-    )
+    return grouped.select(key, F.map_from_entries(scaled).alias("tfidf_vector"))
 
 
 def _ranked(scored: DataFrame, key: str, k: int) -> DataFrame:

@@ -47,7 +47,7 @@ def spread(df: DataFrame) -> DataFrame:
     large input has more splits than cores and is returned unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
