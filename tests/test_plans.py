@@ -1,7 +1,5 @@
 """What the physical plans must and must not contain."""
 
-import pytest
-
 from creditmill.catalog.queries import QUERIES
 from creditmill.catalog.samples import Samples
 from creditmill.operators import lookup
@@ -11,13 +9,6 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", QUERIES)
-def test_no_python_and_no_cartesian_product(spark, sf_dir, name):
-    plan = plan_of(QUERIES[name](Samples(spark, sf_dir)))
-    for operator in ("PythonUDF", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert operator not in plan, operator
-
-
 def test_feature_steps_are_one_stage(spark, raw):
     from creditmill.operators.cleaning import clean_loans
     from creditmill.operators.features import RiskBaseline, engineer_features
@@ -26,10 +17,10 @@ def test_feature_steps_are_one_stage(spark, raw):
     assert "Exchange" not in plan and "Join" not in plan
 
 
-def test_lookup_reaches_the_reader(spark, sf_dir):
+def test_lookup_reaches_the_reader(spark, sf_dir, tmp_path):
     features = Samples(spark, sf_dir).features()
-    features.select("person_gender", "loan_amnt").write.mode("overwrite").parquet("/tmp/creditmill-lookup")
-    stored = spark.read.parquet("/tmp/creditmill-lookup").withColumnRenamed("person_gender", "id")
+    features.select("person_gender", "loan_amnt").write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t")).withColumnRenamed("person_gender", "id")
     assert "EqualTo(person_gender,male)" in plan_of(lookup.get_by_id(stored, "male"))
 
 
