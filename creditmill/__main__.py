@@ -6,6 +6,7 @@ import argparse
 from dataclasses import replace
 
 from creditmill.config import FeatureConfig, LoadConfig
+from creditmill.operators.coercion import coerce_loans
 from creditmill.operators.summary import summarise, summary_counts
 from creditmill.plans.feature_table import run_features
 from creditmill.plans.load import chunk_counters, load_features, plan_load
@@ -46,7 +47,8 @@ def main(argv: list[str] | None = None) -> None:
     rows = read_features(spark, args.input, args.format, with_order=True)
     store = LoanStore(spark, args.store)
     if args.chunk_size:
-        plan = plan_load(number_rows(rows), store.read("loan_applicants"), config)
+        coerced = coerce_loans(number_rows(rows), config)
+        plan = plan_load(coerced, store.read("loan_applicants"))
         chunk_counters(plan, args.chunk_size).orderBy("chunk_no").show(truncate=False)
     print(load_features(rows, store, config))
 

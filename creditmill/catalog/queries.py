@@ -19,7 +19,7 @@ from creditmill.operators.coercion import (
 from creditmill.operators.dedup import distinct_fingerprints, first_occurrences
 from creditmill.operators.summary import summarise, summary_counts, value_counts
 from creditmill.plans.feature_table import build_feature_table
-from creditmill.plans.load import chunk_counters, load_counters, plan_load
+from creditmill.plans.load import LoadPlan, chunk_counters, load_counters, plan_load
 from creditmill.sources import tables
 
 SCORES = ("policy_traceability", "factual_accuracy", "completeness", "actionability")
@@ -181,24 +181,27 @@ def load_dedup(s: Samples) -> DataFrame:
     return first_occurrences(typed.select("row_no", *keys))
 
 
+def _load_plan(s: Samples) -> LoadPlan:
+    return plan_load(coerce_loans(s.loan_batch()), s.loan_existing())
+
+
 def load_new_rows(s: Samples) -> DataFrame:
-    rows = plan_load(s.loan_batch(), s.loan_existing()).new_rows
+    rows = _load_plan(s).new_rows
     applicant = _columns(tables.APPLICANTS, "id", "created_at", "loan_grade")
     derived = _columns(tables.FEATURES, "id", "computed_at")
     return rows.select("row_no", *applicant, *derived)
 
 
 def load_totals(s: Samples) -> DataFrame:
-    stored = s.loan_existing()
-    return load_counters(plan_load(s.loan_batch(), stored), stored)
+    return load_counters(_load_plan(s), s.loan_existing())
 
 
 def load_chunks(s: Samples) -> DataFrame:
-    return chunk_counters(plan_load(s.loan_batch(), s.loan_existing()), 500)
+    return chunk_counters(_load_plan(s), 500)
 
 
 def load_rejects(s: Samples) -> DataFrame:
-    rejects = plan_load(s.loan_batch(), s.loan_existing()).rejects
+    rejects = _load_plan(s).rejects
     return rejects.select("row_no", F.explode("violations").alias("rule"))
 
 

@@ -19,8 +19,9 @@ CHUNK_SIZE = 512
 CHUNK_OVERLAP = 64
 TOP_K = 5
 
-# A term found in more than one of this many chunks counts as frequent.
-_FREQUENT_SHARE = 1000
+# A term with more than this share of all (chunk, term) pairs is frequent; shares
+# add up to one, so there are fewer frequent terms than this number.
+_FREQUENT_TERMS = 500_000
 
 
 def chunk_texts(
@@ -59,11 +60,12 @@ def terms(text: Column) -> Column:
 def tfidf_weights(chunks: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight) with idf applied, before normalisation.
 
-    The idf is joined by term, and frequent terms would pile up in one task. They
-    are few: a chunk has a bounded number of terms, so at most
-    ``terms per chunk x 1000`` terms can each be in a thousandth of all chunks,
-    however many chunks there are. Those are broadcast; every other term has
-    only a small share of the rows and is joined by shuffling.
+    The idf is joined by term, and frequent terms would pile up in one task.
+    A term is frequent when it holds more than 1/500,000 of all pairs. There are
+    fewer than 500,000 such terms whatever the texts, so those are broadcast;
+    any other term has at most that share of the rows and is joined by shuffling.
+    The pairs are read four times, so they are written out once and the texts
+    are split once.
     """
     found = chunks.select(key, F.explode_outer(terms(F.col(text))).alias("term"))
     counted = (
@@ -72,13 +74,13 @@ def tfidf_weights(chunks: DataFrame, key: str, text: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     counted = stage(counted, "term-counts")
-    size = chunks.count()
+    size, pairs = chunks.count(), counted.count()
     idf = (
         counted.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
         .withColumn("idf", F.log(F.lit(1.0 + size) / (F.col("df") + 1.0)) + 1.0)
     )
-    is_frequent = F.col("df") * _FREQUENT_SHARE > size
+    is_frequent = F.col("df") * _FREQUENT_TERMS > pairs
     frequent = idf.where(is_frequent).select("term", "idf")
     rare = idf.where(~is_frequent).select("term", "idf")
     common_rows = counted.join(F.broadcast(frequent), "term")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from creditmill.config import FeatureConfig
 from creditmill.operators.cleaning import clean_loans
 from creditmill.operators.features import fit_and_engineer, select_features
-from creditmill.session import stage
+from creditmill.session import staged
 from creditmill.sources.files import load_raw, read_features, write_features
 
 
@@ -34,7 +34,8 @@ def run_features(
     The text file is parsed once: the cleaned rows go to parquet in the shared
     folder, and all three passes read their columns from there.
     """
-    cleaned = stage(clean_loans(load_raw(spark, input_path), config), "cleaned-loans")
-    table = select_features(fit_and_engineer(cleaned, config))
-    write_features(table, output_path, fmt)
+    cleaned = clean_loans(load_raw(spark, input_path), config)
+    with staged(cleaned, "cleaned-loans") as cleaned:
+        table = select_features(fit_and_engineer(cleaned, config))
+        write_features(table, output_path, fmt)
     return read_features(spark, output_path, fmt)

@@ -22,7 +22,7 @@ from creditmill.operators.dedup import (
     not_stored,
 )
 from creditmill.operators.quality import rule_counts
-from creditmill.session import stage
+from creditmill.session import staged
 from creditmill.sources.store import BatchExistsError, LoanStore
 from creditmill.sources.tables import APPLICANTS, FEATURES
 
@@ -57,18 +57,17 @@ def order_column(df: DataFrame) -> str:
     raise ValueError("the load needs the row order: a row_no or row_order column")
 
 
-def plan_load(features: DataFrame, stored: DataFrame, config: LoadConfig = LoadConfig()) -> LoadPlan:
-    """Coerce, set aside what cannot be stored, keep first occurrences not stored yet.
+def plan_load(coerced: DataFrame, stored: DataFrame) -> LoadPlan:
+    """Split coerced rows: what cannot be stored, and first occurrences not stored yet.
 
     Fingerprints are compared as stored, that is after rounding, on both sides.
     """
-    incoming = coerce_loans(features, config)
-    order = order_column(features)
-    firsts = first_occurrences(stored_columns(incoming.where(_STORABLE), order), order)
+    order = order_column(coerced)
+    firsts = first_occurrences(stored_columns(coerced.where(_STORABLE), order), order)
     new_rows = not_stored(firsts, stored).withColumns(
-        {"applicant_id": fingerprint_id(), "features_id": fingerprint_id("features")}
+        {"applicant_id": fingerprint_id(), "features_id": fingerprint_id(FEATURES.name)}
     )
-    return LoadPlan(incoming, explain_rejects(incoming.where(~F.col(_STORABLE))), new_rows)
+    return LoadPlan(coerced, explain_rejects(coerced.where(~F.col(_STORABLE))), new_rows)
 
 
 def load_counters(plan: LoadPlan, stored: DataFrame) -> DataFrame:
@@ -132,35 +131,35 @@ def load_features(
     Loading the same rows again inserts nothing. A dry run does everything but
     write. In strict mode a row that cannot be stored stops the load before
     anything is written; otherwise such rows go to ``rejects`` with the reasons.
+
+    The input is read and coerced once, into a scratch copy. Each of the two
+    tables then shuffles only its own columns and the fingerprint; both keep the
+    same rows, since the first of each fingerprint is fixed by the row order.
     """
     run_ts = run_ts or datetime.now(timezone.utc)
     batch_id = batch_id or f"load-{run_ts:%Y%m%dT%H%M%S%f}"
     if store.is_published(batch_id):
         raise BatchExistsError(batch_id)
-    plan = plan_load(features, store.read(APPLICANTS.name), config)
-    totals = plan.incoming.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(~F.col(_STORABLE)).alias("rejected")
-    ).first()
-    total, rejected = totals["total"], totals["rejected"]
-    if rejected and config.strict:
-        reasons = rule_counts(plan.rejects).orderBy("rule").collect()
-        listed = ", ".join(f"{row['rule']} ({row['row_count']})" for row in reasons)
-        raise RejectedRowsError(f"{rejected} of {total} rows cannot be stored: {listed}")
-
-    if config.dry_run:
-        inserted = plan.new_rows.count()
-    else:
-        batch = stage(plan.new_rows, f"load-{batch_id}")
-        inserted = batch.count()
-        store.write(APPLICANTS.name, applicant_rows(batch, run_ts), batch_id)
-        store.write(FEATURES.name, feature_rows(batch, run_ts), batch_id)
-        if rejected:
-            plan.rejects.write.mode("overwrite").parquet(store.path("rejects", batch_id))
-        store.publish(
-            batch_id,
-            {APPLICANTS.name: inserted, FEATURES.name: inserted, "rejects": rejected},
-            run_ts,
-        )
+    order_column(features)
+    with staged(coerce_loans(features, config), f"load-{batch_id}") as coerced:
+        plan = plan_load(coerced, store.read(APPLICANTS.name))
+        totals = coerced.agg(
+            F.count(F.lit(1)).alias("total"), F.count_if(~F.col(_STORABLE)).alias("rejected")
+        ).first()
+        total, rejected = totals["total"], totals["rejected"]
+        if rejected and config.strict:
+            reasons = rule_counts(plan.rejects).orderBy("rule").collect()
+            listed = ", ".join(f"{row['rule']} ({row['row_count']})" for row in reasons)
+            raise RejectedRowsError(f"{rejected} of {total} rows cannot be stored: {listed}")
+        if config.dry_run:
+            inserted = plan.new_rows.count()
+        else:
+            inserted = store.write(APPLICANTS.name, applicant_rows(plan.new_rows, run_ts), batch_id)
+            store.write(FEATURES.name, feature_rows(plan.new_rows, run_ts), batch_id)
+            if rejected:
+                plan.rejects.write.mode("overwrite").parquet(store.path("rejects", batch_id))
+            counts = {APPLICANTS.name: inserted, FEATURES.name: inserted, "rejects": rejected}
+            store.publish(batch_id, counts, run_ts)
     return LoadResult(
         batch_id, total, inserted, total - rejected - inserted, rejected, config.dry_run
     )

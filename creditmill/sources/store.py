@@ -73,11 +73,12 @@ class LoanStore:
         if absent:
             self.publish("created", dict.fromkeys(absent, 0))
 
-    def write(self, name: str, rows: DataFrame, batch_id: str) -> None:
-        """Write a batch of a table without publishing it."""
-        table = TABLES[name]
+    def write(self, name: str, rows: DataFrame, batch_id: str) -> int:
+        """Write a batch of a table without publishing it; returns the rows written."""
+        table, path = TABLES[name], self.path(name, batch_id)
         columns = [F.col(f.name).cast(f.type).alias(f.name) for f in table.fields]
-        rows.select(*columns).write.mode("overwrite").parquet(self.path(name, batch_id))
+        rows.select(*columns).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(table.schema).parquet(path).count()
 
     def publish(
         self, batch_id: str, row_counts: Mapping[str, int], run_ts: datetime | None = None
@@ -103,10 +104,8 @@ class LoanStore:
         table = TABLES[name]
         typed = with_defaults(rows, table, run_ts)
         self._check(table, typed)
-        self.write(name, typed, batch_id)
-        written = self.spark.read.schema(table.schema).parquet(self.path(name, batch_id))
-        self.publish(batch_id, {name: written.count()}, run_ts)
-        return written
+        self.publish(batch_id, {name: self.write(name, typed, batch_id)}, run_ts)
+        return self.spark.read.schema(table.schema).parquet(self.path(name, batch_id))
 
     def create_applicants(self, rows: DataFrame, batch_id: str, run_ts=None) -> DataFrame:
         return self.append("loan_applicants", rows, batch_id, run_ts)

@@ -31,9 +31,9 @@ def brute_vectors():
     return vectors
 
 
-@pytest.mark.parametrize("share", [1, 1000])
-def test_tfidf(spark, monkeypatch, share):
-    monkeypatch.setattr(retrieval, "_FREQUENT_SHARE", share)  # 1: all terms rare; 1000: all frequent
+@pytest.mark.parametrize("limit", [1, 20, 500_000])
+def test_tfidf(spark, monkeypatch, limit):
+    monkeypatch.setattr(retrieval, "_FREQUENT_TERMS", limit)  # 1: no term is frequent; 500,000: all
     chunks = spark.createDataFrame(list(TEXTS.items()), "id string, text string")
     vectors = retrieval.tfidf_vectors(chunks, "id", "text")
     found = {r["id"]: r["tfidf_vector"] for r in vectors.collect()}
@@ -59,6 +59,13 @@ def test_chunks(spark, words):
     assert rows[-1]["chunk_text"].endswith(tokens[-1])
 
 
+def test_top_k_is_cut_before_the_shuffle(spark):
+    vectors = spark.range(100).select("id", F.array(F.col("id").cast("float"), F.lit(1.0)).alias("v"))
+    top = retrieval.vector_top_k(vectors, "id", "v", {"q": [0.0, 1.0]}, 2)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+
+
 def test_vector_top_k(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 2.0]), (4, [0.0, 0.0])], "id int, v array<float>")
     top = retrieval.vector_top_k(vectors, "id", "v", {"q": [0.0, 1.0]}, 2).orderBy("rank").collect()

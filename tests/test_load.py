@@ -169,7 +169,7 @@ def test_csv_and_parquet_load_the_same_rows(spark, features, tmp_path):
 def test_counters(spark, sf_dir):
     samples = Samples(spark, sf_dir)
     stored = samples.loan_existing()
-    plan = plan_load(samples.loan_batch(), stored)
+    plan = plan_load(coerce_loans(samples.loan_batch()), stored)
     totals = load_counters(plan, stored).first().asDict()
     parts = [totals[k] for k in ("rejected", "skipped_in_batch", "skipped_stored", "inserted")]
     assert sum(parts) == totals["incoming"]
