@@ -7,6 +7,17 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."
 
 from creditmill.session import build_session  # noqa: E402
 
+# Compiling the plans takes far longer than running them on a few rows, so the
+# tests interpret them; TEST_CODEGEN=1 compiles as in production, and
+# tools/check_oracles.py always does.
+CODEGEN = (
+    {}
+    if os.environ.get("TEST_CODEGEN")
+    else {
+        "spark.sql.codegen.wholeStage": "false",
+        "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+    }
+)
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -20,6 +31,7 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            **CODEGEN,
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -10,6 +10,7 @@ from creditmill.config import LoadConfig
 from creditmill.plans.feature_table import build_feature_table
 from creditmill.plans.load import RejectedRowsError, chunk_counters, load_counters, load_features, plan_load
 from creditmill.operators.coercion import coerce_applicant, coerce_features, coerce_loans, explain_rejects
+from creditmill.session import stage
 from creditmill.sources.files import read_features, write_features
 from creditmill.sources.store import BatchExistsError, LoanStore
 
@@ -19,7 +20,7 @@ TS = datetime(2024, 5, 1, 12, 0, 0)
 @pytest.fixture
 def features(raw):
     def build(*changes):
-        return build_feature_table(raw(*changes), extra=("row_no",))
+        return stage(build_feature_table(raw(*changes), extra=("row_no",)), "test-features")
 
     return build
 
