@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.functions.numeric import as_double
+from creditmill.functions.numeric import as_double, to_bool
 
 GROUPED_COLUMNS = ("income_bucket", "credit_score_tier", "employment_stability")
 
@@ -17,10 +17,11 @@ def _cells(features: DataFrame) -> DataFrame:
     reduces any number of rows to a few dozen; all summaries are sums over it.
     """
     label = as_double(features, "loan_status")
+    risky = to_bool(features, "is_high_risk")
     return features.groupBy(*GROUPED_COLUMNS).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count("is_high_risk").alias("risk_known"),
-        F.sum(F.col("is_high_risk").cast("bigint")).alias("high_risk"),
+        F.count(risky).alias("risk_known"),
+        F.sum(risky.cast("bigint")).alias("high_risk"),
         F.count(label).alias("labelled"),
         F.sum(label).alias("approved"),
     )

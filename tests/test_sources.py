@@ -3,8 +3,10 @@
 import pytest
 from conftest import RAW_ROW
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from creditmill.config import RAW_COLUMNS, FeatureConfig
+from creditmill.operators.summary import summarise, summary_counts
 from creditmill.plans.feature_table import build_feature_table, run_features
 from creditmill.sources.files import (
     MissingColumnsError,
@@ -73,6 +75,10 @@ def test_csv_to_features(spark, tmp_path, fmt):
     source = write_csv(tmp_path / "raw.csv", list(RAW_ROW), rows)
     table = run_features(spark, source, tmp_path / "out", fmt=fmt)
     assert table.count() == 20 and len(table.columns) == 36
+    summary = summarise(table).first()
+    assert (summary["row_count"], summary["column_count"], summary["high_risk_rows"]) == (20, 36, 20)
+    assert summary["approved_share"] == 1.0
+    assert summary_counts(table).agg(F.sum("count")).first()[0] == 60
 
 
 def test_rows_are_numbered_in_file_order(spark, tmp_path):
