@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditmill.llm import simhash
+from creditmill.llm import bpe, simhash
 from creditmill.llm.common import read_table
 
 
@@ -15,8 +15,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_bpe": op4_bpe,
 }
 
 #: Rows that SQL can express; the other queries are tested against brute force.
