@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import unicodedata
 from functools import lru_cache
 
@@ -48,7 +47,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 def _splitter_for_unassigned():
-    """A search for letters and numbers newer than Unicode 16, and a splitter that takes them as symbols.
+    """The letters and numbers newer than Unicode 16, and a splitter that takes them as symbols.
 
     The regex module knows more recent characters than the tokenizer does,
     and Python's own character data may be older than either.
@@ -59,7 +58,7 @@ def _splitter_for_unassigned():
     letters, numbers = rf"[\p{{L}}--[{known}]]", rf"[\p{{N}}--[{known}]]"
     pattern = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", f"(?:(?!{letters}|{numbers})[^\\s])")
     pattern = pattern.replace(r"\p{L}+", letters + "+").replace(r"\p{N}+", numbers + "+")
-    return re.compile(f"[{known}]"), regex.compile(f"(?V1){pattern}")
+    return frozenset(new), regex.compile(f"(?V1){pattern}")
 
 
 class Codec:
@@ -220,7 +219,7 @@ class Codec:
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def _pieces(self, text: str) -> list[str]:
-        if not text.isascii() and self.odd.search(text):
+        if not text.isascii() and not self.odd.isdisjoint(text):
             return self.odd_splitter.findall(text)
         return self.splitter.findall(text)
 
