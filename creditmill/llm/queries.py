@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditmill.llm import bpe, simhash
+from creditmill.llm import bpe, contamination, sharding, simhash
 from creditmill.llm.common import read_table
 
 
@@ -19,10 +19,23 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(read_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
+    "op5_sharding": op5_sharding,
+    "op9_decontamination": op9_decontamination,
 }
 
 #: Rows that SQL can express; the other queries are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_sharding": sharding.oracle_sql(),
+    "op9_decontamination": contamination.oracle_sql(),
+}
