@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditmill.llm import bpe, contamination, sharding, simhash
+from creditmill.llm import bpe, contamination, pii, sharding, simhash, toxicity
 from creditmill.llm.common import read_table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    scored = toxicity.add_scores(docs.select("doc_id", "lang", "text"), toxicity.fit(docs, labels))
+    return scored.select(
+        "doc_id",
+        F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
+        "threshold",
+        "toxic",
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint_bits"), 16, "0")).alias("fingerprint"), "component_id"
@@ -27,10 +40,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.add_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
     "op5_sharding": op5_sharding,
+    "op6_pii": op6_pii,
     "op9_decontamination": op9_decontamination,
 }
 
