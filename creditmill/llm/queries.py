@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditmill.llm import bpe, contamination, pii, sharding, simhash, toxicity
+from creditmill.llm import bpe, contamination, language_model, pii, sharding, simhash, tokencount, toxicity
 from creditmill.llm.common import read_table
 
 
@@ -44,13 +44,25 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.add_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.add_counts(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    scorer = language_model.fit(language_model.mark_target(docs, labels.where("quality = 1")))
+    return language_model.add_scores(docs.select("doc_id", "text"), scorer).drop("text")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
     "op5_sharding": op5_sharding,
     "op6_pii": op6_pii,
+    "op7_token_counts": op7_token_counts,
     "op9_decontamination": op9_decontamination,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 #: Rows that SQL can express; the other queries are tested against brute force.
