@@ -134,10 +134,15 @@ def _votes(features: np.ndarray) -> np.ndarray:
 
 
 def reliabilities(features: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM: (labeler x class x vote probabilities, posterior of each row, share of positives)."""
+    """EM: (labeler x class x vote probabilities, posterior of each row, share of positives).
+
+    Base spans meet an exact rule, so they anchor the positive class.
+    """
     votes, weight = _votes(features), counts.astype(float)
+    anchored = (features & 7) < 4
     # Start from the reading of a vote that its name has; the two classes are named by it.
     posterior = np.clip(0.5 + 0.25 * ((votes == YES).sum(1) - (votes == NO).sum(1)), 0.05, 0.95)
+    posterior[anchored] = 1.0
     table, share = np.full((3, 2, 3), 1 / 3), 0.5
     for _ in range(ROUNDS):
         mass = np.stack([(1 - posterior) * weight, posterior * weight])
@@ -148,7 +153,7 @@ def reliabilities(features: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
         odds = np.log(share / (1 - share)) + sum(
             np.log(table[j, 1, votes[:, j]] / table[j, 0, votes[:, j]]) for j in range(3)
         )
-        posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        posterior = np.where(anchored, 1.0, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
     return table, posterior, share
 
 
