@@ -34,6 +34,8 @@ CUE_REACH = 32
 #: Shortest token with a digit that becomes a candidate.
 SHORTEST = 8
 ROUNDS = 50
+#: Weight of the belief that a labeler errs less than it hits, as a share of all candidates.
+BELIEF_SHARE = 0.2
 ABSTAIN, NO, YES = 0, 1, 2
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -134,7 +136,7 @@ def _votes(features: np.ndarray) -> np.ndarray:
 
 
 def reliabilities(features: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM: (labeler x class x vote probabilities, posterior of each row, share of positives).
+    """EM: (labeler x class x vote probabilities, posterior of each row, share of positives among tokens).
 
     Base spans meet an exact rule, so they anchor the positive class.
     """
@@ -144,12 +146,16 @@ def reliabilities(features: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     posterior = np.clip(0.5 + 0.25 * ((votes == YES).sum(1) - (votes == NO).sum(1)), 0.05, 0.95)
     posterior[anchored] = 1.0
     table, share = np.full((3, 2, 3), 1 / 3), 0.5
+    # Columns: abstain, no, yes. Labelers are believed to do better than chance.
+    belief = np.array([[0.4, 0.5, 0.1], [0.4, 0.1, 0.5]])
     for _ in range(ROUNDS):
         mass = np.stack([(1 - posterior) * weight, posterior * weight])
-        share = float((mass[1].sum() + 1) / (mass.sum() + 2))
+        doubt = 1 + BELIEF_SHARE * weight[~anchored].sum()
+        share = float((mass[1, ~anchored].sum() + doubt) / (weight[~anchored].sum() + 2 * doubt))
         for j in range(3):
-            for v in range(3):
-                table[j, :, v] = (mass[:, votes[:, j] == v].sum(1) + 1) / (mass.sum(1) + 3)
+            seen = np.stack([mass[:, votes[:, j] == v].sum(1) for v in range(3)], axis=1)
+            seen = seen + belief * max(1.0, BELIEF_SHARE * weight.sum())
+            table[j] = seen / seen.sum(axis=1, keepdims=True)
         odds = np.log(share / (1 - share)) + sum(
             np.log(table[j, 1, votes[:, j]] / table[j, 0, votes[:, j]]) for j in range(3)
         )
