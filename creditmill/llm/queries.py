@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditmill.llm import bpe, contamination, language_model, pii, sharding, simhash, tokencount, toxicity
+from creditmill.llm import bpe, contamination, embedding_links, language_model, pii, sharding, simhash, tokencount, toxicity
 from creditmill.llm.common import read_table
 
 
@@ -54,6 +54,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.add_scores(docs.select("doc_id", "text"), scorer).drop("text")
 
 
+def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -61,6 +65,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_pii": op6_pii,
     "op7_token_counts": op7_token_counts,
+    "op8_embedding_duplicates": op8_embedding_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scores": op10_lm_scores,
 }
