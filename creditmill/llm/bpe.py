@@ -304,18 +304,21 @@ def codec(vocabulary: str = VOCABULARY) -> Codec:
 
 
 def encode_texts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Append ``token_ids`` array<int> and ``n_tokens`` bigint; null texts count as empty."""
+    """Append ``token_ids`` array<int>, ``n_tokens`` bigint and ``round_trip`` boolean (the ids decode to the text).
+
+    Null texts count as empty.
+    """
 
     def task():
         own = codec(vocabulary)
 
         def run(texts):
             ids = [i.astype(np.int32) for i in own.encode_batch(texts)]
-            return ids, [len(i) for i in ids]
+            return ids, [len(i) for i in ids], [own.decode(i) == (t or "") for i, t in zip(ids, texts)]
 
         return run
 
-    return add_columns(docs, text, [("token_ids", "array<int>"), ("n_tokens", "bigint")], task)
+    return add_columns(docs, text, [("token_ids", "array<int>"), ("n_tokens", "bigint"), ("round_trip", "boolean")], task)
 
 
 def decode_ids(docs: DataFrame, ids: str = "token_ids", vocabulary: str = VOCABULARY) -> DataFrame:

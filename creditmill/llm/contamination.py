@@ -69,15 +69,17 @@ def find_passages(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW,
+    carry: Column | None = None,
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with ``carry`` also carried.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one.
     Words within any occurrence of a window are hit, each once. Null and empty texts have no words and no
     hits; repeated rows and ids keep their rows; an empty benchmark hits nothing. Items
     without an id count as hits without an item.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("doc_words"))
+    held = F.lit(None).cast("bigint") if carry is None else carry
+    base = docs.select(F.col(doc_id).alias("doc_id"), held.alias("carried"), words_of(F.col(text)).alias("doc_words"))
     windows = stage(_rarest(item_windows(items, item_id, item_text, window), base), "windows")
     # Every document meets the entry of the empty word once, which keeps documents without hits.
     by_word = windows.groupBy("word").agg(F.collect_list(F.struct("offset", "words", "items")).alias("windows"))
@@ -85,7 +87,7 @@ def find_passages(
     marker = docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(None).cast(none).alias("windows"))
     lookup = by_word.unionByName(marker)
     rows = base.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "doc_words", F.size("doc_words").cast("bigint").alias("n_words")
+        F.monotonically_increasing_id().alias("row"), "doc_id", "carried", "doc_words", F.size("doc_words").cast("bigint").alias("n_words")
     )
     places = (
         rows.select("*", F.posexplode(F.concat("doc_words", F.array(F.lit("")))).alias("place", "word"))
@@ -106,12 +108,14 @@ def find_passages(
     found = tried.where(F.col("w").isNull() | (fits & same)).select(
         "row",
         "doc_id",
+        "carried",
         "n_words",
         F.when(F.col("w").isNotNull(), F.struct(start.alias("a"), (start + F.size("w.words")).alias("b"))).alias("span"),
         F.col("w.items").alias("items"),
     )
     gathered = found.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
+        F.first("carried").alias("carried"),
         F.first("n_words").alias("n_words"),
         F.sort_array(F.collect_set("span")).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
@@ -133,9 +137,22 @@ def find_passages(
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
+        *([] if carry is None else ["carried"]),
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs, with their own columns.
+
+    A dropped row is known by its id and a hash of its text, so rows that repeat an id are judged each by itself.
+    """
+    mark = F.xxhash64(F.col(text))
+    hit = find_passages(docs, items, doc_id, text, carry=mark).where("contaminated")
+    keys = stage(hit.select(F.col("doc_id").alias("__id"), F.col("carried").alias("__mark")).distinct(), "contaminated")
+    keys = broadcast_if_small(keys, 24)
+    return docs.join(keys, F.col(doc_id).eqNullSafe(keys["__id"]) & (mark == keys["__mark"]), "left_anti")
+
+
 def oracle_sql(window: int = WINDOW) -> str:
     """The same rows in DuckDB, from all windows of all documents."""
     words = (

@@ -117,7 +117,7 @@ def feature(text: str, start: int, end: int, kind: int) -> int:
     elif len(token) >= 14 and (upper or lower) and (hexa or not (upper and lower) or len(token) >= 20):
         shape = YES
     else:
-        shape = NO if not (upper or lower) else ABSTAIN
+        shape = ABSTAIN if len(token) >= 12 and (upper or lower) else NO
     before = text[max(0, start - CUE_REACH) : start]
     cue = YES if _CUE.search(before) else ABSTAIN
     near = before.rstrip()[-1:] if before.rstrip()[-1:] in "\"'=:" and before.rstrip() else ""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditmill.llm import bpe, contamination, embedding_links, language_model, pii, sharding, simhash, tokencount, toxicity
+from creditmill.llm import bpe, contamination, embedding_links, language_model, pii, sharding, simhash, tokencount, toxicity, warc
 from creditmill.llm.common import read_table
 
 
@@ -28,6 +28,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(read_table(spark, sf_dir, "pages")))
+    return made.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -61,6 +66,7 @@ def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_bpe": op4_bpe,
     "op5_sharding": op5_sharding,
     "op6_pii": op6_pii,

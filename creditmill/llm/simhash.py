@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import add_columns, stage
+from creditmill.llm.common import add_columns, broadcast_if_small, stage
 from creditmill.llm.components import connected_components
 
 RADIUS = 2
@@ -223,10 +223,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     zero and link as any other. Rows without an id link with nothing and
     get a null component. An empty table gives an empty result.
     """
-    prints = stage(
-        add_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width=width).drop("text"),
-        "fingerprints",
-    )
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return components_of(stage(add_fingerprints(narrow, width=width).drop("text"), "fingerprints"), radius)
+
+
+def components_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``near_duplicates`` for rows (doc_id, fingerprint_bits) that exist already."""
     distinct = stage(
         prints.where("doc_id is not null")
         .groupBy(F.col("fingerprint_bits").alias("bits"))
@@ -242,3 +244,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "fingerprint_bits",
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of near duplicates: that of the smallest id, with its own columns.
+
+    Rows that share an id and a fingerprint count once; rows without an id stay. Fingerprints are computed
+    again for the rows instead of being kept with their texts, and only the keys of dropped rows are joined.
+    """
+    name = "__fingerprint"
+    marked = add_fingerprints(docs, text, width, name)
+    prints = stage(marked.select(F.col(doc_id).alias("doc_id"), F.col(name).alias("fingerprint_bits")), "fingerprints")
+    groups = stage(
+        components_of(prints, radius).groupBy("doc_id", "fingerprint_bits").agg(
+            F.count("*").alias("n"), F.first("component_id").alias("component_id")
+        ).where("component_id is not null and (n > 1 or doc_id <> component_id)"),
+        "groups",
+    )
+    keys = groups.select(F.col("doc_id").alias("__id"), F.col("fingerprint_bits").alias("__bits"), (F.col("doc_id") == F.col("component_id")).alias("__first"))
+
+    def joined(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
+        return rows.join(side, (rows[doc_id] == side["__id"]) & (rows[name] == side["__bits"]), how)
+
+    kept = joined(marked, broadcast_if_small(keys, 24), "left_anti")
+    repeated = keys.where("__first")
+    if not repeated.isEmpty():
+        again = joined(marked, broadcast_if_small(repeated, 24), "left_semi")
+        kept = kept.unionByName(again.dropDuplicates([doc_id, name]))
+    return kept.select(*docs.columns)

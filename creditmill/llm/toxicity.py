@@ -297,15 +297,22 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Model(network, shift, thresholds)
 
 
-def add_scores(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Append score (0 to 1), threshold (of the row's language) and toxic.
+def add_scores(
+    docs: DataFrame,
+    model: Model | None,
+    text: str = "text",
+    lang: str = "lang",
+    names: tuple[str, str, str] = ("score", "threshold", "toxic"),
+) -> DataFrame:
+    """Append score (0 to 1), threshold (of the row's language) and toxic, under ``names``.
 
     Null and empty texts are scored as texts without words. Without a model, as when no
     labels exist, every score is 0. The weights go to the workers by broadcast; their size
-    is fixed by BUCKETS and DIM.
+    is fixed by BUCKETS and DIM. Columns of ``docs`` with one of the names are replaced.
     """
+    score, threshold, toxic = names
     if model is None:
-        scored = docs.withColumn("score", F.lit(0.0))
+        scored = docs.withColumn(score, F.lit(0.0))
         cuts = F.lit(CUT)
     else:
         shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -314,8 +321,15 @@ def add_scores(docs: DataFrame, model: Model | None, text: str = "text", lang: s
             own = Scorer(shared.value.network, shared.value.shift)
             return lambda texts: [own.scores(texts)]
 
-        scored = add_columns(docs, text, [("score", "double")], task)
+        scored = add_columns(docs, text, [(score, "double")], task)
         cuts = F.lit(CUT)
         for language, cut in model.thresholds.items() if lang in docs.columns else ():
             cuts = F.when(F.col(lang) == language, F.lit(cut)).otherwise(cuts)
-    return scored.withColumn("threshold", cuts).withColumn("toxic", F.col("score") >= F.col("threshold"))
+    return scored.withColumn(threshold, cuts).withColumn(toxic, F.col(score) >= F.col(threshold))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose score stays below their language's threshold, with their own columns."""
+    names = ("__score", "__threshold", "__toxic")
+    scored = add_scores(docs, fit(docs, labels, doc_id, text, lang), text, lang, names)
+    return scored.where(~F.col(names[2])).select(*docs.columns)
