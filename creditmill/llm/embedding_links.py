@@ -184,6 +184,8 @@ def _query(threshold: float):
         state: dict = {"unit": None}
 
         def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if state["graph"] is None and not state["nodes"]:
+                return  # a shard without vectors of this length
             reps = table.column("rep").to_numpy()
             queries = np.concatenate([_matrix(c) for c in table.column("vector").chunks])
             if state["graph"] is None:

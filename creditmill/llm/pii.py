@@ -35,7 +35,7 @@ CUE_REACH = 32
 SHORTEST = 8
 ROUNDS = 50
 #: Weight of the belief that a labeler errs less than it hits, as a share of all candidates.
-BELIEF_SHARE = 0.2
+BELIEF_SHARE = 0.05
 ABSTAIN, NO, YES = 0, 1, 2
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")

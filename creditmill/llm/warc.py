@@ -66,7 +66,7 @@ def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 def _clean(value: str) -> str:
     """A header value in one line."""
-    return " ".join(value.split("\r")).replace("\n", " ").strip()
+    return re.sub(r"\s*[\r\n]+\s*", " ", value).strip()
 
 
 def http_message(page: str) -> bytes:
