@@ -353,7 +353,7 @@ def _question_score(query_id: str, text: str) -> str:
     terms = _TERMS.format("'" + text.replace("'", "''") + "'")
     return (
         f"SELECT '{query_id}' AS query_id, id, "
-        f"round(sum(weight) / sqrt(len(list_distinct({terms}))), 6) AS score "
+        f"sum(weight) / sqrt(len(list_distinct({terms}))) AS score "
         f"FROM term_weights WHERE list_contains({terms}, term) GROUP BY id"
     )
 
@@ -362,14 +362,15 @@ def _vector_score(query_id: str, vector: list[float]) -> str:
     fixed = "[" + ", ".join(f"{x!r}::DOUBLE" for x in vector) + "]"
     return (
         f"SELECT '{query_id}' AS query_id, vec_id, "
-        f"round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {fixed}), 6) AS score FROM embeddings"
+        f"list_cosine_similarity(CAST(embedding AS DOUBLE[]), {fixed}) AS score FROM embeddings"
     )
 
 
 def _top_k(scores: list[str], key: str, condition: str = "true") -> str:
+    # Engines add in different orders, so equal scores may differ beyond the twelfth decimal.
     return (
-        f"SELECT query_id, {key}, score, CAST(row_number() OVER (PARTITION BY query_id "
-        f"ORDER BY score DESC, {key}) AS INTEGER) AS rank FROM ({' UNION ALL '.join(scores)}) s "
+        f"SELECT query_id, {key}, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id "
+        f"ORDER BY round(score, 12) DESC, {key}) AS INTEGER) AS rank FROM ({' UNION ALL '.join(scores)}) s "
         f"WHERE {condition} QUALIFY rank <= 5"
     )
 
@@ -617,12 +618,13 @@ _SELECTS = {
         "FROM (SELECT row_no, composite_risk_score AS s FROM features) f"
     ),
     "top_attributions": (
-        "SELECT row_no, string_agg(name, ',' ORDER BY weight DESC, name) AS top_shap_features FROM ("
+        "SELECT row_no, coalesce(string_agg(name, ',' ORDER BY weight DESC, name) FILTER (weight IS NOT NULL), '') "
+        "AS top_shap_features FROM ("
         "SELECT row_no, name, abs(value) AS weight, row_number() OVER (PARTITION BY row_no "
-        "ORDER BY abs(value) DESC, name) AS place FROM (SELECT row_no, "
+        "ORDER BY abs(value) DESC NULLS LAST, name) AS place FROM (SELECT row_no, "
         "unnest(['emp_to_age_ratio', 'affordability_ratio', 'debt_to_income_ratio', 'composite_risk_score']) AS name, "
         "unnest([emp_to_age_ratio * 2, -affordability_ratio, debt_to_income_ratio, composite_risk_score]) AS value "
-        "FROM features WHERE emp_to_age_ratio IS NOT NULL AND affordability_ratio IS NOT NULL) v) ranked "
+        "FROM features) v) ranked "
         "WHERE place <= 3 GROUP BY row_no"
     ),
 }

@@ -405,8 +405,7 @@ def tfidf_terms(s: Samples) -> DataFrame:
 
 
 def tfidf_top_k(s: Samples) -> DataFrame:
-    vectors = retrieval.tfidf_vectors(s.documents(), "id", "chunk_text")
-    return retrieval.tfidf_top_k(vectors, "id", QUESTIONS)
+    return retrieval.tfidf_top_k(s.documents(), "id", "chunk_text", QUESTIONS)
 
 
 def vector_top_k(s: Samples) -> DataFrame:
@@ -494,8 +493,7 @@ def top_attributions(s: Samples) -> DataFrame:
         F.lit("debt_to_income_ratio"), F.col("debt_to_income_ratio"),
         F.lit("composite_risk_score"), F.col("composite_risk_score"),
     )
-    complete = s.features().dropna(subset=["emp_to_age_ratio", "affordability_ratio"])
-    return complete.select(
+    return s.features().select(
         "row_no", F.array_join(policy.top_attributions(shap, 3), ",").alias("top_shap_features")
     )
 

@@ -15,7 +15,7 @@ from creditmill.operators.coercion import coerce_loans, fingerprint_id, stored_c
 from creditmill.operators.dedup import first_occurrences
 from creditmill.operators.retrieval import chunk_texts
 from creditmill.plans.feature_table import build_feature_table
-from creditmill.session import spread, stage
+from creditmill.session import stage
 
 LOAN_RAW = """
 SELECT o_orderkey AS row_no,
@@ -152,7 +152,7 @@ class Samples:
 
     def loan_raw(self) -> DataFrame:
         return self._sql(
-            LOAN_RAW, orders=spread(self.table("orders")), customer=self.table("customer")
+            LOAN_RAW, orders=self.table("orders"), customer=self.table("customer")
         )
 
     def features(self) -> DataFrame:
@@ -164,7 +164,7 @@ class Samples:
         if key not in _WRITTEN:
             table = build_feature_table(self.loan_raw(), extra=("row_no",))
             _WRITTEN[key] = stage(table, "sample-features")
-        return spread(_WRITTEN[key])
+        return _WRITTEN[key]
 
     def loan_batch(self) -> DataFrame:
         """Feature rows plus a later copy of every fiftieth: duplicates within the batch."""
@@ -192,7 +192,7 @@ class Samples:
 
     def documents(self) -> DataFrame:
         """Retrieval documents: every text of ``documents`` in chunks."""
-        texts = spread(self.table("documents")).select("doc_id", F.col("source").alias("source_name"), "text")
+        texts = self.table("documents").select("doc_id", F.col("source").alias("source_name"), "text")
         chunks = chunk_texts(texts, "text")
         key = F.concat_ws("-", F.lit("document"), F.col("doc_id"), F.col("chunk_index"))
         return chunks.withColumn("id", key)
@@ -202,16 +202,16 @@ class Samples:
 
     def predictions(self) -> DataFrame:
         return self._sql(
-            PREDICTIONS, lineitem=spread(self.table("lineitem")), applicant_keys=self.applicant_keys()
+            PREDICTIONS, lineitem=self.table("lineitem"), applicant_keys=self.applicant_keys()
         )
 
     def explanations(self) -> DataFrame:
-        return self._sql(EXPLANATIONS, lineitem=spread(self.table("lineitem")))
+        return self._sql(EXPLANATIONS, lineitem=self.table("lineitem"))
 
     def explanation_chunks(self) -> DataFrame:
         return self._sql(
-            EXPLANATION_CHUNKS, lineitem=spread(self.table("lineitem")), documents=self.table("documents")
+            EXPLANATION_CHUNKS, lineitem=self.table("lineitem"), documents=self.table("documents")
         )
 
     def assessments(self) -> DataFrame:
-        return self._sql(ASSESSMENTS, lineitem=spread(self.table("lineitem")))
+        return self._sql(ASSESSMENTS, lineitem=self.table("lineitem"))

@@ -186,9 +186,6 @@ class FeatureConfig:
     young_age: float = 25.0
     stable_years: float = 2.0
     high_risk_quantile: float = 0.75
-    # Distinct values that one task may sort when an exact quantile is taken;
-    # a wider column is narrowed by histograms first (operators/quantiles.py).
-    quantile_domain_limit: int = 1_000_000
 
 
 @dataclass(frozen=True)

@@ -14,22 +14,27 @@ def distinct_fingerprints(df: DataFrame) -> DataFrame:
     return df.select(*KEYS).distinct()
 
 
+def first_keys(rows: DataFrame, order: str = "row_no", keys: list[str] = KEYS) -> DataFrame:
+    """(keys, order): each fingerprint with its earliest row, from narrow rows combined before the shuffle."""
+    return rows.groupBy(*keys).agg(F.min(order).alias(order))
+
+
 def first_occurrences(rows: DataFrame, order: str = "row_no", keys: list[str] = KEYS) -> DataFrame:
     """The earliest row of each fingerprint.
 
-    An aggregate rather than a ranking window: each task keeps one row per
-    fingerprint before the shuffle, so a fingerprint shared by a third of all
-    rows does not pile up in one task.
+    The earliest row numbers are found from narrow rows, and the wide rows are
+    shuffled once, by row number, so a fingerprint shared by a third of all rows does not
+    pile up in one task.
     """
-    rest = [name for name in rows.columns if name not in keys]
-    earliest = F.min_by(F.struct(*rest), F.col(order)).alias("row")
-    return rows.groupBy(*keys).agg(earliest).select(*[F.col(k) for k in keys], "row.*")
+    return rows.join(first_keys(rows, order, keys).select(order), order, "left_semi").select(*rows.columns)
 
 
-def not_stored(rows: DataFrame, stored: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Rows whose fingerprint is not among the stored ones.
+def new_occurrences(
+    rows: DataFrame, stored: DataFrame, order: str = "row_no", keys: list[str] = KEYS
+) -> DataFrame:
+    """The earliest row of each fingerprint that is not among the stored ones.
 
-    After ``first_occurrences`` the left side is already partitioned by these
-    keys and holds each of them once, so only the stored keys are shuffled.
+    The stored keys meet the narrow rows, which are partitioned by these keys already.
     """
-    return rows.join(stored.select(*keys), keys, "left_anti")
+    fresh = first_keys(rows, order, keys).join(stored.select(*keys), keys, "left_anti")
+    return rows.join(fresh.select(order), order, "left_semi").select(*rows.columns)

@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditmill.operators.ranks import totals_before
+
 
 def _share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
@@ -46,26 +48,21 @@ def classification_metrics(rows: DataFrame, label: Column, predicted: Column) ->
 def roc_auc(rows: DataFrame, label: Column, score: Column) -> DataFrame:
     """Area under the ROC curve by average ranks, ties counted half; one row.
 
-    A stored probability has four decimals, so there are at most some ten
-    thousand score values; the running count is taken over those, not the rows.
+    Scores keep all their digits; the running count is taken by ranges of scores.
     """
     values = (
-        rows.select(label.cast("int").alias("y"), score.cast("decimal(6,4)").alias("score"))
+        rows.select(label.cast("int").alias("y"), score.cast("double").alias("score"))
         .dropna()
         .groupBy("score")
         .agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     )
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum("neg").over(below), F.lit(0))
-    return (
-        values.withColumn("won", F.col("pos") * (ahead + F.col("neg") / 2.0))
-        .agg(
-            F.sum("won").alias("won"),
-            F.sum("pos").alias("pos"),
-            F.sum("neg").alias("neg"),
-        )
-        .select(_share(F.col("won"), F.col("pos") * F.col("neg")).alias("auc"))
-    )
+    with totals_before(values, "score", ["neg"]) as ranked:
+        # Halves are counted doubled, so that the sum is exact whatever its order.
+        won = F.col("pos").cast("decimal(38,0)") * (2 * F.col("before_neg") + F.col("neg"))
+        totals = ranked.agg(F.sum(won).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+    pairs = 2 * (totals["pos"] or 0) * (totals["neg"] or 0)
+    auc = float(totals["won"] / pairs) if pairs else None
+    return rows.sparkSession.createDataFrame([(auc,)], "auc double")
 
 
 def fairness_by_group(

@@ -176,9 +176,7 @@ def fit_medians(cleaned: DataFrame, config: FeatureConfig = _DEFAULT) -> RiskBas
         cleaned,
         {"rate": F.col("loan_int_rate"), "score": F.col("credit_score")},
     )
-    medians = exact_quantiles(
-        frequencies, {"rate": 0.5, "score": 0.5}, config.quantile_domain_limit
-    )
+    medians = exact_quantiles(frequencies, {"rate": 0.5, "score": 0.5})
     return RiskBaseline(medians["rate"], medians["score"])
 
 

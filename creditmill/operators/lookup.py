@@ -10,16 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _first(rows: DataFrame) -> DataFrame:
+    """One of the few rows that a key has, the first by all columns that have an order."""
+    return rows.orderBy(*[f.name for f in rows.schema if f.dataType.typeName() != "map"]).limit(1)
+
+
 def get_by_id(table: DataFrame, key: str) -> DataFrame:
-    return table.where(F.col("id") == key).limit(1)
+    return _first(table.where(F.col("id") == key))
 
 
 def get_features(features: DataFrame, applicant_id: str) -> DataFrame:
-    return features.where(F.col("applicant_id") == applicant_id).limit(1)
+    return _first(features.where(F.col("applicant_id") == applicant_id))
 
 
 def get_explanation(explanations: DataFrame, prediction_id: str) -> DataFrame:
-    return explanations.where(F.col("prediction_id") == prediction_id).limit(1)
+    return _first(explanations.where(F.col("prediction_id") == prediction_id))
 
 
 def get_applicant_predictions(predictions: DataFrame, applicant_id: str) -> DataFrame:

@@ -31,9 +31,9 @@ def action(tier: Column) -> Column:
 
 
 def top_attributions(shap_values: Column, k: int = 5) -> Column:
-    """Names of the k entries of a map with the largest absolute value, in order."""
+    """Names of the k entries of a map with the largest absolute value, in order; null values are passed over."""
     entries = F.transform(
-        F.map_entries(shap_values),
+        F.filter(F.map_entries(shap_values), lambda e: e["value"].isNotNull()),
         lambda e: F.struct((-F.abs(e["value"])).alias("weight"), e["key"].alias("name")),
     )
     return F.transform(F.slice(F.sort_array(entries), 1, k), lambda e: e["name"])

@@ -3,9 +3,7 @@
 Spark's exact ``percentile`` gathers every distinct value of the column in one
 task. Here the values are first counted where they lie (``value_frequencies``:
 one pass, combined before the shuffle, so a value held by a third of all rows
-costs nothing). The frequency table is then narrowed by histograms to the range
-that holds the wanted ranks, and only that range, of a bounded number of
-distinct values, is sorted in one task.
+costs nothing), and the counts are ranked by ranges of values.
 """
 
 from __future__ import annotations
@@ -13,10 +11,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_CUTS = 512
+from creditmill.operators.ranks import totals_before
 
 
 def value_frequencies(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
@@ -36,89 +34,36 @@ def value_frequencies(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame
     )
 
 
-def _narrow(values: DataFrame, first: int, last: int, distinct: int, limit: int):
-    """Value range of at most ``limit`` distinct values that holds ranks first..last.
-
-    Returns its ends (None when no narrowing was needed) and the rows below it.
-    """
-    low = high = None
-    below = 0
-    grid = [i / _CUTS for i in range(1, _CUTS)]
-    while distinct > limit:
-        cuts = values.agg(F.percentile_approx("value", grid, 10 * _CUTS)).first()[0]
-        edges = F.array(*[F.lit(cut) for cut in sorted(set(cuts))])
-        bucket = F.size(F.filter(edges, lambda cut: cut < F.col("value")))
-        bars = (
-            values.groupBy(bucket.alias("bucket"))
-            .agg(
-                F.sum("n").alias("rows"),
-                F.count(F.lit(1)).alias("distinct"),
-                F.min("value").alias("low"),
-                F.max("value").alias("high"),
-            )
-            .orderBy("bucket")
-            .collect()
-        )
-        seen, kept = below, []
-        for bar in bars:
-            if seen <= last and seen + bar["rows"] > first:
-                start = seen if not kept else start
-                kept.append(bar)
-            seen += bar["rows"]
-        low, high, below = kept[0]["low"], kept[-1]["high"], start
-        values = values.where(F.col("value").between(low, high))
-        remaining = sum(bar["distinct"] for bar in kept)
-        if remaining == distinct:
-            break
-        distinct = remaining
-    return low, high, below
-
-
 def exact_quantiles(
-    frequencies: DataFrame, wanted: Mapping[str, float], domain_limit: int = 1_000_000
+    frequencies: DataFrame, wanted: Mapping[str, float], ranges: int | None = None
 ) -> dict[str, float | None]:
     """Linear-interpolation quantile of each named column, exact.
 
-    Only counts, at most a few hundred histogram bars and the two neighbouring
-    values of each quantile reach the driver.
+    Only a count and the two neighbouring values of each quantile reach the driver.
     """
-    frequencies = frequencies.persist()
-    try:
+    found: dict[str, float | None] = dict.fromkeys(wanted)
+    with totals_before(frequencies, "value", ["n"], ["name"], ranges) as ranked:
         sizes = {
-            row["name"]: row
-            for row in frequencies.groupBy("name")
-            .agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct"))
-            .collect()
+            row["name"]: row["rows"]
+            for row in ranked.groupBy("name").agg(F.sum("n").alias("rows")).collect()
         }
-        found: dict[str, float | None] = dict.fromkeys(wanted)
-        in_range, first_rank, last_rank, fraction = F.lit(False), F, F, {}
+        first_rank, last_rank, fraction = F, F, {}
         for name in (n for n in wanted if n in sizes):
-            position = wanted[name] * (sizes[name]["rows"] - 1)
+            position = wanted[name] * (sizes[name] - 1)
             first, last = math.floor(position), math.ceil(position)
             fraction[name] = position - first
-            is_name = F.col("name") == name
-            low, high, below = _narrow(
-                frequencies.where(is_name), first, last, sizes[name]["distinct"], domain_limit
-            )
-            inside = is_name if low is None else is_name & F.col("value").between(low, high)
-            in_range = in_range | inside
-            first_rank = first_rank.when(is_name, F.lit(first - below))
-            last_rank = last_rank.when(is_name, F.lit(last - below))
+            first_rank = first_rank.when(F.col("name") == name, F.lit(first))
+            last_rank = last_rank.when(F.col("name") == name, F.lit(last))
         if not fraction:
             return found
-        running = F.sum("n").over(Window.partitionBy("name").orderBy("value"))
-        neighbours = (
-            frequencies.where(in_range)
-            .withColumn("seen", running)
-            .groupBy("name")
-            .agg(
-                F.min(F.when(F.col("seen") > first_rank, F.col("value"))).alias("low"),
-                F.min(F.when(F.col("seen") > last_rank, F.col("value"))).alias("high"),
-            )
+        end = F.col("before_n") + F.col("n")
+        neighbours = ranked.groupBy("name").agg(
+            F.min(F.when(end > first_rank, F.col("value"))).alias("low"),
+            F.min(F.when(end > last_rank, F.col("value"))).alias("high"),
         )
         for row in neighbours.collect():
-            step = row["high"] - row["low"]
-            found[row["name"]] = row["low"] + step * fraction[row["name"]]
-        return found
-    finally:
-        frequencies.unpersist()
+            if row["name"] in fraction:
+                low, high = row["low"], row["high"]
+                # Equal neighbours, infinite ones among them, need no step.
+                found[row["name"]] = low if low == high else low + (high - low) * fraction[row["name"]]
+    return found

@@ -19,9 +19,8 @@ CHUNK_SIZE = 512
 CHUNK_OVERLAP = 64
 TOP_K = 5
 
-# A term with more than this share of all (chunk, term) pairs is frequent; shares
-# add up to one, so there are fewer frequent terms than this number.
-_FREQUENT_TERMS = 500_000
+# Parts that a term's rows are dealt to when the idf is joined.
+_SALTS = 16
 
 
 def chunk_texts(
@@ -60,34 +59,26 @@ def terms(text: Column) -> Column:
 def tfidf_weights(chunks: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight) with idf applied, before normalisation.
 
-    The idf is joined by term, and frequent terms would pile up in one task.
-    A term is frequent when it holds more than 1/500,000 of all pairs. There are
-    fewer than 500,000 such terms whatever the texts, so those are broadcast;
-    any other term has at most that share of the rows and is joined by shuffling.
-    The pairs are read four times, so they are written out once and the texts
-    are split once.
+    Terms are counted once, into a scratch table that also keeps the chunks without
+    a term, so it gives their number too. A term of every chunk is dealt to
+    several parts by a hash of the chunk, each of which gets the term's idf.
     """
     found = chunks.select(key, F.explode_outer(terms(F.col(text))).alias("term"))
-    counted = (
-        found.where(F.col("term").isNotNull())
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    counted = stage(counted, "term-counts")
-    size, pairs = chunks.count(), counted.count()
+    counted = stage(found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+    size = counted.select(key).distinct().count()
+    counted = counted.where(F.col("term").isNotNull())
     idf = (
         counted.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("idf", F.log(F.lit(1.0 + size) / (F.col("df") + 1.0)) + 1.0)
+        .select(
+            "term",
+            (F.log(F.lit(1.0 + size) / (F.col("df") + 1.0)) + 1.0).alias("idf"),
+            F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"),
+        )
     )
-    is_frequent = F.col("df") * _FREQUENT_TERMS > pairs
-    frequent = idf.where(is_frequent).select("term", "idf")
-    rare = idf.where(~is_frequent).select("term", "idf")
-    common_rows = counted.join(F.broadcast(frequent), "term")
-    other_rows = counted.join(F.broadcast(frequent.select("term")), "term", "left_anti")
-    weight = (F.col("tf") * F.col("idf")).alias("weight")
-    return (
-        common_rows.unionByName(other_rows.join(rare, "term")).select(key, "term", weight)
+    dealt = counted.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(_SALTS)).cast("int"))
+    return dealt.join(idf, ["term", "salt"]).select(
+        key, "term", (F.col("tf") * F.col("idf")).alias("weight")
     )
 
 
@@ -115,25 +106,29 @@ def _ranked(scored: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def tfidf_top_k(
-    vectors: DataFrame, key: str, queries: Mapping[str, str], k: int = TOP_K
+    chunks: DataFrame, key: str, text: str, queries: Mapping[str, str], k: int = TOP_K
 ) -> DataFrame:
     """(query_id, key, score, rank) for a handful of query texts given by the caller.
 
-    Each query scores a chunk inside the chunk's own row: the weights of its
-    distinct terms, over the square root of their number. One pass over the
-    vectors, no join; chunks without any of the terms are left out.
+    A query's score of a chunk is the sum of the weights of its distinct terms, over the chunk's
+    length and the square root of their number. One aggregate per chunk gives its length and
+    all sums; chunks without any of the terms are left out.
     """
-    scores = []
-    for query_id, text in queries.items():
-        wanted = F.array_distinct(terms(F.lit(text)))
-        total = F.aggregate(
-            wanted,
-            F.lit(0.0),
-            lambda acc, term: acc + F.coalesce(F.col("tfidf_vector")[term], F.lit(0.0)),
-        )
-        score = F.round(total / F.sqrt(F.size(wanted)), 6)
-        scores.append(F.struct(F.lit(query_id).alias("query_id"), score.alias("score")))
-    scored = vectors.select(key, F.explode(F.array(*scores)).alias("hit")).select("hit.*", key)
+    weights = tfidf_weights(chunks, key, text)
+    wanted = {q: F.array_distinct(terms(F.lit(t))) for q, t in queries.items()}
+    weight = F.col("weight")
+    sums = weights.groupBy(key).agg(
+        F.sqrt(F.sum(weight * weight)).alias("norm"),
+        *[
+            F.sum(F.when(F.array_contains(own, F.col("term")), weight).otherwise(0.0)).alias(f"q{i}")
+            for i, own in enumerate(wanted.values())
+        ],
+    )
+    scores = [
+        F.struct(F.lit(q).alias("query_id"), (F.col(f"q{i}") / F.col("norm") / F.sqrt(F.size(own))).alias("score"))
+        for i, (q, own) in enumerate(wanted.items())
+    ]
+    scored = sums.select(key, F.explode(F.array(*scores)).alias("hit")).select("hit.*", key)
     return _ranked(scored.where("score > 0"), key, k)
 
 
@@ -159,7 +154,7 @@ def vector_top_k(
     scores = [
         F.struct(
             F.lit(query_id).alias("query_id"),
-            F.round(cosine(F.col(column), vector), 6).alias("score"),
+            cosine(F.col(column), vector).alias("score"),
         )
         for query_id, vector in queries.items()
     ]

@@ -18,12 +18,11 @@ from creditmill.operators.coercion import (
 from creditmill.operators.dedup import (
     KEYS,
     distinct_fingerprints,
-    first_occurrences,
-    not_stored,
+    new_occurrences,
 )
 from creditmill.operators.quality import rule_counts
-from creditmill.session import staged
-from creditmill.sources.store import BatchExistsError, LoanStore
+from creditmill.session import delete_folder, staged
+from creditmill.sources.store import BatchExistsError, LoanStore, natural_id
 from creditmill.sources.tables import APPLICANTS, FEATURES
 
 _STORABLE = "storable"
@@ -63,10 +62,8 @@ def plan_load(coerced: DataFrame, stored: DataFrame) -> LoadPlan:
     Fingerprints are compared as stored, that is after rounding, on both sides.
     """
     order = order_column(coerced)
-    firsts = first_occurrences(stored_columns(coerced.where(_STORABLE), order), order)
-    new_rows = not_stored(firsts, stored).withColumns(
-        {"applicant_id": fingerprint_id(), "features_id": fingerprint_id(FEATURES.name)}
-    )
+    valid = stored_columns(coerced.where(_STORABLE), order)
+    new_rows = new_occurrences(valid, stored, order).withColumn("applicant_id", fingerprint_id())
     return LoadPlan(coerced, explain_rejects(coerced.where(~F.col(_STORABLE))), new_rows)
 
 
@@ -115,7 +112,7 @@ def applicant_rows(new_rows: DataFrame, run_ts: datetime) -> DataFrame:
 
 def feature_rows(new_rows: DataFrame, run_ts: datetime) -> DataFrame:
     return new_rows.withColumns(
-        {"id": F.col("features_id"), "computed_at": F.lit(run_ts)}
+        {"id": natural_id(FEATURES), "computed_at": F.lit(run_ts)}
     ).select(*FEATURES.columns)
 
 
@@ -132,9 +129,8 @@ def load_features(
     write. In strict mode a row that cannot be stored stops the load before
     anything is written; otherwise such rows go to ``rejects`` with the reasons.
 
-    The input is read and coerced once, into a scratch copy. Each of the two
-    tables then shuffles only its own columns and the fingerprint; both keep the
-    same rows, since the first of each fingerprint is fixed by the row order.
+    The input is read and coerced once, into a scratch copy; the rows to insert are
+    found from its keys and written once, and both tables are plain copies of them.
     """
     run_ts = run_ts or datetime.now(timezone.utc)
     batch_id = batch_id or f"load-{run_ts:%Y%m%dT%H%M%S%f}"
@@ -154,10 +150,13 @@ def load_features(
         if config.dry_run:
             inserted = plan.new_rows.count()
         else:
-            inserted = store.write(APPLICANTS.name, applicant_rows(plan.new_rows, run_ts), batch_id)
-            store.write(FEATURES.name, feature_rows(plan.new_rows, run_ts), batch_id)
+            with staged(plan.new_rows, f"new-{batch_id}") as new_rows:
+                inserted = store.write(APPLICANTS.name, applicant_rows(new_rows, run_ts), batch_id)
+                store.write(FEATURES.name, feature_rows(new_rows, run_ts), batch_id)
             if rejected:
                 plan.rejects.write.mode("overwrite").parquet(store.path("rejects", batch_id))
+            else:  # what an earlier, failed attempt may have left
+                delete_folder(store.spark, store.path("rejects", batch_id))
             counts = {APPLICANTS.name: inserted, FEATURES.name: inserted, "rejects": rejected}
             store.publish(batch_id, counts, run_ts)
     return LoadResult(

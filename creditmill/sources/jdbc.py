@@ -25,23 +25,25 @@ def jdbc_options(
 def read_jdbc(
     spark: SparkSession,
     options: dict[str, str],
-    partition_column: str | None = None,
-    lower: str | int | None = None,
-    upper: str | int | None = None,
-    partitions: int = 1,
+    partition_column: str,
+    lower: str | int,
+    upper: str | int,
+    partitions: int,
 ) -> DataFrame:
-    """Read a table; give a partition column and its range to read it in parallel."""
-    reader = spark.read.format("jdbc").options(**options)
-    if partition_column is not None:
-        reader = reader.options(
+    """Read a table in parallel by ranges of a column."""
+    return (
+        spark.read.format("jdbc")
+        .options(**options)
+        .options(
             partitionColumn=partition_column,
             lowerBound=str(lower),
             upperBound=str(upper),
             numPartitions=str(partitions),
         )
-    return reader.load()
+        .load()
+    )
 
 
 def write_jdbc(df: DataFrame, options: dict[str, str], connections: int = 8) -> None:
-    """Append rows over a limited number of connections."""
-    df.coalesce(connections).write.format("jdbc").options(**options).mode("append").save()
+    """Append rows over a limited number of connections; what is before keeps its own tasks."""
+    df.repartition(connections).write.format("jdbc").options(**options).mode("append").save()

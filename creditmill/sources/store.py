@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditmill.operators.quality import duplicate_keys, orphans, row_violations
+from creditmill.session import delete_folder
 from creditmill.sources.tables import TABLES, Table
 
 _MANIFEST = "batch_id string, table_name string, row_count bigint, published_at timestamp"
@@ -46,13 +48,13 @@ class LoanStore:
     def manifest(self) -> DataFrame:
         return self._read_or_empty([f"{self.root}/manifest"], _MANIFEST)
 
-    def _batches(self, name: str) -> list[str]:
-        """Published batches of a table: one short string per load."""
-        rows = self.manifest().where(F.col("table_name") == name).select("batch_id").distinct()
-        return sorted(row["batch_id"] for row in rows.collect())
+    def _published(self, name: str) -> DataFrame:
+        """Ids of the published batches of a table."""
+        return self.manifest().where(F.col("table_name") == name).select("batch_id").distinct()
 
-    def is_published(self, batch_id: str) -> bool:
-        return not self.manifest().where(F.col("batch_id") == batch_id).isEmpty()
+    def is_published(self, batch_id: str, name: str | None = None) -> bool:
+        rows = self.manifest() if name is None else self._published(name)
+        return not rows.where(F.col("batch_id") == batch_id).isEmpty()
 
     def path(self, name: str, batch_id: str) -> str:
         if not re.fullmatch(r"[\w.-]+", batch_id):
@@ -60,13 +62,18 @@ class LoanStore:
         return f"{self.root}/{name}/batch_id={batch_id}"
 
     def read(self, name: str) -> DataFrame:
-        """All published rows of a table; an empty frame before the first load."""
-        paths = [self.path(name, batch) for batch in self._batches(name)]
-        return self._read_or_empty(paths, TABLES[name].schema)
+        """All published rows of a table; an empty frame before the first load.
+
+        Batches are folders of the table and joined with the manifest, so
+        their number never passes through the driver.
+        """
+        schema = T.StructType([*TABLES[name].schema, T.StructField("batch_id", T.StringType())])
+        rows = self._read_or_empty([f"{self.root}/{name}"], schema)
+        return rows.join(self._published(name), "batch_id", "left_semi").select(*TABLES[name].columns)
 
     def create_tables(self) -> None:
         """Publish an empty first batch of every table that has none."""
-        absent = [name for name in TABLES if not self._batches(name)]
+        absent = [name for name in TABLES if self._published(name).isEmpty()]
         for name in absent:
             empty = self.spark.createDataFrame([], TABLES[name].schema)
             self.write(name, empty, "created")
@@ -74,7 +81,12 @@ class LoanStore:
             self.publish("created", dict.fromkeys(absent, 0))
 
     def write(self, name: str, rows: DataFrame, batch_id: str) -> int:
-        """Write a batch of a table without publishing it; returns the rows written."""
+        """Write a batch of a table without publishing it; returns the rows written.
+
+        A batch that was published is never overwritten, one that was not is replaced.
+        """
+        if self.is_published(batch_id, name):
+            raise BatchExistsError(batch_id)
         table, path = TABLES[name], self.path(name, batch_id)
         columns = [F.col(f.name).cast(f.type).alias(f.name) for f in table.fields]
         rows.select(*columns).write.mode("overwrite").parquet(path)
@@ -97,15 +109,21 @@ class LoanStore:
     ) -> DataFrame:
         """Add key and time stamp, check every constraint, write and publish.
 
-        Columns the input lacks are null. Returns the stored rows.
+        Columns the input lacks are null. Returns the stored rows. The input is evaluated
+        once, into the batch's folder; the checks read that copy, and readers see it once it is published.
         """
         if self.is_published(batch_id):
             raise BatchExistsError(batch_id)
-        table = TABLES[name]
-        typed = with_defaults(rows, table, run_ts)
-        self._check(table, typed)
-        self.publish(batch_id, {name: self.write(name, typed, batch_id)}, run_ts)
-        return self.spark.read.schema(table.schema).parquet(self.path(name, batch_id))
+        table, run_ts = TABLES[name], run_ts or datetime.now(timezone.utc)
+        count = self.write(name, with_defaults(rows, table, run_ts), batch_id)
+        written = self.spark.read.schema(table.schema).parquet(self.path(name, batch_id))
+        try:
+            self._check(table, written)
+        except ConstraintError:
+            delete_folder(self.spark, self.path(name, batch_id))
+            raise
+        self.publish(batch_id, {name: count}, run_ts)
+        return written
 
     def create_applicants(self, rows: DataFrame, batch_id: str, run_ts=None) -> DataFrame:
         return self.append("loan_applicants", rows, batch_id, run_ts)

@@ -162,7 +162,8 @@ DOCUMENTS = Table(
         Field("embedding_vector", "array<float>"),
         Field("added_at", "timestamp", required=True),
     ),
-    natural_key=("source_name", "chunk_index"),
+    # Two texts of one source may both have a first chunk.
+    natural_key=("source_name", "chunk_index", "chunk_text"),
     stamp="added_at",
 )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +25,9 @@ def load_arrivals(
 ) -> StreamingQuery:
     """Load all parquet feature files not loaded yet, then stop.
 
-    Each micro-batch is one load batch named after its number, so a micro-batch
-    that is replayed after a failure finds itself published and does nothing.
+    Each micro-batch is one load batch named after its stream and its number, so a micro-batch
+    that is replayed after a failure finds itself published and does nothing. The
+    stream's id is the one that its checkpoint keeps: batches of another checkpoint never share a name.
     The files' own schema is used when none is given.
     """
     schema = schema or spark.read.parquet(landing).schema
@@ -38,8 +41,12 @@ def load_arrivals(
         )
     )
 
+    def stream_id() -> str:
+        kept = spark.read.text(f"{str(checkpoint).rstrip('/')}/metadata").first()[0]
+        return json.loads(kept)["id"]
+
     def load_batch(rows: DataFrame, number: int) -> None:
-        batch_id = f"{name}-{number:08d}"
+        batch_id = f"{name}-{stream_id()}-{number:08d}"
         if store.is_published(batch_id):
             return
         order = F.struct("_file", "_block", F.monotonically_increasing_id().alias("line"))

@@ -31,9 +31,9 @@ def brute_vectors():
     return vectors
 
 
-@pytest.mark.parametrize("limit", [1, 20, 500_000])
-def test_tfidf(spark, monkeypatch, limit):
-    monkeypatch.setattr(retrieval, "_FREQUENT_TERMS", limit)  # 1: no term is frequent; 500,000: all
+@pytest.mark.parametrize("salts", [1, 3, 16])
+def test_tfidf(spark, monkeypatch, salts):
+    monkeypatch.setattr(retrieval, "_SALTS", salts)
     chunks = spark.createDataFrame(list(TEXTS.items()), "id string, text string")
     vectors = retrieval.tfidf_vectors(chunks, "id", "text")
     found = {r["id"]: r["tfidf_vector"] for r in vectors.collect()}
@@ -41,11 +41,23 @@ def test_tfidf(spark, monkeypatch, limit):
     assert found.keys() == expected.keys()
     for key, vector in expected.items():
         assert found[key] == pytest.approx(vector)
-    top = retrieval.tfidf_top_k(vectors, "id", {"q": "Credit history credit"}, 2).orderBy("rank")
+    top = retrieval.tfidf_top_k(chunks, "id", "text", {"q": "Credit history credit"}, 2).orderBy("rank")
     wanted = {"credit", "history"}
     scores = {k: sum(v.get(t, 0) for t in wanted) / math.sqrt(2) for k, v in expected.items()}
-    best = sorted(scores.items(), key=lambda kv: (-round(kv[1], 6), kv[0]))[:2]
-    assert [(r["id"], r["score"]) for r in top.collect()] == [(k, round(s, 6)) for k, s in best]
+    best = sorted(scores.items(), key=lambda kv: (-round(kv[1], 12), kv[0]))[:2]
+    assert [(r["id"], r["score"]) for r in top.collect()] == [(k, pytest.approx(s)) for k, s in best]
+
+
+def test_a_term_of_every_chunk(spark):
+    rows = [(i, f"the w{chr(97 + i % 26)}") for i in range(200)]
+    vectors = retrieval.tfidf_vectors(spark.createDataFrame(rows, "id int, text string"), "id", "text").collect()
+    assert len(vectors) == 200 and all("the" in r["tfidf_vector"] for r in vectors)
+
+
+def test_ranks_by_unrounded_scores(spark):
+    rows = [(1, [1.0, 1e-4]), (2, [1.0, 0.9e-4]), (3, [1.0, 1.1e-4])]
+    top = retrieval.vector_top_k(spark.createDataFrame(rows, "id int, v array<double>"), "id", "v", {"q": [1.0, 0.0]}, 3)
+    assert [r["id"] for r in top.orderBy("rank").collect()] == [2, 1, 3]
 
 
 @pytest.mark.parametrize("words", [1, 64, 65, 448, 449, 512, 513, 576, 577, 2000])
@@ -69,7 +81,7 @@ def test_top_k_is_cut_before_the_shuffle(spark):
 def test_vector_top_k(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 2.0]), (4, [0.0, 0.0])], "id int, v array<float>")
     top = retrieval.vector_top_k(vectors, "id", "v", {"q": [0.0, 1.0]}, 2).orderBy("rank").collect()
-    assert [(r["id"], r["score"]) for r in top] == [(3, 1.0), (2, 0.707107)]
+    assert [(r["id"], r["score"]) for r in top] == [(3, 1.0), (2, pytest.approx(0.5**0.5))]
 
 
 def test_retrieval_quality(spark):
@@ -116,6 +128,15 @@ def test_classification(spark):
     assert evaluation.roc_auc(df, F.col("y"), F.col("s")).first()["auc"] == pytest.approx(wins)
 
 
+def test_auc_of_fine_and_large_scores(spark):
+    def auc(rows):
+        return evaluation.roc_auc(spark.createDataFrame(rows, "y int, s double"), F.col("y"), F.col("s")).first()["auc"]
+
+    assert auc([(1, 0.50004), (1, 0.50003), (0, 0.50002), (0, 0.50001)]) == 1.0
+    assert auc([(1, 250.0), (0, 1e9), (0, -1e9)]) == 0.5
+    assert auc([(1, 0.5)]) is None
+
+
 def test_fairness(spark):
     df = spark.createDataFrame([("f", 1, 1), ("f", 0, 0), ("m", 1, 0), ("m", 0, 0), ("m", 1, 1), (None, 1, 1)], "g string, y int, p int")
     groups = evaluation.fairness_by_group(df, "g", F.col("y"), F.col("p"))
@@ -130,3 +151,5 @@ def test_policy(spark):
     assert tiers == ["high", "medium", "medium", "low", None]
     shap = spark.createDataFrame([({"a": 0.1, "b": -0.9, "c": 0.5, "d": 0.5},)], "m map<string,double>")
     assert shap.select(policy.top_attributions(F.col("m"), 3)).first()[0] == ["b", "c", "d"]
+    missing = spark.createDataFrame([({"a": None, "b": 0.1},), ({"a": None},)], "m map<string,double>")
+    assert [r[0] for r in missing.select(policy.top_attributions(F.col("m"), 3)).collect()] == [["b"], []]

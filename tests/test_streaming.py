@@ -23,3 +23,25 @@ def test_arrivals_are_loaded_once(spark, raw, tmp_path):
     arrive(5, 15)  # half of them stored before
     assert run() == 15
     assert store.read("engineered_features").count() == 15
+
+
+def test_a_new_checkpoint_and_folder_share_the_store(spark, raw, tmp_path):
+    store = LoanStore(spark, str(tmp_path / "store"))
+    for folder, first in (("a", 0), ("b", 10)):
+        landing = str(tmp_path / folder)
+        changes = [{"person_income": str(50000 + 100 * i)} for i in range(first, first + 10)]
+        build_feature_table(raw(*changes)).write.parquet(landing)
+        load_arrivals(spark, landing, store, str(tmp_path / f"checkpoint-{folder}")).awaitTermination()
+    assert store.read("loan_applicants").count() == 20
+
+
+def test_a_replayed_batch_does_nothing(spark, raw, tmp_path):
+    landing, checkpoint = str(tmp_path / "landing"), tmp_path / "checkpoint"
+    store = LoanStore(spark, str(tmp_path / "store"))
+    build_feature_table(raw({"person_income": "61000"}, {"person_income": "62000"})).write.parquet(landing)
+    load_arrivals(spark, landing, store, str(checkpoint)).awaitTermination()
+    for file in (checkpoint / "commits").glob("*0*"):
+        file.unlink()  # as if the stream had stopped after the load and before its commit
+    load_arrivals(spark, landing, store, str(checkpoint)).awaitTermination()
+    assert store.read("loan_applicants").count() == 2
+    assert store.manifest().where("table_name = 'loan_applicants'").count() == 1
