@@ -212,10 +212,14 @@ _BLOCKS = {
     ),
     "applicant_keys": "SELECT row_no, id AS applicant_id FROM applicants",
     "models": _portable(samples.MODELS),
+    "texts": "SELECT doc_id, n_chars FROM documents",
     "predictions": _portable(samples.PREDICTIONS),
     "explanations": _portable(samples.EXPLANATIONS),
     "explanation_chunks": _portable(samples.EXPLANATION_CHUNKS),
     "assessments": _portable(samples.ASSESSMENTS),
+    "repeated_predictions": _portable(samples.REPEATED_PREDICTIONS),
+    "repeated_assessments": _portable(samples.REPEATED_ASSESSMENTS),
+    "long_evaluators": _portable(samples.LONG_EVALUATORS),
     "tokenised": (
         f"SELECT doc_id, source AS source_name, "
         f"string_split_regex({_trim('text')}, '[ \\t\\n\\r\\f]+') AS tokens "
@@ -242,8 +246,7 @@ _BLOCKS = {
     ),
     "judged": (
         "SELECT c.*, coalesce(l.quality = 1, false) AS relevant FROM explanation_chunks c "
-        "LEFT JOIN (SELECT concat('document-', doc_id, '-0') AS document_id, quality FROM labels) l "
-        "USING (document_id)"
+        "LEFT JOIN labels l ON l.doc_id = CAST(split_part(c.document_id, '-', 2) AS BIGINT)"
     ),
     "panel": (
         "SELECT explanation_id, evaluator_id, max(factual_accuracy) AS score "
@@ -414,6 +417,25 @@ _SELECTS = {
     "feature_table": (
         f"SELECT row_no, {_CLEAN_NUMBERS}, {_CLEAN_OTHERS}, {_DERIVED_DOUBLES}, {_DERIVED_OTHERS} FROM features"
     ),
+    "csv_clean_loans": f"SELECT {_CLEAN_NUMBERS}, {_CLEAN_OTHERS} FROM clean",
+    "csv_feature_table": (
+        f"SELECT {_CLEAN_NUMBERS}, {_CLEAN_OTHERS}, {_DERIVED_DOUBLES}, {_DERIVED_OTHERS} FROM features"
+    ),
+    "csv_row_numbers": (
+        "SELECT row_no AS loan_no, row_number() OVER (ORDER BY row_no) - 1 AS row_no FROM loan_raw"
+    ),
+    "store_loaded_applicants": f"SELECT {_ID} AS id, {_APPLICANT_COLUMNS} FROM first_rows",
+    "store_loaded_features": f"SELECT {_ID} AS applicant_id, {_FEATURE_COLUMNS} FROM first_rows",
+    "store_load_results": (
+        "SELECT batch_id, total, CASE WHEN batch_id = 'second' THEN 0 ELSE firsts END AS inserted, "
+        "total - rejected - inserted AS skipped, rejected FROM "
+        "(SELECT unnest(['dry', 'first', 'second']) AS batch_id, (SELECT count(*) FROM typed_batch) AS total, "
+        "(SELECT count(*) FROM first_rows) AS firsts, "
+        f"(SELECT count(*) FROM typed_batch WHERE NOT ({_STORABLE})) AS rejected) r"
+    ),
+    "store_appended_models": (
+        "SELECT id, algorithm, is_from_scratch, cv_accuracy, false AS is_champion FROM models WHERE algorithm <> 'svm'"
+    ),
     "feature_summary": (
         "SELECT count(*) AS row_count, 36::INTEGER AS column_count, "
         "CAST(sum(CAST(is_high_risk AS INTEGER)) AS BIGINT) AS high_risk_rows, "
@@ -458,19 +480,27 @@ _SELECTS = {
         for rule, condition in _RULES.items()
     ),
     "dq_rules": f"SELECT rule, count(*) AS row_count FROM ({_REJECTS}) r GROUP BY rule",
-    "dq_primary_key": _duplicates("predictions", "id"),
-    "dq_unique_prediction": _duplicates("predictions", "applicant_id, model_id"),
-    "dq_unique_assessment": _duplicates("assessments", "explanation_id, evaluator_id"),
+    "dq_primary_key": _duplicates("repeated_predictions", "id"),
+    "dq_unique_prediction": _duplicates("repeated_predictions", "applicant_id, model_id"),
+    "dq_unique_assessment": _duplicates("repeated_assessments", "explanation_id, evaluator_id"),
     "dq_orphan_features": (
         "SELECT a.id AS applicant_id, count(*) AS row_count FROM applicants a WHERE a.id NOT IN "
         f"(SELECT {_ID} FROM existing) GROUP BY a.id"
     ),
     "dq_orphan_prediction_applicants": _orphans("predictions", "applicant_id", "applicants"),
-    "dq_orphan_prediction_models": _orphans("predictions", "model_id", "models"),
-    "dq_orphan_explanations": _orphans("explanations", "prediction_id", "predictions"),
-    "dq_orphan_chunk_explanations": _orphans("explanation_chunks", "explanation_id", "explanations"),
+    "dq_orphan_prediction_models": _orphans(
+        "predictions", "model_id", "(SELECT * FROM models WHERE NOT is_champion)"
+    ),
+    "dq_orphan_explanations": _orphans(
+        "explanations", "prediction_id", "(SELECT * FROM predictions WHERE approval_probability >= 0.1)"
+    ),
+    "dq_orphan_chunk_explanations": _orphans(
+        "explanation_chunks", "explanation_id", "(SELECT * FROM explanations WHERE llm_response IS NOT NULL)"
+    ),
     "dq_orphan_chunk_documents": _orphans("explanation_chunks", "document_id", "chunks"),
-    "dq_orphan_assessments": _orphans("assessments", "explanation_id", "explanations"),
+    "dq_orphan_assessments": _orphans(
+        "assessments", "explanation_id", "(SELECT * FROM explanations WHERE llm_response IS NOT NULL)"
+    ),
     "dq_enum_domain": (
         "SELECT algorithm, count(*) AS row_count FROM models WHERE algorithm NOT IN "
         "('logistic_regression', 'decision_tree', 'random_forest', 'gradient_boosting', 'naive_bayes') "
@@ -480,7 +510,7 @@ _SELECTS = {
         "SELECT row_no, round(loan_percent_income * 16, 6) AS loan_percent_income FROM features "
         "WHERE TRY_CAST(loan_percent_income * 16 AS DECIMAL(5,4)) IS NULL AND loan_percent_income IS NOT NULL"
     ),
-    "dq_string_length": "SELECT id FROM explanations WHERE length(id) > 17",
+    "dq_string_length": "SELECT id FROM long_evaluators WHERE length(evaluator_id) > 50",
     "dq_likert": (
         "SELECT id, policy_traceability, factual_accuracy, completeness, actionability FROM assessments "
         "WHERE policy_traceability NOT BETWEEN 1 AND 5 OR factual_accuracy NOT BETWEEN 1 AND 5 "
@@ -498,7 +528,7 @@ _SELECTS = {
         "WHERE id = (SELECT min(id) FROM applicants)"
     ),
     "lookup_model": f"SELECT {_MODEL_COLUMNS} FROM models WHERE id = 'model-7'",
-    "lookup_prediction": "SELECT min(id) AS id FROM predictions",
+    "lookup_prediction": "SELECT * FROM predictions WHERE id = (SELECT min(id) FROM predictions)",
     "lookup_explanation": (
         "SELECT * FROM explanations WHERE prediction_id = (SELECT min(prediction_id) FROM explanations) LIMIT 1"
     ),

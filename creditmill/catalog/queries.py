@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditmill.catalog.samples import Samples
-from creditmill.config import FEATURE_COLUMNS, RAW_COLUMNS
+from creditmill.config import FEATURE_COLUMNS, RAW_COLUMNS, LoadConfig
 from creditmill.operators import evaluation, features, joins, lookup, policy, quality, retrieval
 from creditmill.operators.cleaning import clean_loans, count_age_outliers
 from creditmill.operators.coercion import (
@@ -18,9 +18,12 @@ from creditmill.operators.coercion import (
 )
 from creditmill.operators.dedup import distinct_fingerprints, first_occurrences
 from creditmill.operators.summary import summarise, summary_counts, value_counts
-from creditmill.plans.feature_table import build_feature_table
-from creditmill.plans.load import LoadPlan, chunk_counters, load_counters, plan_load
+from creditmill.plans.feature_table import build_feature_table, run_features
+from creditmill.plans.load import LoadPlan, chunk_counters, load_counters, load_features, plan_load
+from creditmill.session import scratch_path
 from creditmill.sources import tables
+from creditmill.sources.files import load_raw, number_rows, read_csv
+from creditmill.sources.store import LoanStore
 
 SCORES = ("policy_traceability", "factual_accuracy", "completeness", "actionability")
 PANEL = ("evaluator_1", "evaluator_2", "evaluator_3")
@@ -131,6 +134,70 @@ def feature_table(s: Samples) -> DataFrame:
     return build_feature_table(s.loan_raw(), extra=("row_no",))
 
 
+# --- files and stored tables ---------------------------------------------------
+
+
+def _raw_csv(s: Samples) -> str:
+    """The raw applications as CSV: columns in another order, one more, missing values as NA."""
+    path = scratch_path(s.spark, "raw-csv")
+    columns = ["row_no", *reversed(RAW_COLUMNS)]
+    s.loan_raw().select(*columns).write.csv(path, header=True, nullValue="NA")
+    return path
+
+
+def csv_clean(s: Samples) -> DataFrame:
+    return clean_loans(load_raw(s.spark, _raw_csv(s))).select(*RAW_COLUMNS)
+
+
+def csv_features(s: Samples) -> DataFrame:
+    """The whole job, from CSV to a written feature table."""
+    return run_features(s.spark, _raw_csv(s), scratch_path(s.spark, "features"))
+
+
+def csv_row_numbers(s: Samples) -> DataFrame:
+    """Positions in file order of applications written in the order of their numbers."""
+    path = scratch_path(s.spark, "ordered-csv")
+    s.loan_raw().select(F.col("row_no").alias("loan_no"), "person_age").orderBy("loan_no").write.csv(path, header=True)
+    rows = number_rows(read_csv(s.spark, path, with_order=True))
+    return rows.select(F.col("loan_no").cast("bigint").alias("loan_no"), F.col("row_no").cast("bigint").alias("row_no"))
+
+
+def _store(s: Samples) -> LoanStore:
+    return LoanStore(s.spark, scratch_path(s.spark, "store"))
+
+
+def stored_applicants(s: Samples) -> DataFrame:
+    store = _store(s)
+    load_features(s.loan_batch(), store, batch_id="first")
+    return store.read("loan_applicants").select("id", *_columns(tables.APPLICANTS, "id", "created_at", "loan_grade"))
+
+
+def stored_features(s: Samples) -> DataFrame:
+    store = _store(s)
+    load_features(s.loan_batch(), store, batch_id="first")
+    return store.read("engineered_features").select(*_columns(tables.FEATURES, "id", "computed_at"))
+
+
+def load_results(s: Samples) -> DataFrame:
+    """Counters of a dry run, a load and a second load of the same rows."""
+    store, batch = _store(s), s.loan_batch()
+    results = [
+        load_features(batch, store, LoadConfig(dry_run=True), batch_id="dry"),
+        load_features(batch, store, batch_id="first"),
+        load_features(batch, store, batch_id="second"),
+    ]
+    rows = [(r.batch_id, r.total, r.inserted, r.skipped, r.rejected) for r in results]
+    return s.spark.createDataFrame(
+        rows, "batch_id string, total bigint, inserted bigint, skipped bigint, rejected bigint"
+    )
+
+
+def stored_models(s: Samples) -> DataFrame:
+    """Models appended without their champion flag, which has a default."""
+    kept = s.models().where("algorithm <> 'svm'").drop("is_champion", "trained_at")
+    return _store(s).create_models(kept, "models").select("id", "algorithm", "is_from_scratch", "cv_accuracy", "is_champion")
+
+
 # --- summaries ---------------------------------------------------------------
 
 
@@ -218,15 +285,15 @@ def dq_rules(s: Samples) -> DataFrame:
 
 
 def dq_primary_key(s: Samples) -> DataFrame:
-    return quality.duplicate_keys(s.predictions(), ["id"])
+    return quality.duplicate_keys(s.repeated_predictions(), ["id"])
 
 
 def dq_unique(s: Samples) -> DataFrame:
-    return quality.duplicate_keys(s.predictions(), ["applicant_id", "model_id"])
+    return quality.duplicate_keys(s.repeated_predictions(), ["applicant_id", "model_id"])
 
 
 def dq_unique_assessment(s: Samples) -> DataFrame:
-    return quality.duplicate_keys(s.assessments(), ["explanation_id", "evaluator_id"])
+    return quality.duplicate_keys(s.repeated_assessments(), ["explanation_id", "evaluator_id"])
 
 
 def dq_orphan_applicants(s: Samples) -> DataFrame:
@@ -234,15 +301,21 @@ def dq_orphan_applicants(s: Samples) -> DataFrame:
 
 
 def dq_orphan_models(s: Samples) -> DataFrame:
-    return quality.orphans(s.predictions(), "model_id", s.models())
+    return quality.orphans(s.predictions(), "model_id", s.models().where("not is_champion"))
 
 
 def dq_orphan_predictions(s: Samples) -> DataFrame:
-    return quality.orphans(s.explanations(), "prediction_id", s.predictions())
+    return quality.orphans(
+        s.explanations(), "prediction_id", s.predictions().where("approval_probability >= 0.1")
+    )
+
+
+def _answered(s: Samples) -> DataFrame:
+    return s.explanations().where("llm_response is not null")
 
 
 def dq_orphan_explanations(s: Samples) -> DataFrame:
-    return quality.orphans(s.explanation_chunks(), "explanation_id", s.explanations())
+    return quality.orphans(s.explanation_chunks(), "explanation_id", _answered(s))
 
 
 def dq_orphan_documents(s: Samples) -> DataFrame:
@@ -250,7 +323,7 @@ def dq_orphan_documents(s: Samples) -> DataFrame:
 
 
 def dq_orphan_assessments(s: Samples) -> DataFrame:
-    return quality.orphans(s.assessments(), "explanation_id", s.explanations())
+    return quality.orphans(s.assessments(), "explanation_id", _answered(s))
 
 
 def dq_orphan_features(s: Samples) -> DataFrame:
@@ -272,7 +345,8 @@ def dq_decimal_range(s: Samples) -> DataFrame:
 
 
 def dq_string_length(s: Samples) -> DataFrame:
-    return quality.too_long(s.explanations(), "id", 17).select("id")
+    limit = tables.ASSESSMENTS.field("evaluator_id").max_length
+    return quality.too_long(s.long_evaluators(), "evaluator_id", limit).select("id")
 
 
 def dq_likert(s: Samples) -> DataFrame:
@@ -318,8 +392,8 @@ def lookup_model(s: Samples) -> DataFrame:
 
 
 def lookup_prediction(s: Samples) -> DataFrame:
-    table = s.predictions().dropDuplicates(["id"])
-    return lookup.get_by_id(table, _first_key(table)).select("id")
+    table = s.predictions()
+    return lookup.get_by_id(table, _first_key(table))
 
 
 def lookup_explanation(s: Samples) -> DataFrame:
@@ -422,10 +496,10 @@ def score_maps(s: Samples) -> DataFrame:
 def _judged_chunks(s: Samples) -> DataFrame:
     """Retrieved chunks with the quality label of their document; unlabelled is not relevant."""
     labels = s.table("labels").select(
-        F.concat(F.lit("document-"), F.col("doc_id").cast("string"), F.lit("-0")).alias("document_id"),
-        "quality",
+        F.col("doc_id").cast("string").alias("document"), "quality"
     )
-    return s.explanation_chunks().join(labels, "document_id", "left")
+    chunks = s.explanation_chunks().withColumn("document", F.split_part("document_id", F.lit("-"), F.lit(2)))
+    return chunks.join(labels, "document", "left").drop("document")
 
 
 def precision_at_k(s: Samples) -> DataFrame:
@@ -511,6 +585,13 @@ QUERIES = {
     "risk_score": risk_score,
     "risk_baseline": risk_baseline,
     "feature_table": feature_table,
+    "csv_clean_loans": csv_clean,
+    "csv_feature_table": csv_features,
+    "csv_row_numbers": csv_row_numbers,
+    "store_loaded_applicants": stored_applicants,
+    "store_loaded_features": stored_features,
+    "store_load_results": load_results,
+    "store_appended_models": stored_models,
     "feature_summary": feature_summary,
     "value_counts_income_bucket": counts_income_bucket,
     "value_counts_credit_score_tier": counts_credit_tier,

@@ -67,20 +67,22 @@ SELECT concat('model-', CAST(s_suppkey AS STRING)) AS id,
 FROM {supplier}
 """
 
+# One prediction per application and model, from all line items of the pair.
 PREDICTIONS = """
-SELECT concat('prediction-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id,
+SELECT concat('prediction-', CAST(l_orderkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS id,
   coalesce(applicant_id, concat('order-', CAST(l_orderkey AS STRING))) AS applicant_id,
   concat('model-', CAST(l_suppkey AS STRING)) AS model_id,
-  CASE WHEN (l_orderkey * 13 + l_linenumber * 101) % 10001 >= 5000
-       THEN 'approved' ELSE 'rejected' END AS predicted_outcome,
-  CAST((l_orderkey * 13 + l_linenumber * 101) % 10001 / 10000.0 AS DECIMAL(6,4))
-    AS approval_probability
-FROM {lineitem} LEFT JOIN {applicant_keys} ON l_orderkey = row_no
+  CASE WHEN base % 10001 >= 5000 THEN 'approved' ELSE 'rejected' END AS predicted_outcome,
+  CAST(base % 10001 / 10000.0 AS DECIMAL(6,4)) AS approval_probability
+FROM (
+  SELECT l_orderkey, l_suppkey, l_orderkey * 13 + CAST(sum(l_linenumber) AS BIGINT) * 101 AS base
+  FROM {lineitem} GROUP BY l_orderkey, l_suppkey
+) AS pairs LEFT JOIN {applicant_keys} ON l_orderkey = row_no
 """
 
 EXPLANATIONS = """
-SELECT concat('explanation-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id,
-  concat('prediction-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING))
+SELECT concat('explanation-', CAST(l_orderkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS id,
+  concat('prediction-', CAST(l_orderkey AS STRING), '-', CAST(l_suppkey AS STRING))
     AS prediction_id,
   CASE WHEN l_orderkey % 3 = 0 THEN 'vector' ELSE 'tfidf' END AS retriever_type,
   5 AS retrieval_k,
@@ -89,25 +91,28 @@ SELECT concat('explanation-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber
        WHEN l_orderkey % 401 = 6 THEN NULL
        ELSE 'The loan was decided on stable income and credit score.' END AS llm_response,
   CAST(80 + l_orderkey % 200 AS INT) AS generation_latency_ms
-FROM {lineitem} WHERE l_linenumber <= 2
+FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM {lineitem}) AS pairs
 """
 
+# A chunk has 448 new words, so a text of 3,000 characters more has at least about one chunk more.
 EXPLANATION_CHUNKS = """
 SELECT concat(explanation_id, '-', CAST(rank AS STRING)) AS id, explanation_id,
-  concat('document-', CAST(picked % (CAST(document_count AS BIGINT) + 1) AS STRING), '-0')
-    AS document_id,
+  concat('document-', CAST(document AS STRING), '-',
+         CAST(picked % (1 + CAST(floor(coalesce(n_chars, 0) / 3000) AS BIGINT)) AS STRING)) AS document_id,
   rank,
   CAST((10000 - rank * 1500 - picked % 997) / 10000.0 AS DECIMAL(8,6)) AS retrieval_score
 FROM (
-  SELECT concat('explanation-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING))
-           AS explanation_id,
-    CAST(rank AS INT) AS rank,
-    CASE WHEN l_orderkey % 3 = 1 AND rank = 1 THEN 0
-         ELSE l_orderkey * 7 + l_linenumber * 31 + rank * 13 END AS picked,
-    (SELECT count(*) FROM {documents}) AS document_count
-  FROM (SELECT l_orderkey, l_linenumber, {series} AS rank FROM {lineitem}
-        WHERE l_linenumber <= 2) AS ranked
-) AS chosen
+  SELECT *, picked % (CAST(document_count AS BIGINT) + 1) AS document FROM (
+    SELECT concat('explanation-', CAST(l_orderkey AS STRING), '-', CAST(l_suppkey AS STRING))
+             AS explanation_id,
+      CAST(rank AS INT) AS rank,
+      CASE WHEN l_orderkey % 3 = 1 AND rank = 1 THEN 0
+           ELSE l_orderkey * 7 + l_suppkey * 31 + rank * 13 END AS picked,
+      (SELECT count(*) FROM {documents}) AS document_count
+    FROM (SELECT l_orderkey, l_suppkey, {series} AS rank
+          FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM {lineitem}) AS pairs) AS ranked
+  ) AS numbered
+) AS chosen LEFT JOIN {texts} ON doc_id = document
 """
 
 ASSESSMENTS = """
@@ -120,16 +125,32 @@ SELECT concat(explanation_id, '-', CAST(evaluator AS STRING)) AS id, explanation
   CAST(1 + (base * 7 + evaluator) % 5 AS INT) AS completeness,
   CAST(1 + (base + evaluator * evaluator) % 5 AS INT) AS actionability
 FROM (
-  SELECT concat('explanation-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING))
+  SELECT concat('explanation-', CAST(l_orderkey AS STRING), '-', CAST(l_suppkey AS STRING))
            AS explanation_id,
     CAST(evaluator AS INT) AS evaluator,
-    l_orderkey * 2 + l_linenumber AS base,
+    l_orderkey * 2 + l_suppkey AS base,
     CASE WHEN (l_orderkey + evaluator * 5) % 7 < 2 THEN 1 ELSE 0 END AS shift
-  FROM (SELECT l_orderkey, l_linenumber, {series3} AS evaluator FROM {lineitem}
-        WHERE l_linenumber <= 2) AS panel
+  FROM (SELECT l_orderkey, l_suppkey, {series3} AS evaluator
+        FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM {lineitem}) AS pairs) AS panel
 ) AS rated
 """
 
+# The same tables with violations put in, for the checks that look for them.
+REPEATED_PREDICTIONS = """
+SELECT * FROM {predictions} UNION ALL
+SELECT * FROM {predictions} WHERE model_id IN ('model-7', 'model-8')
+"""
+
+REPEATED_ASSESSMENTS = """
+SELECT * FROM {assessments} UNION ALL
+SELECT * FROM {assessments} WHERE completeness = 5 AND evaluator_id = 'evaluator_2'
+"""
+
+LONG_EVALUATORS = """
+SELECT id, CASE WHEN completeness = 5 THEN repeat(evaluator_id, 6) ELSE evaluator_id END AS evaluator_id
+FROM {assessments}
+"""
+
 
 _WRITTEN: dict[tuple[str, str], DataFrame] = {}
 
@@ -210,8 +231,20 @@ class Samples:
 
     def explanation_chunks(self) -> DataFrame:
         return self._sql(
-            EXPLANATION_CHUNKS, lineitem=self.table("lineitem"), documents=self.table("documents")
+            EXPLANATION_CHUNKS,
+            lineitem=self.table("lineitem"),
+            documents=self.table("documents"),
+            texts=self.table("documents").select("doc_id", "n_chars"),
         )
 
     def assessments(self) -> DataFrame:
         return self._sql(ASSESSMENTS, lineitem=self.table("lineitem"))
+
+    def repeated_predictions(self) -> DataFrame:
+        return self._sql(REPEATED_PREDICTIONS, predictions=self.predictions())
+
+    def repeated_assessments(self) -> DataFrame:
+        return self._sql(REPEATED_ASSESSMENTS, assessments=self.assessments())
+
+    def long_evaluators(self) -> DataFrame:
+        return self._sql(LONG_EVALUATORS, assessments=self.assessments())

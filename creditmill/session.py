@@ -60,14 +60,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     Later jobs read only the columns they need from it, and a lost executor
     costs no recomputation.
     """
-    return _written(df, _scratch_path(df.sparkSession, label))
+    return _written(df, scratch_path(df.sparkSession, label))
 
 
 @contextmanager
 def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
     """``stage`` for the length of a job; the copy is deleted at the end."""
     spark = df.sparkSession
-    path = _scratch_path(spark, label)
+    path = scratch_path(spark, label)
     try:
         yield _written(df, path)
     finally:
@@ -79,7 +79,7 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def _scratch_path(spark: SparkSession, label: str) -> str:
+def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 

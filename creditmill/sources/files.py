@@ -34,14 +34,18 @@ def file_order() -> Column:
     )
 
 
-def read_csv(spark: SparkSession, path, with_order: bool = False) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path, with_order: bool = False, multi_line: bool = False
+) -> DataFrame:
     """A CSV file or folder with a header, every column as text.
 
     With ``enforceSchema`` off, a file of the folder whose header differs from
     the first one is an error; otherwise its values would be bound by position
-    to the wrong columns.
+    to the wrong columns. ``multi_line`` keeps line breaks inside quotes; such a
+    file cannot be split, so it is off unless the files need it.
     """
-    df = spark.read.options(header=True, enforceSchema=False, quote='"', escape='"').csv(str(path))
+    options = {"header": True, "enforceSchema": False, "quote": '"', "escape": '"', "multiLine": multi_line}
+    df = spark.read.options(**options).csv(str(path))
     if with_order:
         df = df.withColumn("row_order", file_order())
     return blank_missing_tokens(df)
