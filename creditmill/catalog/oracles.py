@@ -657,6 +657,32 @@ _SELECTS = {
         "FROM features) v) ranked "
         "WHERE place <= 3 GROUP BY row_no"
     ),
+    "splits_and_folds": (
+        "SELECT row_no, CASE WHEN h % 10000 < 2000 THEN 'test' WHEN h % 10000 < 3000 THEN 'validation' "
+        "ELSE 'train' END AS source_split, CAST(f % 5 AS INTEGER) AS fold FROM (SELECT row_no, "
+        "CAST(concat('0x', substr(md5(concat('split|42|', row_no)), 1, 8)) AS BIGINT) AS h, "
+        "CAST(concat('0x', substr(md5(concat('fold|42|', row_no)), 1, 8)) AS BIGINT) AS f FROM loan_raw) r"
+    ),
+    "phrase_flags": (
+        "SELECT id, concat_ws(',', CASE WHEN contains(t, 'guaranteed') THEN 'guaranteed' END, "
+        "CASE WHEN contains(t, '100% sure') THEN '100% sure' END, CASE WHEN contains(t, 'no risk') THEN 'no risk' END) "
+        "AS phrases FROM (SELECT id, lower(coalesce(llm_response, '')) AS t FROM explanations UNION ALL "
+        "SELECT concat_ws('-', conv_id, turn), lower(coalesce(text, '')) FROM conversations) x"
+    ),
+    "confidence_flags": (
+        "SELECT id, approval_probability > 0.35 AND approval_probability < 0.65 AS low_confidence FROM predictions"
+    ),
+    "constructed_prompts": (
+        "SELECT explanation_id, md5(concat(string_agg(concat('[', rank, '] ', chunk_text), chr(10) "
+        "ORDER BY rank, chunk_text), chr(10), 'Why was the loan decided so?')) AS prompt_md5 "
+        "FROM explanation_chunks c JOIN chunks d ON d.id = c.document_id WHERE rank <= 3 GROUP BY explanation_id"
+    ),
+    "krippendorff_alpha": (
+        "SELECT count(*) AS items, round(1 - sum(2 * (m * q - s * s) / (m - 1)) / "
+        "(2 * (sum(m) * sum(q) - sum(s) * sum(s)) / (sum(m) - 1)), 6) AS alpha FROM (SELECT explanation_id, "
+        "count(*)::DOUBLE AS m, sum(score)::DOUBLE AS s, sum(score * score)::DOUBLE AS q FROM panel "
+        "GROUP BY explanation_id HAVING count(*) > 1) u"
+    ),
 }
 
 ORACLES = {name: _query(select) for name, select in _SELECTS.items()}

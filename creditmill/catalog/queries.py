@@ -8,7 +8,17 @@ from pyspark.sql import types as T
 
 from creditmill.catalog.samples import Samples
 from creditmill.config import FEATURE_COLUMNS, RAW_COLUMNS, LoadConfig
-from creditmill.operators import evaluation, features, joins, lookup, policy, quality, retrieval
+from creditmill.operators import (
+    evaluation,
+    features,
+    joins,
+    lookup,
+    output_rules,
+    policy,
+    quality,
+    retrieval,
+    splits,
+)
 from creditmill.operators.cleaning import clean_loans, count_age_outliers
 from creditmill.operators.coercion import (
     coerce_applicant,
@@ -572,6 +582,38 @@ def top_attributions(s: Samples) -> DataFrame:
     )
 
 
+def splits_and_folds(s: Samples) -> DataFrame:
+    return s.loan_raw().select(
+        "row_no",
+        splits.source_split(F.col("row_no"), validation_share=0.1).alias("source_split"),
+        splits.fold(F.col("row_no")).alias("fold"),
+    )
+
+
+def phrase_flags(s: Samples) -> DataFrame:
+    """Disallowed phrases in explanations and in all conversation turns."""
+    answers = s.explanations().select("id", F.col("llm_response").alias("text"))
+    turns = s.table("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    found = output_rules.disallowed_phrases(F.col("text"))
+    return answers.unionByName(turns).select("id", F.array_join(found, ",").alias("phrases"))
+
+
+def confidence_flags(s: Samples) -> DataFrame:
+    return s.predictions().select("id", output_rules.low_confidence(F.col("approval_probability")).alias("low_confidence"))
+
+
+def constructed_prompts(s: Samples) -> DataFrame:
+    """Prompts of all explanations from their retrieved chunks."""
+    texts = s.documents().select(F.col("id").alias("document_id"), "chunk_text")
+    chunks = s.explanation_chunks().join(texts, "document_id")
+    made = output_rules.prompts(chunks, "explanation_id", "rank", "chunk_text", F.lit("Why was the loan decided so?"), 3)
+    return made.select("explanation_id", F.md5(F.col("constructed_prompt").cast("binary")).alias("prompt_md5"))
+
+
+def alpha(s: Samples) -> DataFrame:
+    return evaluation.krippendorff_alpha(s.assessments(), "explanation_id", "evaluator_id", "factual_accuracy")
+
+
 QUERIES = {
     "clean_loans": clean,
     "age_outliers": age_outliers,
@@ -653,4 +695,9 @@ QUERIES = {
     "fairness_gaps": fairness_gaps,
     "decision_actions": decision_actions,
     "top_attributions": top_attributions,
+    "splits_and_folds": splits_and_folds,
+    "phrase_flags": phrase_flags,
+    "confidence_flags": confidence_flags,
+    "constructed_prompts": constructed_prompts,
+    "krippendorff_alpha": alpha,
 }

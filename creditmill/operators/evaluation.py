@@ -151,6 +151,33 @@ def rater_agreement(ratings: DataFrame, score: str, panel: Sequence[str]) -> Dat
     )
 
 
+def krippendorff_alpha(ratings: DataFrame, item: str, rater: str, score: str) -> DataFrame:
+    """Krippendorff's alpha for interval scores, any number of raters and missing ratings; one row.
+
+    A rater's repeated ratings of an item count as one, their mean. Disagreement within items and overall
+    follows from sums of scores and their squares, so nothing is paired: items are combined before
+    the shuffle and one row reaches the end. Null without two ratings of some item or without any spread.
+    """
+    own = (
+        ratings.where(F.col(score).isNotNull())
+        .groupBy(item, rater)
+        .agg(F.avg(score).alias("x"))
+    )
+    units = own.groupBy(item).agg(
+        F.count(F.lit(1)).alias("m"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")
+    ).where("m > 1")
+    within = 2 * (F.col("m") * F.col("q") - F.col("s") * F.col("s")) / (F.col("m") - 1)
+    totals = units.agg(
+        F.count(F.lit(1)).alias("items"),
+        F.sum("m").alias("n"),
+        F.sum("s").alias("s"),
+        F.sum("q").alias("q"),
+        F.sum(within).alias("within"),
+    )
+    overall = 2 * (F.col("n") * F.col("q") - F.col("s") * F.col("s")) / (F.col("n") - 1)
+    return totals.select("items", (1.0 - F.try_divide(F.col("within"), overall)).alias("alpha"))
+
+
 def rubric_means(ratings: DataFrame, scores: Sequence[str]) -> DataFrame:
     """Mean rubric scores of both systems under comparison."""
     return ratings.groupBy("is_rag_system").agg(
