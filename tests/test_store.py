@@ -137,3 +137,40 @@ def test_key_checks(spark):
     assert [tuple(r) for r in quality.duplicate_keys(child, ["fk"]).collect()] == [("p", 2)]
     models = spark.createDataFrame([(True,), (True,), (False,), (None,)], "is_champion boolean")
     assert tuple(quality.champion_count(models).first()) == (2, False)
+
+
+def test_a_lookup_skips_row_groups(spark, store):
+    rows = spark.range(400).selectExpr(
+        "concat('model-', id) AS id", "'random_forest' AS algorithm", "id % 2 = 0 AS is_from_scratch"
+    )
+    store.create_models(rows.repartition(8), "models")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = lookup.get_by_id(store.read("ml_models"), "model-77")
+        assert [r["id"] for r in found.collect()] == ["model-77"]
+        plan = found._jdf.queryExecution().executedPlan()
+        assert "EqualTo(id,model-77)" in plan.toString()
+        leaves = plan.collectLeaves()
+        read = [
+            leaves.apply(i).metrics().apply("numOutputRows").value()
+            for i in range(leaves.size())
+            if "EqualTo(id" in leaves.apply(i).toString()
+        ]
+        assert read and sum(read) <= 100  # two of eight row groups at most
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_ids_and_batches_are_stable(spark, store):
+    rows = spark.createDataFrame([("svm_like", 1)], "model_path string, x int").selectExpr(
+        "model_path", "'random_forest' AS algorithm", "true AS is_from_scratch"
+    )
+    made = store.create_models(rows, "first")
+    assert made.select("id").first() == made.select("id").first()
+    with pytest.raises(BatchExistsError):
+        store.write("ml_models", made, "first")
+    texts = spark.createDataFrame(
+        [("policy", 0, "one text"), ("policy", 0, "another text")], "source_name string, chunk_index int, chunk_text string"
+    )
+    assert store.append("retrieval_documents", texts, "texts").count() == 2
