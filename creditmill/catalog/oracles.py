@@ -480,6 +480,18 @@ _SELECTS = {
         for rule, condition in _RULES.items()
     ),
     "dq_rules": f"SELECT rule, count(*) AS row_count FROM ({_REJECTS}) r GROUP BY rule",
+    "dq_table_rules": (
+        "SELECT table_name, rule, count(*) AS row_count FROM ("
+        "SELECT 'ml_models' AS table_name, 'algorithm: not in domain' AS rule FROM models WHERE algorithm = 'svm' "
+        "UNION ALL SELECT 'ml_models', 'trained_at: required' FROM models WHERE trained_at IS NULL "
+        "UNION ALL SELECT 'ml_models', 'is_champion: required' FROM models WHERE false "
+        "UNION ALL SELECT 'model_predictions', 'predicted_outcome: not in domain' FROM predictions WHERE model_id = 'model-7' "
+        "UNION ALL SELECT 'model_predictions', 'risk_tier: too long' FROM predictions WHERE model_id = 'model-8' "
+        "UNION ALL SELECT 'rag_explanations', 'llm_response: required' FROM explanations WHERE llm_response IS NULL "
+        "UNION ALL SELECT 'evaluator_assessments', 'evaluator_id: too long' FROM long_evaluators WHERE length(evaluator_id) > 50 "
+        "UNION ALL SELECT 'evaluator_assessments', 'policy_traceability: out of range' FROM assessments "
+        "WHERE policy_traceability NOT BETWEEN 1 AND 5) v GROUP BY table_name, rule"
+    ),
     "dq_primary_key": _duplicates("repeated_predictions", "id"),
     "dq_unique_prediction": _duplicates("repeated_predictions", "applicant_id, model_id"),
     "dq_unique_assessment": _duplicates("repeated_assessments", "explanation_id, evaluator_id"),

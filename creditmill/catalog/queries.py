@@ -294,6 +294,25 @@ def dq_rules(s: Samples) -> DataFrame:
     return quality.rule_counts(rejects)
 
 
+def dq_table_rules(s: Samples) -> DataFrame:
+    """Rows per broken row rule of the tables with violations put in; one pass per table."""
+    late = F.when(F.col("model_id") == "model-7", "maybe").otherwise(F.col("predicted_outcome"))
+    tier = F.when(F.col("model_id") == "model-8", F.repeat(F.lit("x"), F.lit(21)))
+    frames = {
+        tables.MODELS: s.models(),
+        tables.PREDICTIONS: s.predictions().withColumns({"predicted_outcome": late, "risk_tier": tier}),
+        tables.EXPLANATIONS: s.explanations(),
+        tables.ASSESSMENTS: s.assessments().drop("evaluator_id").join(s.long_evaluators(), "id"),
+    }
+    found = None
+    for table, rows in frames.items():
+        broken = quality.row_violations(table, skip=set(table.columns) - set(rows.columns))
+        counts = quality.rule_counts(rows.select(broken.alias("violations")))
+        counts = counts.select(F.lit(table.name).alias("table_name"), "rule", "row_count")
+        found = counts if found is None else found.unionByName(counts)
+    return found
+
+
 def dq_primary_key(s: Samples) -> DataFrame:
     return quality.duplicate_keys(s.repeated_predictions(), ["id"])
 
@@ -649,6 +668,7 @@ QUERIES = {
     "load_rejects": load_rejects,
     "dq_not_null": dq_not_null,
     "dq_rules": dq_rules,
+    "dq_table_rules": dq_table_rules,
     "dq_primary_key": dq_primary_key,
     "dq_unique_prediction": dq_unique,
     "dq_unique_assessment": dq_unique_assessment,
