@@ -21,7 +21,7 @@ from creditmill.llm.common import add_columns
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of each of a worker's two caches; a full cache is emptied. Results do not depend on it.
-CACHE = 250_000
+CACHE = 150_000
 #: Leaves up to which pieces are merged in step with others; longer ones are merged alone.
 LOCKSTEP = 64
 _NONE = 1 << 62

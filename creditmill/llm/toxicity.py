@@ -33,7 +33,7 @@ CUT = 0.3
 #: Positives that a language needs in the calibration rows to get its own threshold.
 CALIBRATION_POSITIVES = 20
 #: Words whose filter responses a worker keeps; the table is then begun anew.
-WORDS = 200_000
+WORDS = 120_000
 _FEATURES = len(PREFIXES) + 1
 
 
@@ -52,6 +52,12 @@ def buckets(word: str) -> list[int]:
     return [zlib.crc32(p) % (BUCKETS - 1) + 1 for p in parts]
 
 
+def bucket_table(some) -> np.ndarray:
+    """(words, buckets of each), filled word by word, so that no list of numbers is held."""
+    flat = np.fromiter((b for word in some for b in buckets(word)), np.int32, len(some) * _FEATURES)
+    return flat.reshape(-1, _FEATURES)
+
+
 def words(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
@@ -115,8 +121,9 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> Network:
     """Fit a network by Adam on the logistic loss, both classes weighted alike."""
     network = Network()
     vocabulary: dict[str, int] = {"": 0}
-    rows = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], np.int64) for t in texts]
-    table = np.array([buckets(w) for w in vocabulary], np.int32)
+    rows = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], np.int32) for t in texts]
+    table = bucket_table(vocabulary)
+    del vocabulary
     network.fill(np.unique(table))
     weight = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum())) * len(toxic)
     r = np.random.default_rng(network.seed)
@@ -186,6 +193,11 @@ class Scorer:
         self.responses = np.zeros((1, sum(WIDTHS) * FILTERS), np.float32)
         self.used = 1
 
+    def _vectors(self, new: list[str]) -> np.ndarray:
+        """Mean embeddings, some words at a time."""
+        parts = [new[lo : lo + 20_000] for lo in range(0, len(new), 20_000)]
+        return np.concatenate([self.network.embedding[bucket_table(p)].astype(np.float32).mean(axis=1) for p in parts])
+
     def logits(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
@@ -197,8 +209,7 @@ class Scorer:
             unknown.update(s)
         new = sorted(unknown.difference(self.numbers))
         if new:
-            table = np.array([buckets(w) for w in new], np.int32)
-            vectors = self.network.embedding[table].astype(np.float32).mean(axis=1)
+            vectors = self._vectors(new)
             need = self.used + len(new)
             if need > len(self.responses):
                 grown = np.zeros((need + need // 2, self.responses.shape[1]), np.float32)
