@@ -1,8 +1,8 @@
 """SimHash fingerprints and their near duplicates by bit-sliced comparison.
 
 A fingerprint has the bits that more than half of a text's shingle hashes set.
-Two fingerprints within the radius agree on at least two of four 16-bit parts
-(radius 2 touches two parts at most), so every fingerprint is filed under the six
+Bits are cut into two parts more than the radius, so two fingerprints within it agree on
+two parts at least (radius 2: on two of four 16-bit parts). Every fingerprint is filed under all
 pairs of its parts, and only files with several fingerprints are compared. A file is
 compared vertically: 64 bit planes over all its lanes, one machine word holding a bit
 of 64 lanes. Lane i meets lane i+k for k = 1, 2, ...; carry-save counters add the
@@ -13,7 +13,7 @@ radius are abandoned.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -188,12 +188,15 @@ def near_fingerprints(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     holds more than two blocks of one file; which links come out depends on nothing but
     the fingerprints. Only spanning links leave a task, never all its pairs.
     """
-    if radius > 2:
-        raise ValueError("four parts serve a radius of two at most")
-    parts = [F.shiftrightunsigned("bits", 16 * k).bitwiseAND(0xFFFF) for k in range(4)]
+    count = radius + 2
+    if not 3 <= count <= 16:
+        raise ValueError("a radius of 1 to 14 bits")
+    edges = [64 * i // count for i in range(count + 1)]
+    parts = [
+        F.shiftrightunsigned("bits", low).bitwiseAND((1 << (high - low)) - 1) for low, high in zip(edges, edges[1:])
+    ]
     keys = [
-        F.lit(n << 32) + parts[i] * 65536 + parts[j]
-        for n, (i, j) in enumerate([(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)])
+        F.lit(n << 44) + parts[i] * (1 << 22) + parts[j] for n, (i, j) in enumerate(combinations(range(count), 2))
     ]
     filed = found.select("bits", "rep", F.explode(F.array(*keys)).alias("key"))
     shared = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")

@@ -29,6 +29,10 @@ def corpus():
             labels.append((i, int(toxic)))
     passage = " ".join(r.choice(vocabulary) for _ in range(14))
     rows += [[200 + k, rows[1][1], "en", "s", 0] for k in range(20)]  # exact copies
+    changed = [r.choice(vocabulary) for _ in range(600)]
+    rows.append([220, " ".join(changed), "en", "s", 0])
+    changed[300] = "another"
+    rows.append([221, " ".join(changed), "en", "s", 0])  # a near copy
     rows += [[230, "Intro " + passage.upper() + " outro", "en", "s", 0], [231, "mail a.b@c.org now " + rows[2][1], "fr", "s", 0]]
     rows += [[240, None, None, None, None], [241, "", "en", "s", 0], [2, rows[2][1], "en", "s", 0], [None, "no id here at all", "en", "s", 0]]
     return [tuple(x) for x in rows], labels, [(1, passage), (2, None)]
@@ -52,13 +56,14 @@ def test_stages_against_a_plain_version(spark, folder, monkeypatch):
     scorer = toxicity.Scorer(model.network, model.shift)
     kept = [r for r in rows if scorer.scores([r[1]])[0] < model.thresholds.get(r[2], toxicity.CUT)]
     assert 0 < len(kept) < len(rows)
-    prints = [(r[0], slow_fingerprint(r[1])) for r in kept]
-    group = slow_components([p for p in prints if p[0] is not None])
+    prints = [(r[0], slow_fingerprint(r[1], 5)) for r in kept]
+    group = slow_components([p for p in prints if p[0] is not None], 6)
     seen, firsts = set(), []
     for row, p in zip(kept, prints):
         if p[0] is None or (group[p] == p[0] and p not in seen):
             firsts.append(row)
             seen.add(p)
+    assert 220 in {r[0] for r in firsts} and 221 not in {r[0] for r in firsts}
     clean = [r for r in firsts if not slow_contamination([(r[0], r[1])], items)[0][5]]
     assert len(clean) < len(firsts) < len(kept)
     accepted = pii.fit(spark.createDataFrame(clean, SCHEMA))

@@ -10,16 +10,16 @@ from creditmill.llm.components import connected_components
 from creditmill.llm.simhash import fingerprint, link_lanes
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, width=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum((sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(64))
 
 
-def slow_components(rows):
+def slow_components(rows, radius=2):
     """{(id, fingerprint): smallest reachable id} by comparing all pairs."""
     nodes = list(dict.fromkeys(rows))
     group = {n: n[0] for n in nodes}
@@ -27,7 +27,7 @@ def slow_components(rows):
         changed = False
         for a in nodes:
             for b in nodes:
-                near = bin(a[1] ^ b[1]).count("1") <= 2 and group[b] < group[a]
+                near = bin(a[1] ^ b[1]).count("1") <= radius and group[b] < group[a]
                 if near:
                     group[a], changed = group[b], True
         if not changed:
@@ -127,6 +127,27 @@ def test_blocks_of_a_large_file(spark, monkeypatch):
     assert {i: components.get(i, i) for i, _ in expected} == {i: c for (i, _), c in expected.items()}
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3, 6, 8])
+def test_every_link_within_the_radius_is_filed(spark, radius):
+    r = random.Random(radius)
+    values = []
+    for _ in range(60):
+        base = r.getrandbits(64)
+        values.append(base)
+        for differing in (radius - 1, radius, radius + 1):
+            other = base
+            for bit in r.sample(range(64), differing):
+                other ^= 1 << bit
+            values.append(other)
+    values = list(dict.fromkeys(values))
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    found = spark.createDataFrame(list(zip(signed, range(len(values)))), "bits bigint, rep bigint")
+    edges = simhash.near_fingerprints(found, radius)
+    components = {x.node: x.component for x in connected_components(edges).collect()}
+    expected = slow_components(list(zip(range(len(values)), values)), radius)
+    assert {i: components.get(i, i) for i, _ in expected} == {i: c for (i, _), c in expected.items()}
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 200), (5, 5), (300, 299)]
     edges += [(None, 4), (2, None)]
