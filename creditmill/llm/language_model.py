@@ -1,35 +1,41 @@
 """Documents scored by the cross-entropy difference of two n-gram models.
 
 The target model counts the words of documents labelled good, the background model those of all
-documents. Both share one vocabulary and one set of bigrams, chosen by their share
-of all words of the corpus, and the same smoothing, so that a difference of losses
-per token comes from the counts alone. Counting goes over all texts; a share bounds the size of a
-model whatever the corpus: at most 1/VOCABULARY_SHARE words and 1/BIGRAM_SHARE bigrams.
+documents. Both share one vocabulary, one set of bigrams and the same smoothing, so that a
+difference of losses per token comes from the counts alone. All words and bigrams of all texts count.
+Words are hashed to 64 bits, and all counts are staged tables that grow with the corpus: the driver holds totals only.
+Documents are scored in blocks; a block asks once for each of its distinct bigrams.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import add_columns, broadcast_if_small, stage
+from creditmill.llm.common import broadcast_if_small, stage
 
-#: Words with at least this share of all words form the vocabulary; the rest is one unknown word.
-VOCABULARY_SHARE = 2e-6
-#: Bigrams with at least this share are counted in the models; the rest backs off to single words.
-BIGRAM_SHARE = 1e-6
+#: Words under this share of all words are one unknown word; zero keeps every word.
+VOCABULARY_SHARE = 0.0
+#: Bigrams under this share back off to single words; zero keeps every bigram.
+BIGRAM_SHARE = 0.0
 #: Weight of the back-off distribution in words (Dirichlet smoothing).
 BACK_OFF = 50.0
 #: Distinct words that a counting task holds before it passes partial counts on.
 HELD = 200_000
 TOKENS = 1_000_000
-UNKNOWN, START = 0, 1
+#: Characters of a block of documents that is scored together, about a million words.
+BLOCK_CHARS = 6_000_000
+#: Word hashes that a task keeps; the table is then begun anew.
+HASHES = 500_000
+START = 0
+HASH_SEED = 42
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _ID_BYTES = 16
 
 
@@ -76,108 +82,143 @@ def count_words(marked: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
 
 
-def _codes(ids: np.ndarray, size: int) -> np.ndarray:
-    """Bigram codes of one text's word ids; the first word follows the start mark."""
+class Hashes(dict):
+    """Spark's xxhash64 of words, kept for words seen."""
+
+    def __missing__(self, word: str) -> int:
+        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), HASH_SEED)
+        self[word] = value = value - (1 << 64) if value >> 63 else value
+        return value
+
+    def of(self, text: str | None) -> np.ndarray:
+        found = words(text)
+        if len(self) > HASHES:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+
+
+def _before(ids: np.ndarray) -> np.ndarray:
+    """The word before each word; the first follows the start mark."""
     before = np.empty_like(ids)
     before[:1] = START
     before[1:] = ids[:-1]
-    return before * size + ids
+    return before
+
+
+def _codes(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (u.view(np.uint64) * _MIX) ^ v.view(np.uint64)
 
 
-def count_bigrams(marked: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """(code, n_all, n_target) of pairs of known words over all texts."""
-    size = len(vocabulary) + 2
-    shared = marked.sparkSession.sparkContext.broadcast(vocabulary)
+def count_bigrams(marked: DataFrame) -> DataFrame:
+    """(u, v, n_all, n_target) of pairs of hashed words over all texts; u is START before a first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        hashes = Hashes()
         held: list[np.ndarray] = []
         good: list[np.ndarray] = []
         tokens = 0
 
         def flush() -> pa.RecordBatch:
-            codes, inverse = np.unique(np.concatenate(held), return_inverse=True)
-            every = np.bincount(inverse, minlength=len(codes))
-            target = np.bincount(inverse, weights=np.concatenate(good), minlength=len(codes)).astype(np.int64)
+            v, u = np.concatenate(held), np.concatenate([_before(h) for h in held])
+            _, first, inverse = np.unique(_codes(u, v), return_index=True, return_inverse=True)
+            every = np.bincount(inverse, minlength=len(first))
+            target = np.bincount(inverse, weights=np.concatenate(good), minlength=len(first)).astype(np.int64)
             held.clear()
             good.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(codes), pa.array(every), pa.array(target)], names=["code", "n_all", "n_target"]
+                [pa.array(u[first]), pa.array(v[first]), pa.array(every), pa.array(target)], names=["u", "v", "n_all", "n_target"]
             )
 
         for batch in batches:
             for text, is_good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = words(text)
-                ids = np.fromiter(map(get, found, repeat(UNKNOWN)), np.int64, len(found))
-                codes = _codes(ids, size)
-                codes = codes[(codes >= size) & (codes % size != UNKNOWN)]
-                held.append(codes)
-                good.append(np.full(len(codes), float(is_good)))
-                tokens += len(codes)
+                ids = hashes.of(text)
+                held.append(ids)
+                good.append(np.full(len(ids), float(is_good)))
+                tokens += len(ids)
                 if tokens > TOKENS:
                     yield flush()
                     tokens = 0
         if tokens:
             yield flush()
 
-    parts = marked.mapInArrow(run, "code bigint, n_all bigint, n_target bigint")
-    return parts.groupBy("code").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
-
-
-class Model:
-    """One smoothed bigram model over the shared vocabulary."""
+    parts = marked.mapInArrow(run, "u bigint, v bigint, n_all bigint, n_target bigint")
+    return parts.groupBy("u", "v").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
 
-    def __init__(self, unigrams: np.ndarray, total: int, codes: np.ndarray, counts: np.ndarray):
-        size = len(unigrams)
-        # Add-one smoothing over the vocabulary and the unknown word.
-        self.single = np.log((unigrams + 1.0) / (total + size - 1))
-        self.heads = np.bincount(codes // size, weights=counts, minlength=size)
-        self.counts = counts.astype(float)
 
-    def log_probabilities(self, before: np.ndarray, ids: np.ndarray, found: np.ndarray, place: np.ndarray) -> np.ndarray:
-        pair = np.where(found, self.counts[place], 0.0) if len(self.counts) else 0.0
-        return np.log((pair + BACK_OFF * np.exp(self.single[ids])) / (self.heads[before] + BACK_OFF))
+#: (count column, name of the loss) of the two models.
+MODELS = (("n_target", "target"), ("n_all", "background"))
 
 
 class Scorer:
-    """Both models with what they share."""
+    """Both models: staged counts of words and heads, log probabilities of all counted bigrams, and totals."""
 
-    def __init__(self, vocabulary: dict[str, int], codes: np.ndarray, target: Model, background: Model):
-        self.vocabulary, self.codes, self.target, self.background = vocabulary, codes, target, background
+    def __init__(self, singles: DataFrame, heads: DataFrame, totals: dict[str, tuple[int, int]], vocabulary: int):
+        self.singles, self.heads, self.totals, self.vocabulary = singles, heads, totals, vocabulary
+        self.logs: DataFrame | None = None
 
-    def losses(self, text: str | None) -> tuple[int, float | None, float | None]:
-        """(tokens, loss per token under the target model, under the background model)."""
-        found = words(text)
-        if not found:
-            return 0, None, None
-        size = len(self.vocabulary) + 2
-        ids = np.fromiter(map(self.vocabulary.get, found, repeat(UNKNOWN)), np.int64, len(found))
-        codes = _codes(ids, size)
-        place = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
-        known = self.codes[place] == codes if len(self.codes) else np.zeros(len(codes), bool)
-        losses = [-float(m.log_probabilities(codes // size, ids, known, place).mean()) for m in (self.target, self.background)]
-        return len(found), losses[0], losses[1]
+    def log_probabilities(self, pairs: DataFrame) -> DataFrame:
+        """(u, v, target, background) for distinct (u, v) with their counts in both models, zero where they back off."""
+        rows = pairs.join(self.singles.withColumnRenamed("word", "v"), "v", "left").join(self.heads, "u", "left")
+        made = []
+        for name, out in MODELS:
+            total, unknown = self.totals[name]
+            # Add-one smoothing over the vocabulary and the unknown word.
+            single = (F.coalesce(f"single_{name}", F.lit(unknown)) + 1.0) / (total + self.vocabulary + 1)
+            made.append(F.log((F.col(name) + BACK_OFF * single) / (F.coalesce(f"head_{name}", F.lit(0)) + BACK_OFF)).alias(out))
+        return rows.select("u", "v", *made)
 
 
 def fit(marked: DataFrame) -> Scorer:
-    """Count all texts twice: words, then pairs of the words that the vocabulary keeps.
-
-    The driver receives the two bounded models only.
-    """
+    """Count all texts twice: words, then pairs. The driver receives totals only."""
     counts = stage(count_words(marked), "words")
-    total, good = counts.agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    kept = counts.where(F.col("n_all") >= VOCABULARY_SHARE * total).toArrow().sort_by("word")
-    vocabulary = {w: i + 2 for i, w in enumerate(kept.column("word").to_pylist())}
-    size = len(vocabulary) + 2
-    pairs = count_bigrams(marked, vocabulary).where(F.col("n_all") >= BIGRAM_SHARE * total).toArrow().sort_by("code")
-    codes = pairs.column("code").to_numpy().astype(np.int64)
-    models = []
-    for name, n in (("n_target", good), ("n_all", total)):
-        known = kept.column(name).to_numpy()
-        unigrams = np.concatenate([[n - known.sum(), 0], known]).astype(float)
-        models.append(Model(unigrams, n, codes, pairs.column(name).to_numpy()))
-    assert len(models[0].single) == size
-    return Scorer(vocabulary, codes, *models)
+    names = [name for name, _ in MODELS]
+    all_words = counts.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)).first()
+    kept = counts.where(F.col("n_all") >= VOCABULARY_SHARE * all_words["n_all"])
+    known = kept.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)).first()
+    totals = {n: (all_words[n], all_words[n] - known[n]) for n in names}
+    singles = kept.groupBy(F.xxhash64("word").alias("word")).agg(*(F.sum(n).alias(f"single_{n}") for n in names))
+    singles = stage(singles, "singles")
+    pairs = stage(count_bigrams(marked), "pairs")
+    counted = F.col("n_all") >= BIGRAM_SHARE * all_words["n_all"]
+    if known["n_all"] < all_words["n_all"]:
+        own = singles.select(F.col("word").alias("v"), F.lit(True).alias("known_v"))
+        before = singles.select(F.col("word").alias("u"), F.lit(True).alias("known_u"))
+        pairs = pairs.join(own, "v", "left").join(before, "u", "left")
+        counted &= F.col("known_v").isNotNull() & (F.col("known_u").isNotNull() | (F.col("u") == START))
+    pairs = pairs.select("u", "v", *(F.when(counted, F.col(n)).otherwise(0).alias(n) for n in names))
+    heads = stage(pairs.groupBy("u").agg(*(F.sum(n).alias(f"head_{n}") for n in names)), "heads")
+    scorer = Scorer(singles, heads, totals, known["n"])
+    scorer.logs = stage(scorer.log_probabilities(pairs), "logs")
+    return scorer
+
+
+def _asked(blocks: DataFrame) -> DataFrame:
+    """(block, u, v): the distinct bigrams of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        held: dict[int, list[np.ndarray]] = {}
+        tokens = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for block, some in held.items():
+                v, u = np.concatenate(some), np.concatenate([_before(h) for h in some])
+                first = np.unique(_codes(u, v), return_index=True)[1]
+                made = [pa.array(np.full(len(first), block)), pa.array(u[first]), pa.array(v[first])]
+                yield pa.RecordBatch.from_arrays(made, names=["__block", "u", "v"])
+            held.clear()
+
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = hashes.of(text)
+                held.setdefault(block, []).append(ids)
+                tokens += len(ids)
+                if tokens > TOKENS:
+                    yield from flush()
+                    tokens = 0
+        yield from flush()
+
+    return blocks.mapInArrow(run, "__block bigint, u bigint, v bigint").distinct()
 
 
 def add_scores(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
@@ -186,21 +227,39 @@ def add_scores(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame
     A low difference is closer to the target. Null and empty texts have no tokens and null losses; repeated
     rows repeat; an empty table stays empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-
-    def task():
-        own = shared.value
-
-        def run(texts):
-            found = [own.losses(t) for t in texts]
-            return (
-                [n for n, _, _ in found],
-                [a for _, a, _ in found],
-                [b for _, _, b in found],
-                [None if a is None else a - b for _, a, b in found],
-            )
-
-        return run
-
     fields = [("n_tokens", "bigint"), ("target_loss", "double"), ("background_loss", "double"), ("difference", "double")]
-    return add_columns(docs, text, fields, task)
+    names = [name for name, _ in fields]
+    kept = [c for c in docs.columns if c not in names]
+    size = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    count = max(1, -(-size // BLOCK_CHARS))
+    blocks = docs.withColumn("__block", F.pmod(F.xxhash64(*docs.columns), F.lit(count)))
+    outs = [out for _, out in MODELS]
+    met = stage(_asked(blocks.select("__block", text)).join(scorer.logs, ["u", "v"], "left"), "met")
+    unseen = met.where(F.col(outs[0]).isNull())
+    if not unseen.isEmpty():
+        new = unseen.select("u", "v").distinct().select("u", "v", *(F.lit(0).alias(n) for n, _ in MODELS))
+        found = unseen.drop(*outs).join(scorer.log_probabilities(new), ["u", "v"])
+        met = met.where(F.col(outs[0]).isNotNull()).unionByName(found)
+
+    def score(rows: pa.Table, table: pa.Table) -> pa.Table:
+        codes = _codes(table.column("u").to_numpy(), table.column("v").to_numpy())
+        order = np.argsort(codes)
+        codes = codes[order]
+        logs = [table.column(out).to_numpy()[order] for out in outs]
+        hashes, made = Hashes(), []
+        for batch in rows.to_batches(max_chunksize=1000):
+            for one in batch.column(batch.schema.get_field_index(text)).to_pylist():
+                ids = hashes.of(one)
+                if not len(ids):
+                    made.append((0, None, None, None))
+                    continue
+                at = np.searchsorted(codes, _codes(_before(ids), ids))
+                a, b = (-float(x[at].mean()) for x in logs)
+                made.append((len(ids), a, b, a - b))
+        columns = list(zip(*made)) if made else [()] * 4
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        own = [rows.column(c) for c in kept]
+        return pa.table(own + [pa.array(c, k) for c, k in zip(columns, kinds)], names=kept + names)
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + [f"{n} {k}" for n, k in fields])
+    return blocks.groupBy("__block").cogroup(met.groupBy("__block")).applyInArrow(score, schema)

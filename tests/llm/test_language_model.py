@@ -74,3 +74,28 @@ def test_empty_tables(spark):
     assert lm.add_scores(docs.limit(0), lm.fit(lm.mark_target(docs.limit(0), none))).count() == 0
     scored = lm.add_scores(docs, lm.fit(lm.mark_target(docs, none)))
     assert scored.where("n_tokens > 0 and difference is null").count() == 0
+
+
+def test_rare_words_and_bigrams_count_in_a_large_corpus(spark):
+    """A phrase seen twice among 1,200,000 words is known, however large the corpus is."""
+    noise = [(i, "one two three four " * 3000, "x") for i in range(100, 200)]
+    rows = noise + [(1, "quite unusual phrase", "x"), (2, "quite unusual phrase", "x"), (3, "unusual quite", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, x string")
+    scored = lm.add_scores(docs, lm.fit(lm.mark_target(docs, spark.createDataFrame([(1,)], "doc_id bigint")))).collect()
+    found = {r.doc_id: r for r in scored}
+    expected = {d[0]: e for d, e in zip(rows, slow(rows, {1}, 0.0, 0.0))}
+    for i in (1, 2, 3, 100):
+        assert found[i].target_loss == pytest.approx(expected[i][1])
+        assert found[i].background_loss == pytest.approx(expected[i][2])
+
+
+def test_other_documents_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 20)
+    docs = spark.createDataFrame(DOCS, "doc_id bigint, text string, x string")
+    scorer = lm.fit(lm.mark_target(docs, spark.createDataFrame([(1,), (2,)], "doc_id bigint")))
+    other = spark.createDataFrame([(1, "mat the cat"), (2, "unheard of"), (3, None)], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in lm.add_scores(other, scorer).collect()}
+    assert found[1].difference < 0 and found[2].background_loss > found[1].background_loss and found[3].target_loss is None
+    expected = {(d[1]): e for d, e in zip(DOCS, slow(DOCS, {1, 2}, 0.0, 0.0))}
+    for r in lm.add_scores(docs, scorer).collect():
+        assert r.difference is None or r.target_loss == pytest.approx(expected[r.text][1])
