@@ -3,6 +3,7 @@
 A word's embedding is the mean over the buckets of its letters and of their prefixes.
 Filters of several widths slide over whole texts; their maxima feed a logistic
 layer. Training is plain numpy on a bounded, documented sample of labelled rows; scoring is a map.
+Thresholds come from counts over all labelled rows that are neither held out nor trained on.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import add_columns
+from creditmill.llm.common import add_columns, broadcast_if_small
 
 #: Labelled rows of each class that training uses at most, chosen by a hash of the id.
 SAMPLE = {1: 2000, 0: 4000}
@@ -32,6 +33,8 @@ RATE = 0.01
 CUT = 0.3
 #: Positives that a language needs in the calibration rows to get its own threshold.
 CALIBRATION_POSITIVES = 20
+#: Bins of a logit of one, and the largest logit that has a bin of its own.
+BINS, LARGEST = 200, 30
 #: Words whose filter responses a worker keeps; the table is then begun anew.
 WORDS = 120_000
 _FEATURES = len(PREFIXES) + 1
@@ -249,6 +252,20 @@ def best_cut(logits: np.ndarray, toxic: np.ndarray) -> float:
     return float((ranked[at] + below[at]) / 2)
 
 
+def best_bin(counts: dict[int, list[int]]) -> float:
+    """``best_cut`` over {bin: [others, toxic]}."""
+    bins = np.array(sorted(counts, reverse=True))
+    other, toxic = np.array([counts[b] for b in bins]).T
+    ranked = bins / BINS
+    if not toxic.any():
+        return float(ranked.max(initial=0)) + 1.0
+    f1 = 2 * np.cumsum(toxic) / (np.cumsum(toxic + other) + toxic.sum())
+    below = np.append(ranked[1:], ranked[-1] - 2.0)
+    good = f1 >= f1.max() - 1e-9
+    at = int(np.argmax(np.where(good, ranked - below, -1.0)))
+    return float((ranked[at] + below[at]) / 2)
+
+
 class Model:
     """A trained network, its calibration and one threshold per language."""
 
@@ -256,54 +273,84 @@ class Model:
         self.network, self.shift, self.thresholds = network, shift, thresholds
 
 
-def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str):
-    """At most SAMPLE labelled rows of each class as (text, lang, toxic), none of them held out.
-
-    A doubly labelled id counts once, with its highest label.
-    """
-    known = (
+def _known(labels: DataFrame, doc_id: str) -> DataFrame:
+    """(id, toxic) of labels not held out; a doubly labelled id counts once, with its highest label."""
+    return (
         labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col(doc_id)))
         .groupBy(F.col(doc_id).alias("id"))
         .agg(F.max("toxic").alias("toxic"))
     )
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    language = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), language.alias("lang"))
+
+
+def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str):
+    """At most SAMPLE labelled rows of each class as (text, lang, toxic), none of them held out."""
+    known = _known(labels, doc_id)
     picked = None
     for label, limit in SAMPLE.items():
         own = known.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(limit)
         picked = own if picked is None else picked.unionByName(own)
-    language = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), language.alias("lang"))
+    rows = _rows(docs, doc_id, text, lang)
     return rows.join(F.broadcast(picked), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").collect()
 
 
+def _calibration(rows: DataFrame, known: DataFrame, network: Network, trained: list) -> dict[str, dict[int, list[int]]]:
+    """{language: {bin: [others, toxic]}} over all labelled rows but the trained ones; a repeated id counts once."""
+    if trained:
+        ids = rows.sparkSession.createDataFrame([(i,) for i in trained], rows.select("id").schema)
+        known = known.join(F.broadcast(ids), "id", "left_anti")
+    marked = rows.join(broadcast_if_small(known, 24), "id")
+    shared = rows.sparkSession.sparkContext.broadcast(network)
+
+    def task():
+        own = Scorer(shared.value, 0.0)
+        return lambda texts: [own.logits(texts).astype(float)]
+
+    scored = add_columns(marked, "text", [("logit", "double")], task).drop("text")
+    place = F.round(F.least(F.greatest(F.col("logit"), F.lit(-LARGEST)), F.lit(LARGEST)) * BINS).cast("int")
+    once = scored.groupBy("id", "toxic").agg(F.min(F.struct(place.alias("bin"), F.coalesce("lang", F.lit("")).alias("lang"))).alias("s"))
+    counts: dict[str, dict[int, list[int]]] = {}
+    for r in once.groupBy("s.lang", "s.bin", "toxic").count().collect():
+        counts.setdefault(r["lang"], {}).setdefault(r["bin"], [0, 0])[r["toxic"]] += r["count"]
+    return counts
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """Train on four fifths of the sample and calibrate on the rest; None without both classes.
+    """Train on four fifths of the sample and calibrate on all other labelled rows; None without both classes.
 
-    Scores are shifted so that CUT is the best threshold over all languages. Languages serve
-    only to calibrate thresholds; no score depends on them.
+    With under ten rows of a class, the rows trained on calibrate too. Scores are shifted so that CUT is the
+    best threshold over all languages. Languages serve only to calibrate thresholds; no score depends on them.
     """
     rows = _sample(docs, labels, doc_id, text, lang)
     toxic = np.array([r["toxic"] for r in rows], np.int64)
     if len(set(toxic.tolist())) < 2:
         return None
     texts = [r["text"] for r in rows]
-    # The last fifth of either class calibrates.
+    # The last fifth of either class is left to calibration.
     rank = np.zeros(len(rows))
     for label in (0, 1):
         own = np.flatnonzero(toxic == label)
         rank[own] = np.arange(len(own)) / len(own)
     fitted = rank < 0.8 if min(toxic.sum(), len(toxic) - toxic.sum()) >= 10 else np.ones(len(rows), bool)
     network = train([t for t, f in zip(texts, fitted) if f], toxic[fitted])
-    rest = np.flatnonzero(~fitted) if not fitted.all() else np.arange(len(rows))
-    logits = np.concatenate([Scorer(network, 0.0).logits([texts[i] for i in rest[k : k + 500]]) for k in range(0, len(rest), 500)])
+    trained = [] if fitted.all() else [r["id"] for r, f in zip(rows, fitted) if f]
+    counts = _calibration(_rows(docs, doc_id, text, lang), _known(labels, doc_id), network, trained)
+    every: dict[int, list[int]] = {}
+    for own in counts.values():
+        for place, (other, bad) in own.items():
+            both = every.setdefault(place, [0, 0])
+            both[0] += other
+            both[1] += bad
     base = float(np.log(CUT / (1 - CUT)))
-    shift = base - best_cut(logits, toxic[rest])
+    shift = base - best_bin(every)
     thresholds = {}
-    languages = np.array([r["lang"] or "" for r in rows])[rest]
-    for language in sorted(set(languages)):
-        own = languages == language
-        if toxic[rest][own].sum() >= CALIBRATION_POSITIVES and (toxic[rest][own] == 0).sum() >= CALIBRATION_POSITIVES:
-            cut = best_cut(logits[own], toxic[rest][own]) + shift
-            thresholds[language] = float(1 / (1 + np.exp(-cut)))
+    for language, own in sorted(counts.items()):
+        if min(np.array(list(own.values())).sum(axis=0)) >= CALIBRATION_POSITIVES:
+            thresholds[language] = float(1 / (1 + np.exp(-(best_bin(own) + shift))))
     network.embedding = network.embedding.astype(np.float16)
     return Model(network, shift, thresholds)
 

@@ -92,3 +92,27 @@ def test_without_labels_or_rows(spark):
     assert [r.score for r in toxicity.add_scores(docs, None).collect()] == [0.0, 0.0]
     assert toxicity.drop_toxic(docs, labels).count() == 2
     assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
+
+
+def test_best_bin_is_the_best_cut_of_its_rows():
+    assert toxicity.best_bin({600: [0, 1], 400: [0, 1], 0: [1, 0], -200: [1, 0]}) == 1.0
+    assert toxicity.best_bin({200: [0, 2]}) == 0.0
+    assert toxicity.best_bin({200: [1, 0], 400: [1, 0]}) > 2.0
+
+
+def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+    """A language with few of the toxic labels has its own threshold however small the sample is."""
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 60, 0: 120})
+    texts, labels = make(1500, 11)
+    rows = [(i, t, "xx" if i % 8 == 0 else "en") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    marked = spark.createDataFrame([(i, int(n)) for i, n in enumerate(labels)], "doc_id bigint, toxic int")
+    sampled = {r["id"] for r in toxicity._sample(docs, marked, "doc_id", "text", "lang")}
+    assert len(sampled) == 180
+    model = toxicity.fit(docs, marked)
+    assert set(model.thresholds) == {"xx", "en"}
+    counts = toxicity._calibration(toxicity._rows(docs, "doc_id", "text", "lang"), toxicity._known(marked, "doc_id"), model.network, [])
+    known = [i for i in range(1500) if zlib.crc32(str(i).encode()) % 4 != 2]
+    found = np.array([v for own in counts.values() for v in own.values()]).sum(axis=0)
+    assert found.tolist() == [sum(labels[i] == 0 for i in known), sum(labels[i] == 1 for i in known)]
