@@ -13,6 +13,7 @@ import hashlib
 import html as entities
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,16 @@ EPOCH = "1970-01-01T00:00:00Z"
 SOFTWARE = "creditmill derivative builder"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space of URLs
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE)
+#: Scripts, styles and comments may run to the end of the page; other elements without an end tag keep what follows.
+_DROPPED = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(noscript|template)\b(?:(?!<\2\b).)*?</\2\s*>", re.DOTALL | re.IGNORECASE
+)
+#: The head holds these elements only: it ends at its end tag, at <body> or at the first other tag or text.
+_HEAD = re.compile(
+    r"<head\b[^<>]*>(?:\s+|<title\b[^<>]*>.*?</title\s*>|</?(?:meta|link|base|basefont|bgsound|noscript|template)\b[^<>]*>)*(?:</head\s*>)?", re.DOTALL | re.IGNORECASE
+)
+_CHARSET = re.compile(rb"<meta\b[^<>]*?\bcharset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.IGNORECASE)
+_HEADER_CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([^\s\"';,]+)", re.IGNORECASE)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.DOTALL | re.IGNORECASE)
 _BREAKS = re.compile(
     r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^<>]*>",
@@ -51,7 +61,7 @@ def record_id(*parts: str) -> str:
 
 def plain_text(page: str) -> str:
     """Text of a page: without scripts, styles, comments and tags; entities resolved; a line per block."""
-    body = _DROPPED.sub(" ", page)
+    body = _HEAD.sub(" ", _DROPPED.sub(" ", page), count=1)
     body = _TAGS.sub("", _BREAKS.sub("\n", body))
     lines = (_SPACES.sub(" ", line).strip() for line in entities.unescape(body).split("\n"))
     return "\n".join(line for line in lines if line)
@@ -75,6 +85,77 @@ def http_message(page: str) -> bytes:
     return head.encode() + body
 
 
+def _dechunked(body: bytes) -> bytes:
+    """The body of a chunked message; a body that is not chunked after all, as crawlers store it, stays."""
+    at, parts = 0, []
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at : end if end >= 0 else len(body)].partition(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,16}", size):
+            return b"".join(parts) + body[at:]
+        if int(size, 16) == 0 or end < 0:
+            return b"".join(parts)
+        parts.append(body[end + 2 : end + 2 + int(size, 16)])
+        at = end + 2 + int(size, 16)
+        if body[at : at + 2] == b"\r\n":
+            at += 2
+        if at >= len(body):
+            return b"".join(parts)
+
+
+def _inflated(body: bytes, modes: tuple[int, ...]) -> bytes:
+    """All members of a compressed body, as far as it goes if it was cut; a body that is none stays."""
+    for mode in modes:
+        parts, rest = [], body
+        try:
+            while rest:
+                one = zlib.decompressobj(mode)
+                parts.append(one.decompress(rest) + one.flush())
+                rest = one.unused_data if one.eof else b""
+        except zlib.error:
+            if not any(parts):
+                continue
+        return b"".join(parts)
+    return body
+
+
+def decoded(body: bytes, named: list[tuple[str, str]]) -> bytes:
+    """The body without the transfer and content codings that its headers state, the last one undone first."""
+    for header in ("transfer-encoding", "content-encoding"):
+        codings = [c.strip().lower() for k, v in named if k == header for c in v.split(",")]
+        for coding in reversed(codings):
+            if coding == "chunked":
+                body = _dechunked(body)
+            elif coding in ("gzip", "x-gzip"):
+                body = _inflated(body, (31,))
+            elif coding == "deflate":
+                body = _inflated(body, (15, -15))
+    return body
+
+
+def page_text(body: bytes, named: list[tuple[str, str]]) -> str:
+    """The page in the charset of its byte order mark, header or meta element; UTF-8 if none is known."""
+    for mark, charset in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if body.startswith(mark):
+            return body[len(mark) :].decode(charset, "replace")
+    stated = [m.group(1) for k, v in named if k == "content-type" for m in [_HEADER_CHARSET.search(v)] if m]
+    meta = _CHARSET.search(body[:4096])
+    # A page that can be searched for its meta element is not in UTF-16.
+    stated += [re.sub("(?i)^utf-?16.*", "utf-8", meta.group(1).decode("ascii"))] if meta else []
+    for charset in stated:
+        # As browsers do, Latin-1 and ASCII are read as Windows-1252, and bytes that it lacks as Latin-1.
+        if charset.lower() in ("iso-8859-1", "iso8859-1", "latin1", "latin-1", "us-ascii", "ascii", "windows-1252", "cp1252"):
+            return "".join(_WINDOWS[b] for b in body)
+        try:
+            return str(body, charset, "replace")
+        except (LookupError, ValueError):
+            continue
+    return body.decode("utf-8", "replace")
+
+
+_WINDOWS = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(256)]
+
+
 def split_record(data: bytes) -> tuple[str, dict[str, str], bytes]:
     """(version, headers, block) of one record; header names in lower case, continuation lines joined."""
     head, _, block = data.partition(b"\r\n\r\n")
@@ -95,9 +176,9 @@ def derive(data: bytes) -> list[tuple[str, str, bytes]]:
     source = headers.get("warc-record-id", "")
     status, _, rest = block.partition(b"\r\n")
     http, _, body = rest.partition(b"\r\n\r\n") if not rest.startswith(b"\r\n") else (b"", b"", rest[2:])
-    fields = [line.partition(":") for line in http.decode("utf-8", "replace").split("\r\n") if ":" in line]
-    named = {k.strip().lower(): v.strip() for k, _, v in fields}
-    page = body.decode("utf-8", "replace")
+    fields = [line.partition(":") for line in re.sub(r"\r\n[ \t]+", " ", http.decode("utf-8", "replace")).split("\r\n") if ":" in line]
+    named = [(k.strip().lower(), v.strip()) for k, _, v in fields]
+    page = page_text(decoded(body, named), named)
     payload = headers.get("warc-payload-digest") or digest(body)
     linked = [
         ("WARC-Refers-To", source),
@@ -109,7 +190,7 @@ def derive(data: bytes) -> list[tuple[str, str, bytes]]:
     ]
     title, language = _TITLE.search(page), _LANGUAGE.search(page)
     facts = [("source-status", status.decode("utf-8", "replace")), ("source-block-digest", headers.get("warc-block-digest") or digest(block))]
-    facts += [(f"source-header-{k}", v) for k, v in named.items()]
+    facts += [(f"source-header-{k}", v) for k, v in named]
     facts += [("title", _SPACES.sub(" ", entities.unescape(title.group(1))))] if title else []
     facts += [("language", language.group(1))] if language else []
     facts += [("outlink", entities.unescape(next(g for g in m.groups() if g is not None))) for m in _LINKS.finditer(page)]

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import zlib
 
 from creditmill.llm import warc
 
@@ -95,3 +96,43 @@ def test_files_hold_the_records_byte_for_byte(spark, tmp_path):
             with opener(file, "rb") as f:
                 found += parse(f.read())
         assert sorted(found) == sorted(bytes(r.record) for r in records.collect())
+
+
+def test_a_head_without_its_end_tag_ends_where_content_begins():
+    text = warc.plain_text
+    assert text("<html><head><title>x</title><body><p>text") == "text"
+    assert text("<html><head><meta charset=utf-8><title>x</title><style>p{}</style><p>text") == "text"
+    assert text("<head><title>x</title>bare text<p>more") == "bare text\nmore"
+    assert text("<head><script>var a='<p>';</script><link rel=x></head><body>text") == "text"
+    assert text("<p>a<noscript>b<p>c") == "ab\nc" and text("<p>a<noscript>b</noscript>c") == "a c"
+    assert text("<header>a</header><p>b") == "a\nb"
+
+
+def derived(headers, body):
+    message = b"HTTP/1.1 200 OK\r\n" + headers + b"\r\n\r\n" + body
+    (_, _, meta), (_, _, text) = warc.derive(warc.record("response", [("WARC-Record-ID", "<urn:uuid:1>")], message))
+    return warc.split_record(meta)[2].decode().splitlines(), warc.split_record(text)[2].decode()
+
+
+def test_repeated_headers_stay_in_order():
+    lines, _ = derived(b"Set-Cookie: a=1\r\nVia: x\r\nset-cookie: b=2", b"<p>x")
+    found = [x for x in lines if x.startswith("source-header")]
+    assert found == ["source-header-set-cookie: a=1", "source-header-via: x", "source-header-set-cookie: b=2"]
+
+
+def test_codings_and_charsets_are_undone():
+    page = "<title>\u00e9</title><p>na\u00efve caf\u00e9"
+    plain, zipped = page.encode(), gzip.compress(page.encode())
+    chunks = b"".join(b"%x;n=1\r\n%s\r\n" % (len(zipped[i : i + 9]), zipped[i : i + 9]) for i in range(0, len(zipped), 9))
+    want = warc.plain_text(page)
+    for headers, body in (
+        (b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked", chunks + b"0\r\nTrailer: t\r\n\r\n"),
+        (b"Content-Encoding: deflate", zlib.compress(plain)),
+        (b"Content-Encoding: deflate", zlib.compress(plain)[2:-4]),
+        (b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked", plain),  # undone by the crawler
+        (b"Content-Type: text/html; charset=ISO-8859-1", page.encode("latin-1")),
+        (b'Content-Type: text/html; charset="utf-16"', page.encode("utf-16")),
+        (b"Content-Type: text/html; charset=nonsense", plain),
+    ):
+        assert derived(headers, body)[1] == want
+    assert derived(b"A: b", b"<meta charset='koi8-r'><p>" + "\u043c\u0438\u0440".encode("koi8-r"))[1] == "\u043c\u0438\u0440"
