@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditmill.llm import bpe, contamination, near_copies, pii, toxicity
+from creditmill.llm import bpe, contamination, pii, simhash, toxicity
 from creditmill.llm.common import read_table, stage
 
 #: No SQL expresses a trained classifier; tests compare run() with a brute-force version.
@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group at a similarity of 0.8 or more on five-word shingles."""
-    return near_copies.drop_near_copies(docs)
+    """The document of the smallest id of each group of fingerprints linked at two differing bits or fewer."""
+    return simhash.drop_near_duplicates(docs, width=3, radius=simhash.RADIUS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
