@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from copy import copy
 from functools import lru_cache
 
 import numpy as np
@@ -223,6 +224,12 @@ class Codec:
             return self.odd_splitter.findall(text)
         return self.splitter.findall(text)
 
+    def fresh(self) -> Codec:
+        """A codec over the same vocabulary with caches of its own."""
+        other = copy(self)
+        other.pieces, other.chunks = {}, {}
+        return other
+
     def _learn(self, pieces: set[str]) -> None:
         new = list(pieces.difference(self.pieces))
         if new:
@@ -299,8 +306,11 @@ def _codec(path: str) -> Codec:
 
 
 def codec(vocabulary: str = VOCABULARY) -> Codec:
-    """The codec of a public vocabulary's name or of a file's path, one per worker."""
-    return _codec(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
+    """The codec of a public vocabulary's name or of a file's path.
+
+    The vocabulary is read once per worker; the caches are new and end with the caller's codec.
+    """
+    return _codec(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)).fresh()
 
 
 def encode_texts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -10,6 +10,7 @@ worst piece and falls back to its bytes.
 from __future__ import annotations
 
 import math
+from copy import copy
 from functools import lru_cache
 
 import ahocorasick
@@ -106,11 +107,17 @@ class Counter:
 
 
 @lru_cache(maxsize=2)
-def counter(vocabulary: str = VOCABULARY) -> Counter:
-    path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
+def _counter(path: str) -> Counter:
     return Counter(unigram_vocabulary(path))
 
 
+def counter(vocabulary: str = VOCABULARY) -> Counter:
+    """The counter of a public vocabulary's name or of a file's path; remembered words end with the caller's counter."""
+    own = copy(_counter(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)))
+    own.known = {}
+    return own
+
+
 def add_counts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Append n_tokens and log_prob of whole texts.
 
