@@ -13,6 +13,8 @@ from creditmill.session import stage
 
 #: Rows that one Arrow batch holds, so that long texts do not add up in a worker.
 BATCH_ROWS = 1000
+#: Bytes that one Arrow batch holds about, for texts of megabytes.
+BATCH_BYTES = 16 << 20
 #: Estimated size up to which a join side is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
 
@@ -31,7 +33,7 @@ KINDS = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the rows of an Arrow batch and let local workers import this package.
+    """Bound the rows and bytes of an Arrow batch and let local workers import this package.
 
     A cluster gets the package by ``--py-files`` or an installation, as usual.
     """
@@ -40,6 +42,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditmill.llm import bpe, contamination, embedding_links, language_model, pii, sharding, simhash, tokencount, toxicity, warc
+from creditmill.llm import (
+    bpe,
+    centroids,
+    contamination,
+    embedding_links,
+    language_model,
+    line_dedup,
+    pii,
+    sharding,
+    simhash,
+    spelling,
+    tokencount,
+    toxicity,
+    warc,
+)
 from creditmill.llm.common import read_table
 
 
@@ -63,6 +77,20 @@ def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.build_index(docs).apply(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -74,10 +102,15 @@ QUERIES = {
     "op8_embedding_duplicates": op8_embedding_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scores": op10_lm_scores,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_centroids": op13_centroids,
 }
 
 #: Rows that SQL can express; the other queries are tested against brute force.
 ORACLES: dict[str, str] = {
     "op5_sharding": sharding.oracle_sql(),
     "op9_decontamination": contamination.oracle_sql(),
+    "op12_line_dedup": line_dedup.oracle_sql(),
+    "op13_centroids": centroids.oracle_sql(),
 }

@@ -25,12 +25,17 @@ COLUMNS = {
         "doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string",
         "contaminated": "boolean",
     },
+    "op12_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
+    "op13_centroids": {
+        "vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint",
+        "centroid_sha256": "string",
+    },
 }
 
 
 def test_one_query_per_operator():
     numbers = sorted(int(n.split("_")[0].removeprefix("op")) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
@@ -40,7 +45,7 @@ def test_contract_columns_and_all_rows(spark, sf_dir, name, monkeypatch):
     found = queries.QUERIES[name](spark, sf_dir)
     kinds = dict(found.dtypes)
     assert {c: kinds[c] for c in COLUMNS[name]} == COLUMNS[name]
-    table = "embeddings" if name.startswith("op8") else "documents"
+    table = "embeddings" if name.startswith(("op8", "op13")) else "documents"
     assert found.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
 
 
