@@ -239,8 +239,8 @@ def oracle_sql(clusters: int = CLUSTERS, rounds: int = ROUNDS, dimensions: int =
     """The same rows in DuckDB, every round a table of its own."""
     steps = [
         f"""own AS MATERIALIZED (
-  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)) AS v
-  FROM embeddings WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
         f"""c0 AS MATERIALIZED (
   SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS cluster, v AS c
   FROM (SELECT sha256('{seed}:' || CAST(vec_id AS VARCHAR)) AS h, v FROM own WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {clusters}) AS s)""",
@@ -249,7 +249,7 @@ def oracle_sql(clusters: int = CLUSTERS, rounds: int = ROUNDS, dimensions: int =
         steps.append(
             f"""a{i} AS MATERIALIZED (
   SELECT row_no, min(struct_pack(d := d, k := cluster)) AS best FROM (
-    SELECT row_no, cluster, CAST(list_sum(list_transform(list_zip(v, c), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM own, c{i}) AS t
+    SELECT row_no, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM own, c{i}) AS t
   GROUP BY row_no)"""
         )
         if i < rounds:
