@@ -271,7 +271,7 @@ _BLOCKS = {
 }
 
 
-def _query(select: str) -> str:
+def building_blocks(select: str) -> str:
     """Prefix a select with the blocks it needs, in order."""
     names = list(_BLOCKS)
     needed: set[str] = set()
@@ -697,4 +697,4 @@ _SELECTS = {
     ),
 }
 
-ORACLES = {name: _query(select) for name, select in _SELECTS.items()}
+ORACLES = {name: building_blocks(select) for name, select in _SELECTS.items()}
