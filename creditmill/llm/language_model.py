@@ -1,87 +1,54 @@
 """Documents scored by the cross-entropy difference of two n-gram models.
 
 The target model counts the words of documents labelled good, the background model those of all
-documents. Both share one vocabulary, one set of bigrams and the same smoothing, so that a
+counted documents. Both share one vocabulary, one set of bigrams and the same smoothing, so that a
 difference of losses per token comes from the counts alone. All words and bigrams of all texts count.
-Words are hashed to 64 bits, and all counts are staged tables that grow with the corpus: the driver holds totals only.
-Documents are scored in blocks; a block asks once for each of its distinct bigrams.
+
+Words and bigrams are 64-bit codes. Documents lie in blocks, runs of rows of one file. A block sends its distinct
+codes with its own counts, dealt to parts by ranges of the code; a part adds the counts of all blocks and sends the totals back
+to every block that sent the code; the block then scores its documents. A code is sent once per
+block, packed with others of its block and part, so a frequent word weighs as much as any other.
+The driver receives totals only.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from creditmill.llm.common import broadcast_if_small, stage
+from creditmill.llm.common import broadcast_if_small, prepare
+from creditmill.session import scratch_path
 
-#: Words under this share of all words are one unknown word; zero keeps every word.
-VOCABULARY_SHARE = 0.0
-#: Bigrams under this share back off to single words; zero keeps every bigram.
-BIGRAM_SHARE = 0.0
 #: Weight of the back-off distribution in words (Dirichlet smoothing).
 BACK_OFF = 50.0
-#: Distinct words that a counting task holds before it passes partial counts on.
-HELD = 200_000
-TOKENS = 1_000_000
-#: Characters of a block of documents that is scored together, about a million words.
-BLOCK_CHARS = 6_000_000
+#: Characters of a block of documents that is counted and scored together; one longer text is a block.
+BLOCK_CHARS = 12_000_000
+#: Characters of all texts per part of the codes.
+PART_CHARS = 12_000_000
 #: Word hashes that a task keeps; the table is then begun anew.
 HASHES = 500_000
+#: Bytes of an id in a broadcast of ids.
+ID_BYTES = 64
 START = 0
 HASH_SEED = 42
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_ID_BYTES = 16
+#: The block of totals over all codes of a part.
+_TOTALS = -1
+_SENT = "part bigint, block bigint, n int, codes binary, counts binary"
+_BACK = "block bigint, n int, codes binary, counts binary"
 
 
 def words(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def mark_target(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, is_target): the ids are broadcast where their counted size allows it."""
-    ids = target.select(F.col(doc_id).alias("id")).where("id is not null").distinct()
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    marked = rows.join(broadcast_if_small(ids.withColumn("is_target", F.lit(True)), _ID_BYTES), "id", "left")
-    return marked.select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-
-
-def count_words(marked: DataFrame) -> DataFrame:
-    """(word, n_all, n_target) over all texts; tasks pass on partial counts of bounded size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, target = Counter(), Counter()
-
-        def flush() -> pa.RecordBatch:
-            names = list(every)
-            made = [names, [every[n] for n in names], [target[n] for n in names]]
-            every.clear()
-            target.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(made[0], pa.string()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.int64())],
-                names=["word", "n_all", "n_target"],
-            )
-
-        for batch in batches:
-            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = words(text)
-                every.update(found)
-                if good:
-                    target.update(found)
-                if len(every) > HELD:
-                    yield flush()
-        if every:
-            yield flush()
-
-    parts = marked.mapInArrow(run, "word string, n_all bigint, n_target bigint")
-    return parts.groupBy("word").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
-
-
 class Hashes(dict):
     """Spark's xxhash64 of words, kept for words seen."""
 
@@ -105,161 +72,258 @@ def _before(ids: np.ndarray) -> np.ndarray:
     return before
 
 
-def _codes(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+def pair_codes(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (u.view(np.uint64) * _MIX) ^ v.view(np.uint64)
 
 
-def count_bigrams(marked: DataFrame) -> DataFrame:
-    """(u, v, n_all, n_target) of pairs of hashed words over all texts; u is START before a first word."""
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Sorted distinct codes: the first in eight bytes, then gaps of six bytes if all fit, else of eight."""
+    gaps = np.diff(codes)
+    raw = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    if gaps.max(initial=0) < 1 << 48:
+        raw = raw[:, :6]
+    return codes[:1].astype("<u8").tobytes() + raw.tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        held: list[np.ndarray] = []
-        good: list[np.ndarray] = []
-        tokens = 0
-
-        def flush() -> pa.RecordBatch:
-            v, u = np.concatenate(held), np.concatenate([_before(h) for h in held])
-            _, first, inverse = np.unique(_codes(u, v), return_index=True, return_inverse=True)
-            every = np.bincount(inverse, minlength=len(first))
-            target = np.bincount(inverse, weights=np.concatenate(good), minlength=len(first)).astype(np.int64)
-            held.clear()
-            good.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(u[first]), pa.array(v[first]), pa.array(every), pa.array(target)], names=["u", "v", "n_all", "n_target"]
-            )
 
+def unpack_codes(data: bytes, n: int) -> np.ndarray:
+    width = 6 if n > 1 and len(data) == 8 + 6 * (n - 1) else 8
+    raw = np.zeros((n, 8), np.uint8)
+    raw[:1] = np.frombuffer(data, np.uint8, 8)
+    raw[1:, :width] = np.frombuffer(data, np.uint8, offset=8).reshape(n - 1, width)
+    return np.cumsum(raw.view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """(kinds, n) counts, each row in the narrowest type that holds it and led by that type's width."""
+    rows = []
+    for row in counts:
+        kind = np.min_scalar_type(int(row.max(initial=0)))
+        rows.append(bytes([kind.itemsize]) + row.astype(kind.newbyteorder("<")).tobytes())
+    return b"".join(rows)
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    rows, at = [], 0
+    while at < len(data):
+        width = data[at]
+        rows.append(np.frombuffer(data, f"<u{width}", n, at + 1).astype(np.int64))
+        at += 1 + width * n
+    return np.array(rows).reshape(len(rows), n)
+
+
+def _packed(columns: list, names: list[str]) -> pa.RecordBatch:
+    kinds = {"part": pa.int64(), "block": pa.int64(), "n": pa.int32(), "codes": pa.binary(), "counts": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, columns)], names=names)
+
+
+def _in_blocks(docs: DataFrame, text: str, block: str) -> DataFrame:
+    """``docs`` with the block of each row: consecutive rows up to BLOCK_CHARS characters."""
+    schema = T.StructType([*docs.schema, T.StructField(block, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for text, is_good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = hashes.of(text)
-                held.append(ids)
-                good.append(np.full(len(ids), float(is_good)))
-                tokens += len(ids)
-                if tokens > TOKENS:
-                    yield flush()
-                    tokens = 0
-        if tokens:
-            yield flush()
+            made = []
+            for one in batch.column(batch.schema.get_field_index(text)):
+                length = len(one.as_py() or "")
+                if size and size + length > BLOCK_CHARS:
+                    now, size = now + 1, 0
+                size += length
+                made.append(now)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], names=[*batch.schema.names, block])
 
-    parts = marked.mapInArrow(run, "u bigint, v bigint, n_all bigint, n_target bigint")
-    return parts.groupBy("u", "v").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
+    return docs.mapInArrow(run, schema)
 
 
-#: (count column, name of the loss) of the two models.
-MODELS = (("n_target", "target"), ("n_all", "background"))
+def _word_entries(texts: list[np.ndarray], roles: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of a block; counts as a word in all and in target documents, then as the word before another."""
+    all_words, before = np.concatenate(texts), np.concatenate([_before(t) for t in texts])
+    role = np.repeat(roles, [len(t) for t in texts])
+    codes, at = np.unique(np.concatenate([all_words, before]).view(np.uint64), return_inverse=True)
+    own, head = at[: len(all_words)], at[len(all_words) :]
+    size = len(codes)
+    counts = [np.bincount(place[role >= least], minlength=size) for place in (own, head) for least in (1, 2)]
+    return codes, np.array(counts)
 
 
-class Scorer:
-    """Both models: staged counts of words and heads, log probabilities of all counted bigrams, and totals."""
+def _pair_entries(texts: list[np.ndarray], roles: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct bigrams of a block with their counts in all and in target documents."""
+    made = np.concatenate([pair_codes(_before(t), t) for t in texts])
+    role = np.repeat(roles, [len(t) for t in texts])
+    codes, at = np.unique(made, return_inverse=True)
+    return codes, np.array([np.bincount(at[role >= least], minlength=len(codes)) for least in (1, 2)])
 
-    def __init__(self, singles: DataFrame, heads: DataFrame, totals: dict[str, tuple[int, int]], vocabulary: int):
-        self.singles, self.heads, self.totals, self.vocabulary = singles, heads, totals, vocabulary
-        self.logs: DataFrame | None = None
 
-    def log_probabilities(self, pairs: DataFrame) -> DataFrame:
-        """(u, v, target, background) for distinct (u, v) with their counts in both models, zero where they back off."""
-        rows = pairs.join(self.singles.withColumnRenamed("word", "v"), "v", "left").join(self.heads, "u", "left")
-        made = []
-        for name, out in MODELS:
-            total, unknown = self.totals[name]
-            # Add-one smoothing over the vocabulary and the unknown word.
-            single = (F.coalesce(f"single_{name}", F.lit(unknown)) + 1.0) / (total + self.vocabulary + 1)
-            made.append(F.log((F.col(name) + BACK_OFF * single) / (F.coalesce(f"head_{name}", F.lit(0)) + BACK_OFF)).alias(out))
-        return rows.select("u", "v", *made)
-
-
-def fit(marked: DataFrame) -> Scorer:
-    """Count all texts twice: words, then pairs. The driver receives totals only."""
-    counts = stage(count_words(marked), "words")
-    names = [name for name, _ in MODELS]
-    all_words = counts.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)).first()
-    kept = counts.where(F.col("n_all") >= VOCABULARY_SHARE * all_words["n_all"])
-    known = kept.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)).first()
-    totals = {n: (all_words[n], all_words[n] - known[n]) for n in names}
-    singles = kept.groupBy(F.xxhash64("word").alias("word")).agg(*(F.sum(n).alias(f"single_{n}") for n in names))
-    singles = stage(singles, "singles")
-    pairs = stage(count_bigrams(marked), "pairs")
-    counted = F.col("n_all") >= BIGRAM_SHARE * all_words["n_all"]
-    if known["n_all"] < all_words["n_all"]:
-        own = singles.select(F.col("word").alias("v"), F.lit(True).alias("known_v"))
-        before = singles.select(F.col("word").alias("u"), F.lit(True).alias("known_u"))
-        pairs = pairs.join(own, "v", "left").join(before, "u", "left")
-        counted &= F.col("known_v").isNotNull() & (F.col("known_u").isNotNull() | (F.col("u") == START))
-    pairs = pairs.select("u", "v", *(F.when(counted, F.col(n)).otherwise(0).alias(n) for n in names))
-    heads = stage(pairs.groupBy("u").agg(*(F.sum(n).alias(f"head_{n}") for n in names)), "heads")
-    scorer = Scorer(singles, heads, totals, known["n"])
-    scorer.logs = stage(scorer.log_probabilities(pairs), "logs")
-    return scorer
-
-
-def _asked(blocks: DataFrame) -> DataFrame:
-    """(block, u, v): the distinct bigrams of each block."""
+def _sent(blocks: DataFrame, entries, parts: int, returns: bool) -> DataFrame:
+    """Packed codes and counts of (block, text, role) rows; ``returns`` says whether totals go back to the block.
+
+    Role 0 is a document that only asks, 1 one that counts and 2 one that counts for the target too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        held: dict[int, list[np.ndarray]] = {}
-        tokens = 0
+        now, texts, roles = None, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for block, some in held.items():
-                v, u = np.concatenate(some), np.concatenate([_before(h) for h in some])
-                first = np.unique(_codes(u, v), return_index=True)[1]
-                made = [pa.array(np.full(len(first), block)), pa.array(u[first]), pa.array(v[first])]
-                yield pa.RecordBatch.from_arrays(made, names=["__block", "u", "v"])
-            held.clear()
+            if any(map(len, texts)):
+                codes, counts = entries(texts, roles)
+                # Sorted codes fall into parts in order.
+                bounds = np.array([-(-(k << 64) // parts) for k in range(1, parts)], np.uint64)
+                cuts = [0, *np.searchsorted(codes, bounds).tolist(), len(codes)]
+                rows = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
+                yield _packed(
+                    [
+                        [k for k, _, _ in rows],
+                        [now if returns else _TOTALS] * len(rows),
+                        [hi - lo for _, lo, hi in rows],
+                        [pack_codes(codes[lo:hi]) for _, lo, hi in rows],
+                        [pack_counts(counts[:, lo:hi]) for _, lo, hi in rows],
+                    ],
+                    ["part", "block", "n", "codes", "counts"],
+                )
+            texts.clear()
+            roles.clear()
 
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = hashes.of(text)
-                held.setdefault(block, []).append(ids)
-                tokens += len(ids)
-                if tokens > TOKENS:
+            for block, text, role in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if block != now:
                     yield from flush()
-                    tokens = 0
+                    now = block
+                texts.append(hashes.of(text))
+                roles.append(role)
         yield from flush()
 
-    return blocks.mapInArrow(run, "__block bigint, u bigint, v bigint").distinct()
+    return blocks.mapInArrow(run, _SENT)
+
+
+def _totals(kinds: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Counts of a part added up by code and sent back; one row more has the part's sums and its number of counted codes."""
+        blocks, sizes = table.column("block").to_pylist(), table.column("n").to_pylist()
+        codes = [unpack_codes(c, n) for c, n in zip(table.column("codes").to_pylist(), sizes)]
+        distinct, at = np.unique(np.concatenate(codes), return_inverse=True)
+        sums = np.zeros((kinds, len(distinct)), np.int64)
+        lo = 0
+        for n, data in zip(sizes, table.column("counts").to_pylist()):
+            sums[:, at[lo : lo + n]] += unpack_counts(data, n)  # codes of a block are distinct
+            lo += n
+        out, lo = [], 0
+        for block, n, own in zip(blocks, sizes, codes):
+            if block != _TOTALS:
+                out.append((block, n, pack_codes(own), pack_counts(sums[:, at[lo : lo + n]])))
+            lo += n
+        whole = np.append(sums.sum(axis=1), (sums[0] > 0).sum()).reshape(-1, 1)
+        out.append((_TOTALS, 1, pack_codes(distinct[:1]), pack_counts(whole)))
+        return pa.Table.from_batches([_packed(list(zip(*out)), ["block", "n", "codes", "counts"])])
+
+    return run
+
+
+def _table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes of a block and their totals."""
+    if not rows.num_rows:
+        return np.zeros(0, np.uint64), np.zeros((0, 0), np.int64)
+    sizes = rows.column("n").to_pylist()
+    codes = np.concatenate([unpack_codes(c, n) for c, n in zip(rows.column("codes").to_pylist(), sizes)])
+    counts = np.concatenate([unpack_counts(c, n) for c, n in zip(rows.column("counts").to_pylist(), sizes)], axis=1)
+    order = np.argsort(codes)
+    return codes[order], counts[:, order]
+
+
+class BlockModel:
+    """Both models over the words and bigrams of one block."""
+
+    def __init__(self, word_rows: pa.Table, pair_rows: pa.Table, totals: tuple[int, int], vocabulary: int):
+        self.words, self.word_counts = _table(word_rows)
+        self.pairs, self.pair_counts = _table(pair_rows)
+        self.totals, self.vocabulary = totals, vocabulary
+
+    def losses(self, ids: np.ndarray) -> list[float]:
+        """Mean negative log probability of a text under the target and the background model."""
+        before = _before(ids)
+        word, head = (np.searchsorted(self.words, x.view(np.uint64)) for x in (ids, before))
+        pair = np.searchsorted(self.pairs, pair_codes(before, ids))
+        made = []
+        for k in (1, 0):
+            # Add-one smoothing over the vocabulary and one unknown word.
+            single = (self.word_counts[k, word] + 1.0) / (self.totals[k] + self.vocabulary + 1)
+            p = (self.pair_counts[k, pair] + BACK_OFF * single) / (self.word_counts[2 + k, head] + BACK_OFF)
+            made.append(-float(np.log(p).mean()))
+        return made
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
 
+def _with_role(docs: DataFrame, target: DataFrame, doc_id: str, role: str) -> DataFrame:
+    """2 for documents whose id is a target's, else 1; a null id is none."""
+    name = _unused("__id", docs.columns)
+    ids = target.select(F.col(doc_id).alias(name)).where(F.col(name).isNotNull()).distinct().withColumn(role, F.lit(2))
+    met = docs.join(broadcast_if_small(ids, ID_BYTES), docs[doc_id] == ids[name], "left").drop(name)
+    return met.withColumn(role, F.coalesce(role, F.lit(1)))
 
-def add_scores(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
+
+def _staged(rows: DataFrame, label: str) -> tuple[DataFrame, str]:
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), path
+
+
+def add_scores(docs: DataFrame, target: DataFrame, counted: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Append n_tokens, target_loss, background_loss and difference (target less background, per token).
 
-    A low difference is closer to the target. Null and empty texts have no tokens and null losses; repeated
-    rows repeat; an empty table stays empty.
+    ``target`` has the ids of the target documents. The models count the documents of ``counted``, or without it those of ``docs``
+    themselves, each scored document included. A low difference is closer to the target. Null and empty texts have no tokens and null
+    losses; repeated rows repeat and count each; without target documents the target model is uniform; an empty table
+    stays empty; columns of ``docs`` with one of the four names are replaced. The result is lazy and needs the staged blocks
+    until it has been read.
     """
+    spark = prepare(docs.sparkSession)
     fields = [("n_tokens", "bigint"), ("target_loss", "double"), ("background_loss", "double"), ("difference", "double")]
     names = [name for name, _ in fields]
     kept = [c for c in docs.columns if c not in names]
-    size = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
-    count = max(1, -(-size // BLOCK_CHARS))
-    blocks = docs.withColumn("__block", F.pmod(F.xxhash64(*docs.columns), F.lit(count)))
-    outs = [out for _, out in MODELS]
-    met = stage(_asked(blocks.select("__block", text)).join(scorer.logs, ["u", "v"], "left"), "met")
-    unseen = met.where(F.col(outs[0]).isNull())
-    if not unseen.isEmpty():
-        new = unseen.select("u", "v").distinct().select("u", "v", *(F.lit(0).alias(n) for n, _ in MODELS))
-        found = unseen.drop(*outs).join(scorer.log_probabilities(new), ["u", "v"])
-        met = met.where(F.col(outs[0]).isNotNull()).unionByName(found)
-
-    def score(rows: pa.Table, table: pa.Table) -> pa.Table:
-        codes = _codes(table.column("u").to_numpy(), table.column("v").to_numpy())
-        order = np.argsort(codes)
-        codes = codes[order]
-        logs = [table.column(out).to_numpy()[order] for out in outs]
+    role = _unused("__role", docs.columns)
+    block = _unused("__block", [*docs.columns, role])
+    marked = _with_role(docs.select(*kept), target, doc_id, role) if counted is None else docs.select(*kept).withColumn(role, F.lit(0))
+    rows, _ = _staged(_in_blocks(marked, text, block), "lm-blocks")
+    sources = [(rows.select(block, text, role), True)]
+    if counted is not None:
+        other = _with_role(counted.select(doc_id, text), target, doc_id, "__role")
+        sources.append((_staged(_in_blocks(other, text, "__block"), "lm-counted")[0].select("__block", text, "__role"), False))
+    chars = sum(s.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0] for s, _ in sources)
+    parts = max(1, -(-chars // PART_CHARS))
+
+    def met(entries, kinds: int) -> DataFrame:
+        sent = None
+        for source, returns in sources:
+            own = _sent(source, entries, parts, returns)
+            sent = own if sent is None else sent.unionByName(own)
+        return sent.groupBy("part").applyInArrow(_totals(kinds), _BACK)
+
+    word_rows, _ = _staged(met(_word_entries, 4), "lm-words")
+    sums = [unpack_counts(bytes(r["counts"]), 1).ravel() for r in word_rows.where(F.col("block") == _TOTALS).select("counts").toLocalIterator()]
+    whole = np.sum(sums, axis=0) if sums else np.zeros(5, np.int64)
+    totals, vocabulary = (int(whole[0]), int(whole[1])), int(whole[4])
+    back = word_rows.withColumn("kind", F.lit(0)).unionByName(met(_pair_entries, 2).withColumn("kind", F.lit(1)))
+    back = back.where(F.col("block") != _TOTALS)
+
+    def score(own: pa.Table, told: pa.Table) -> pa.Table:
+        kind = told.column("kind").to_numpy()
+        model = BlockModel(told.filter(pa.array(kind == 0)), told.filter(pa.array(kind == 1)), totals, vocabulary)
         hashes, made = Hashes(), []
-        for batch in rows.to_batches(max_chunksize=1000):
+        for batch in own.to_batches(max_chunksize=1000):
             for one in batch.column(batch.schema.get_field_index(text)).to_pylist():
                 ids = hashes.of(one)
-                if not len(ids):
-                    made.append((0, None, None, None))
-                    continue
-                at = np.searchsorted(codes, _codes(_before(ids), ids))
-                a, b = (-float(x[at].mean()) for x in logs)
-                made.append((len(ids), a, b, a - b))
+                a, b = model.losses(ids) if len(ids) else (None, None)
+                made.append((len(ids), a, b, a - b if len(ids) else None))
         columns = list(zip(*made)) if made else [()] * 4
         kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
-        own = [rows.column(c) for c in kept]
-        return pa.table(own + [pa.array(c, k) for c, k in zip(columns, kinds)], names=kept + names)
+        arrays = [own.column(c) for c in kept]
+        return pa.table(arrays + [pa.array(c, k) for c, k in zip(columns, kinds)], names=kept + names)
+
+    schema = T.StructType([*rows.select(*kept).schema, *T.StructType.fromDDL(", ".join(f"{n} {k}" for n, k in fields))])
+    return rows.groupBy(block).cogroup(back.groupBy("block")).applyInArrow(score, schema)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + [f"{n} {k}" for n, k in fields])
-    return blocks.groupBy("__block").cogroup(met.groupBy("__block")).applyInArrow(score, schema)
