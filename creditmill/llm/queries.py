@@ -69,7 +69,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
-    return language_model.add_scores(docs.select("doc_id", "text"), labels.where("quality = 1")).drop("text")
+    return language_model.add_scores(docs.select("doc_id", "text"), labels.where("quality = 1"), keep_text=False)
 
 
 def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
