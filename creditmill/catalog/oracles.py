@@ -192,7 +192,7 @@ _BLOCKS = {
     "features": _FEATURES,
     "batch": (
         "SELECT * FROM features UNION ALL BY NAME "
-        "SELECT * REPLACE (row_no + 10000000 AS row_no) FROM features WHERE row_no % 50 = 0"
+        "SELECT * REPLACE (row_no + 4503599627370496 AS row_no) FROM features WHERE row_no % 50 = 0"
     ),
     "typed_batch": f"SELECT row_no, {_TYPED_APPLICANT}, {_TYPED_FEATURES} FROM batch",
     "typed": f"SELECT row_no, {_TYPED_APPLICANT}, {_TYPED_FEATURES} FROM features",
@@ -436,6 +436,29 @@ _SELECTS = {
     "store_appended_models": (
         "SELECT id, algorithm, is_from_scratch, cv_accuracy, false AS is_champion FROM models WHERE algorithm <> 'svm'"
     ),
+    "store_appended_features": f"SELECT id AS applicant_id, {_FEATURE_COLUMNS} FROM applicants",
+    "store_appended_predictions": (
+        "SELECT p.id, p.applicant_id, p.model_id, p.predicted_outcome, p.approval_probability FROM predictions p "
+        "JOIN applicants a ON a.id = p.applicant_id JOIN models m ON m.id = p.model_id WHERE m.algorithm <> 'svm'"
+    ),
+    "store_appended_explanations": (
+        "SELECT e.id, e.prediction_id, CASE WHEN e.retriever_type = 'vector' THEN 'vector' ELSE 'tfidf' END AS retriever_type, "
+        "CAST(e.retrieval_k AS INTEGER) AS retrieval_k, e.llm_response, e.generation_latency_ms FROM explanations e "
+        "JOIN predictions p ON p.id = e.prediction_id WHERE e.llm_response IS NOT NULL AND p.approval_probability < 0.1"
+    ),
+    "store_created_tables": (
+        "SELECT table_name, CASE WHEN table_name IN ('loan_applicants', 'engineered_features') THEN (SELECT count(*) FROM applicants) "
+        "ELSE 0 END AS row_count FROM (SELECT unnest(['loan_applicants', 'engineered_features', 'ml_models', 'model_predictions', "
+        "'retrieval_documents', 'rag_explanations', 'rag_explanation_chunks', 'evaluator_assessments']) AS table_name) t"
+    ),
+    "processed_feature_scan": (
+        "SELECT row_no AS loan_no, row_number() OVER (ORDER BY row_no) - 1 AS row_no, round(person_income, 6) AS person_income, "
+        "credit_score_tier FROM features"
+    ),
+    "stream_loaded_applicants": (
+        f"SELECT {_ID} AS id, {_APPLICANT_COLUMNS} FROM (SELECT * FROM typed_batch WHERE {_STORABLE} QUALIFY row_number() OVER ("
+        f"PARTITION BY {_KEYS} ORDER BY CASE WHEN row_no >= 4503599627370496 THEN 2 ELSE row_no % 2 END, row_no) = 1) f"
+    ),
     "feature_summary": (
         "SELECT count(*) AS row_count, 36::INTEGER AS column_count, "
         "CAST(sum(CAST(is_high_risk AS INTEGER)) AS BIGINT) AS high_risk_rows, "
@@ -487,6 +510,13 @@ _SELECTS = {
         "UNION ALL SELECT 'ml_models', 'is_champion: required' FROM models WHERE false "
         "UNION ALL SELECT 'model_predictions', 'predicted_outcome: not in domain' FROM predictions WHERE model_id = 'model-7' "
         "UNION ALL SELECT 'model_predictions', 'risk_tier: too long' FROM predictions WHERE model_id = 'model-8' "
+        "UNION ALL SELECT 'loan_applicants', unnest(list_filter([CASE WHEN person_age IS NULL THEN 'person_age: required' END, "
+        "CASE WHEN person_income IS NULL THEN 'person_income: required' END, CASE WHEN loan_amnt IS NULL THEN 'loan_amnt: required' END, "
+        "CASE WHEN person_home_ownership IS NULL THEN 'person_home_ownership: required' END, CASE WHEN loan_intent IS NULL THEN "
+        "'loan_intent: required' END, CASE WHEN credit_score < 400 THEN 'loan_grade: not in domain' END], lambda r: r IS NOT NULL)) FROM typed_batch "
+        "UNION ALL SELECT 'engineered_features', 'credit_score_tier: not in domain' FROM typed_batch WHERE credit_score > 800 "
+        "UNION ALL SELECT 'retrieval_documents', 'source_name: too long' FROM chunks WHERE chunk_index % 3 = 2 "
+        "UNION ALL SELECT 'rag_explanation_chunks', 'rank: required' FROM explanation_chunks WHERE rank = 5 "
         "UNION ALL SELECT 'rag_explanations', 'llm_response: required' FROM explanations WHERE llm_response IS NULL "
         "UNION ALL SELECT 'evaluator_assessments', 'evaluator_id: too long' FROM long_evaluators WHERE length(evaluator_id) > 50 "
         "UNION ALL SELECT 'evaluator_assessments', 'policy_traceability: out of range' FROM assessments "

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditmill.catalog.samples import Samples
+from creditmill.catalog.samples import COPY_OFFSET, Samples
 from creditmill.config import FEATURE_COLUMNS, RAW_COLUMNS, LoadConfig
 from creditmill.operators import (
     evaluation,
@@ -30,13 +30,13 @@ from creditmill.operators.dedup import distinct_fingerprints, first_occurrences
 from creditmill.operators.summary import summarise, summary_counts, value_counts
 from creditmill.plans.feature_table import build_feature_table, run_features
 from creditmill.plans.load import LoadPlan, chunk_counters, load_counters, load_features, plan_load
-from creditmill.session import scratch_path
+from creditmill.session import scratch_path, stage
 from creditmill.sources import tables
-from creditmill.sources.files import load_raw, number_rows, read_csv
-from creditmill.sources.store import LoanStore
+from creditmill.sources.files import load_raw, number_rows, read_csv, read_features, write_features
+from creditmill.sources.store import LoanStore, with_defaults
+from creditmill.streaming.keyed import load_first_arrivals
 
 SCORES = ("policy_traceability", "factual_accuracy", "completeness", "actionability")
-PANEL = ("evaluator_1", "evaluator_2", "evaluator_3")
 QUESTIONS = {
     "q1": "Why was the loan refused: is it the income and the credit history?",
     "q2": "que la une des les",
@@ -48,6 +48,11 @@ VECTORS = {
 }
 
 
+_PREDICTION_COLUMNS = ("id", "applicant_id", "model_id", "predicted_outcome", "approval_probability")
+_EXPLANATION_COLUMNS = ("id", "prediction_id", "retriever_type", "retrieval_k", "llm_response", "generation_latency_ms")
+_MODEL_COLUMNS = ("id", "algorithm", "is_from_scratch", "cv_accuracy", "is_champion")
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six decimals and small integers to int, for comparison across engines."""
     columns = []
@@ -141,7 +146,7 @@ def risk_baseline(s: Samples) -> DataFrame:
 
 
 def feature_table(s: Samples) -> DataFrame:
-    return build_feature_table(s.loan_raw(), extra=("row_no",))
+    return build_feature_table(stage(s.loan_raw(), "raw-loans"), extra=("row_no",))
 
 
 # --- files and stored tables ---------------------------------------------------
@@ -208,6 +213,66 @@ def stored_models(s: Samples) -> DataFrame:
     return _store(s).create_models(kept, "models").select("id", "algorithm", "is_from_scratch", "cv_accuracy", "is_champion")
 
 
+def appended_predictions(s: Samples) -> DataFrame:
+    """Predictions appended after applicants and models, all constraints checked."""
+    store = s.store_with_parents()
+    kept = s.predictions().join(s.models().where("algorithm <> 'svm'").select(F.col("id").alias("model_id")), "model_id", "left_semi")
+    kept = kept.join(s.applicants().select(F.col("id").alias("applicant_id")), "applicant_id", "left_semi")
+    return store.create_predictions(kept, "predictions").select(*_PREDICTION_COLUMNS)
+
+
+def appended_explanations(s: Samples) -> DataFrame:
+    """Explanations with an answer, appended after their predictions; the retriever has a default."""
+    store = s.store_with_parents()
+    predictions = s.predictions().where("approval_probability < 0.1")
+    counts = {tables.PREDICTIONS.name: store.write(tables.PREDICTIONS.name, with_defaults(predictions, tables.PREDICTIONS), "parents")}
+    store.publish("parents", counts)
+    own = predictions.select(F.col("id").alias("prediction_id"))
+    kept = s.explanations().where("llm_response is not null").join(own, "prediction_id", "left_semi")
+    kept = kept.withColumn("retriever_type", F.when(F.col("retriever_type") == "vector", "vector"))
+    return store.create_explanations(kept, "explanations").select(*_EXPLANATION_COLUMNS)
+
+
+def appended_features(s: Samples) -> DataFrame:
+    """Applicants and features by their own appends instead of the load."""
+    store = _store(s)
+    store.create_applicants(s.applicants().select(*_columns(tables.APPLICANTS, "created_at")), "applicants")
+    derived = s.applicants().withColumn("applicant_id", F.col("id")).select(*_columns(tables.FEATURES, "id", "computed_at"))
+    return store.create_features(derived, "features").select(*_columns(tables.FEATURES, "id", "computed_at"))
+
+
+def created_tables(s: Samples) -> DataFrame:
+    """Rows of all eight tables after they were created and a batch was loaded."""
+    store = _store(s)
+    store.create_tables()
+    load_features(s.features(), store, batch_id="first")
+    found = None
+    for table in tables.TABLES.values():
+        rows = store.read(table.name).agg(F.lit(table.name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def processed_scan(s: Samples) -> DataFrame:
+    """A feature table written and read again with the position of every row."""
+    path = scratch_path(s.spark, "features")
+    write_features(s.features().select("row_no", *FEATURE_COLUMNS).orderBy("row_no"), path)
+    rows = number_rows(read_features(s.spark, path, with_order=True).withColumnRenamed("row_no", "loan_no"))
+    return rows.select("loan_no", F.col("row_no").cast("bigint").alias("row_no"), "person_income", "credit_score_tier")
+
+
+def stream_load(s: Samples) -> DataFrame:
+    """Applicants after three arrivals, loaded by a stream that stops after each and starts again from its checkpoint."""
+    root = scratch_path(s.spark, "stream")
+    store = LoanStore(s.spark, f"{root}/store")
+    batch = s.loan_batch()
+    third = F.col("row_no") >= COPY_OFFSET
+    for rows in (batch.where(~third & (F.col("row_no") % 2 == 0)), batch.where(~third & (F.col("row_no") % 2 == 1)), batch.where(third)):
+        rows.write.mode("append").parquet(f"{root}/landing")
+        load_first_arrivals(s.spark, f"{root}/landing", store, f"{root}/checkpoint").awaitTermination()
+    return store.read("loan_applicants").select("id", *_columns(tables.APPLICANTS, "id", "created_at", "loan_grade"))
+
+
 # --- summaries ---------------------------------------------------------------
 
 
@@ -295,13 +360,20 @@ def dq_rules(s: Samples) -> DataFrame:
 
 
 def dq_table_rules(s: Samples) -> DataFrame:
-    """Rows per broken row rule of the tables with violations put in; one pass per table."""
+    """Rows per broken row rule of all eight tables, with violations put in; one pass per table."""
     late = F.when(F.col("model_id") == "model-7", "maybe").otherwise(F.col("predicted_outcome"))
     tier = F.when(F.col("model_id") == "model-8", F.repeat(F.lit("x"), F.lit(21)))
+    typed = coerce_loans(s.loan_batch())
+    grade = F.when(F.col("credit_score") < 400, "Z")
+    long_name = F.when(F.col("chunk_index") % 3 == 2, F.repeat(F.col("source_name"), F.lit(201))).otherwise(F.col("source_name"))
     frames = {
+        tables.APPLICANTS: typed.withColumn("loan_grade", grade),
+        tables.FEATURES: typed.withColumn("credit_score_tier", F.when(F.col("credit_score") > 800, "Superb").otherwise(F.col("credit_score_tier"))),
         tables.MODELS: s.models(),
         tables.PREDICTIONS: s.predictions().withColumns({"predicted_outcome": late, "risk_tier": tier}),
+        tables.DOCUMENTS: s.documents().withColumn("source_name", long_name),
         tables.EXPLANATIONS: s.explanations(),
+        tables.EXPLANATION_CHUNKS: s.explanation_chunks().withColumn("rank", F.when(F.col("rank") < 5, F.col("rank"))),
         tables.ASSESSMENTS: s.assessments().drop("evaluator_id").join(s.long_evaluators(), "id"),
     }
     found = None
@@ -406,50 +478,55 @@ def _model_table(s: Samples) -> DataFrame:
     return s.models().drop("trained_at")
 
 
+def _stored(s: Samples, table: tables.Table, *columns: str) -> DataFrame:
+    """Some columns of a stored table, as a scan without a join."""
+    return s.store().current(table.name).select(*columns)
+
+
 def lookup_applicant(s: Samples) -> DataFrame:
-    table = _applicant_table(s)
+    table = _stored(s, tables.APPLICANTS, *_columns(tables.APPLICANTS, "created_at", "loan_grade"))
     return lookup.get_by_id(table, _first_key(table))
 
 
 def lookup_features(s: Samples) -> DataFrame:
-    table = _feature_table(s)
+    table = _stored(s, tables.FEATURES, *_columns(tables.FEATURES, "id", "computed_at"))
     return lookup.get_features(table, _first_key(table, "applicant_id"))
 
 
 def lookup_model(s: Samples) -> DataFrame:
-    return lookup.get_by_id(_model_table(s), "model-7")
+    return lookup.get_by_id(_stored(s, tables.MODELS, *_MODEL_COLUMNS), "model-7")
 
 
 def lookup_prediction(s: Samples) -> DataFrame:
-    table = s.predictions()
+    table = _stored(s, tables.PREDICTIONS, *_PREDICTION_COLUMNS)
     return lookup.get_by_id(table, _first_key(table))
 
 
 def lookup_explanation(s: Samples) -> DataFrame:
-    table = s.explanations()
+    table = _stored(s, tables.EXPLANATIONS, *_EXPLANATION_COLUMNS)
     return lookup.get_explanation(table, _first_key(table, "prediction_id"))
 
 
 def applicant_predictions(s: Samples) -> DataFrame:
-    table = s.predictions()
+    table = _stored(s, tables.PREDICTIONS, *_PREDICTION_COLUMNS)
     return lookup.get_applicant_predictions(table, _first_key(table, "applicant_id"))
 
 
 def approved_applicant_predictions(s: Samples) -> DataFrame:
-    approved = s.applicants().where("loan_status = 1")
-    return lookup.matching(s.predictions(), "applicant_id", approved, "id")
+    approved = _stored(s, tables.APPLICANTS, "id", "loan_status").where("loan_status = 1")
+    return lookup.matching(_stored(s, tables.PREDICTIONS, *_PREDICTION_COLUMNS), "applicant_id", approved, "id")
 
 
 def champion_model(s: Samples) -> DataFrame:
-    return lookup.get_champion_model(s.models()).drop("trained_at")
+    return lookup.get_champion_model(_stored(s, tables.MODELS, *_MODEL_COLUMNS, "trained_at")).drop("trained_at")
 
 
 def list_applicants(s: Samples) -> DataFrame:
-    return lookup.list_rows(_applicant_table(s))
+    return lookup.list_rows(_stored(s, tables.APPLICANTS, *_columns(tables.APPLICANTS, "created_at", "loan_grade")))
 
 
 def list_models(s: Samples) -> DataFrame:
-    return lookup.list_rows(_model_table(s), 10)
+    return lookup.list_rows(_stored(s, tables.MODELS, *_MODEL_COLUMNS), 10)
 
 
 # --- joins ---------------------------------------------------------------------
@@ -542,7 +619,7 @@ def reciprocal_rank(s: Samples) -> DataFrame:
 
 
 def rater_agreement(s: Samples) -> DataFrame:
-    return evaluation.rater_agreement(s.assessments(), "factual_accuracy", PANEL)
+    return evaluation.rater_agreement(s.assessments(), "factual_accuracy")
 
 
 def rubric_means(s: Samples) -> DataFrame:
@@ -653,6 +730,12 @@ QUERIES = {
     "store_loaded_features": stored_features,
     "store_load_results": load_results,
     "store_appended_models": stored_models,
+    "store_appended_features": appended_features,
+    "store_appended_predictions": appended_predictions,
+    "store_appended_explanations": appended_explanations,
+    "store_created_tables": created_tables,
+    "processed_feature_scan": processed_scan,
+    "stream_loaded_applicants": stream_load,
     "feature_summary": feature_summary,
     "value_counts_income_bucket": counts_income_bucket,
     "value_counts_credit_score_tier": counts_credit_tier,

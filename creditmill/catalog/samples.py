@@ -8,6 +8,8 @@ DuckDB, apart from the series function passed in as ``{series}``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,12 @@ from creditmill.operators.coercion import coerce_loans, fingerprint_id, stored_c
 from creditmill.operators.dedup import first_occurrences
 from creditmill.operators.retrieval import chunk_texts
 from creditmill.plans.feature_table import build_feature_table
-from creditmill.session import stage
+from creditmill.plans.load import load_features
+from creditmill.session import scratch_path, stage
+from creditmill.sources.store import LoanStore
+from creditmill.sources.tables import EXPLANATIONS as EXPLANATIONS_TABLE
+from creditmill.sources.tables import MODELS as MODELS_TABLE
+from creditmill.sources.tables import PREDICTIONS as PREDICTIONS_TABLE
 
 LOAN_RAW = """
 SELECT o_orderkey AS row_no,
@@ -152,7 +159,12 @@ FROM {assessments}
 """
 
 
-_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_STORES: dict[tuple[str, str, str], LoanStore] = {}
+
+
+#: Row numbers of copies lie beyond those of all orders, whatever the scale factor.
+COPY_OFFSET = 1 << 52
 
 
 class Samples:
@@ -177,20 +189,46 @@ class Samples:
         )
 
     def features(self) -> DataFrame:
-        """The feature table as a written table, which is what the load starts from.
+        """The feature table as a written table, which is what the load starts from."""
+        return self._once("features", lambda: build_feature_table(self.loan_raw(), extra=("row_no",)))
 
-        It is written once per application and scale factor.
-        """
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table, written once per application and scale factor."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _WRITTEN:
-            table = build_feature_table(self.loan_raw(), extra=("row_no",))
-            _WRITTEN[key] = stage(table, "sample-features")
+            _WRITTEN[key] = stage(make(), f"sample-{name}")
         return _WRITTEN[key]
 
+    def store(self) -> LoanStore:
+        """A store with all tables: features loaded as one batch, the others published as they are."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "store")
+        if key not in _STORES:
+            store = LoanStore(self.spark, scratch_path(self.spark, "sample-store"))
+            load_features(self.features(), store, batch_id="loans")
+            counts = {}
+            for table, rows in (
+                (MODELS_TABLE, self.models()),
+                (PREDICTIONS_TABLE, self.predictions()),
+                (EXPLANATIONS_TABLE, self.explanations()),
+            ):
+                known = [F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in table.columns]
+                counts[table.name] = store.write(table.name, rows.select(*known), "samples")
+            store.publish("samples", counts)
+            _STORES[key] = store
+        return _STORES[key]
+
+    def store_with_parents(self) -> LoanStore:
+        """A new store with the applicants, features and models that predictions refer to."""
+        store = LoanStore(self.spark, scratch_path(self.spark, "store"))
+        load_features(self.features(), store, batch_id="loans")
+        kept = self.models().where("algorithm <> 'svm'").drop("trained_at")
+        store.create_models(kept, "models")
+        return store
+
     def loan_batch(self) -> DataFrame:
         """Feature rows plus a later copy of every fiftieth: duplicates within the batch."""
         rows = self.features()
-        copies = rows.where("row_no % 50 = 0").withColumn("row_no", F.col("row_no") + 10_000_000)
+        copies = rows.where("row_no % 50 = 0").withColumn("row_no", F.col("row_no") + COPY_OFFSET)
         return rows.unionByName(copies)
 
     def loan_existing(self) -> DataFrame:
@@ -200,9 +238,12 @@ class Samples:
 
     def applicants(self) -> DataFrame:
         """Valid applications, first occurrence each, with their key and all typed columns."""
-        typed = coerce_loans(self.features()).where("storable")
-        firsts = first_occurrences(stored_columns(typed, "row_no"))
-        return firsts.withColumn("id", fingerprint_id())
+
+        def make() -> DataFrame:
+            typed = coerce_loans(self.features()).where("storable")
+            return first_occurrences(stored_columns(typed, "row_no")).withColumn("id", fingerprint_id())
+
+        return self._once("applicants", make)
 
     def applicant_keys(self) -> DataFrame:
         return self.applicants().select("row_no", F.col("id").alias("applicant_id"))
@@ -222,23 +263,35 @@ class Samples:
         return self._sql(MODELS, supplier=self.table("supplier"))
 
     def predictions(self) -> DataFrame:
-        return self._sql(
-            PREDICTIONS, lineitem=self.table("lineitem"), applicant_keys=self.applicant_keys()
+        return self._once(
+            "predictions",
+            lambda: self._sql(
+                PREDICTIONS, lineitem=self.table("lineitem"), applicant_keys=self.applicant_keys()
+            ),
         )
 
     def explanations(self) -> DataFrame:
-        return self._sql(EXPLANATIONS, lineitem=self.table("lineitem"))
+        return self._once(
+            "explanations",
+            lambda: self._sql(EXPLANATIONS, lineitem=self.table("lineitem")),
+        )
 
     def explanation_chunks(self) -> DataFrame:
-        return self._sql(
-            EXPLANATION_CHUNKS,
-            lineitem=self.table("lineitem"),
-            documents=self.table("documents"),
-            texts=self.table("documents").select("doc_id", "n_chars"),
+        return self._once(
+            "explanation_chunks",
+            lambda: self._sql(
+                EXPLANATION_CHUNKS,
+                lineitem=self.table("lineitem"),
+                documents=self.table("documents"),
+                texts=self.table("documents").select("doc_id", "n_chars"),
+            ),
         )
 
     def assessments(self) -> DataFrame:
-        return self._sql(ASSESSMENTS, lineitem=self.table("lineitem"))
+        return self._once(
+            "assessments",
+            lambda: self._sql(ASSESSMENTS, lineitem=self.table("lineitem")),
+        )
 
     def repeated_predictions(self) -> DataFrame:
         return self._sql(REPEATED_PREDICTIONS, predictions=self.predictions())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditmill.config import FINGERPRINT_COLUMNS
@@ -14,19 +14,14 @@ def distinct_fingerprints(df: DataFrame) -> DataFrame:
     return df.select(*KEYS).distinct()
 
 
-def first_keys(rows: DataFrame, order: str = "row_no", keys: list[str] = KEYS) -> DataFrame:
-    """(keys, order): each fingerprint with its earliest row, from narrow rows combined before the shuffle."""
-    return rows.groupBy(*keys).agg(F.min(order).alias(order))
-
-
 def first_occurrences(rows: DataFrame, order: str = "row_no", keys: list[str] = KEYS) -> DataFrame:
-    """The earliest row of each fingerprint.
+    """The earliest row of each fingerprint, one row also where the order has ties.
 
-    The earliest row numbers are found from narrow rows, and the wide rows are
-    shuffled once, by row number, so a fingerprint shared by a third of all rows does not
-    pile up in one task.
+    Spark's window group limit keeps one row per fingerprint and task before the shuffle, so a
+    fingerprint shared by a third of all rows arrives as one row per task, and the rows are evaluated once.
     """
-    return rows.join(first_keys(rows, order, keys).select(order), order, "left_semi").select(*rows.columns)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return rows.withColumn("_occurrence", number).where("_occurrence = 1").select(*rows.columns)
 
 
 def new_occurrences(
@@ -34,7 +29,6 @@ def new_occurrences(
 ) -> DataFrame:
     """The earliest row of each fingerprint that is not among the stored ones.
 
-    The stored keys meet the narrow rows, which are partitioned by these keys already.
+    First occurrences are partitioned by their keys already, so only the stored keys are shuffled to meet them.
     """
-    fresh = first_keys(rows, order, keys).join(stored.select(*keys), keys, "left_anti")
-    return rows.join(fresh.select(order), order, "left_semi").select(*rows.columns)
+    return first_occurrences(rows, order, keys).join(stored.select(*keys), keys, "left_anti").select(*rows.columns)

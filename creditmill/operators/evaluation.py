@@ -8,7 +8,6 @@ shuffle, so what is moved does not grow with the number of rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,36 +97,35 @@ def fairness_gaps(groups: DataFrame) -> DataFrame:
     )
 
 
-def rater_agreement(ratings: DataFrame, score: str, panel: Sequence[str]) -> DataFrame:
-    """Cohen's kappa of every pair of a panel of evaluators, on the items both rated.
+def rater_agreement(ratings: DataFrame, score: str, panel: Sequence[str] | None = None) -> DataFrame:
+    """Cohen's kappa of every pair of evaluators, on the items both rated.
 
-    The panel is named by the caller (three people here), so an item's ratings
-    are laid side by side by one aggregate and paired inside its row; no row
-    meets another one. All later steps work on counts per pair and score. Kappa
+    The evaluators are those of the data, or those of ``panel`` only. An evaluator's repeated ratings of an item count as one,
+    their mean rounded half up; null scores are none. An item's ratings are gathered in its row, as many as it has evaluators,
+    and paired there; no row meets another one. All later steps work on counts per pair and score. Kappa
     is null when chance alone would give full agreement.
     """
-    rated = ratings.groupBy("explanation_id").agg(
-        *[
-            F.max(F.when(F.col("evaluator_id") == name, F.col(score))).alias(name)
-            for name in panel
-        ]
-    )
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(x).alias("rater_a"),
-                F.lit(y).alias("rater_b"),
-                F.col(x).alias("a"),
-                F.col(y).alias("b"),
-            )
-            for x, y in combinations(panel, 2)
-        ]
+    rated = ratings.where(F.col(score).isNotNull() & F.col("evaluator_id").isNotNull())
+    if panel is not None:
+        rated = rated.where(F.col("evaluator_id").isin(*panel))
+    kind = ratings.schema[score].dataType
+    once = rated.groupBy("explanation_id", "evaluator_id").agg(F.round(F.avg(score)).cast(kind).alias("x"))
+    gathered = once.groupBy("explanation_id").agg(F.sort_array(F.collect_list(F.struct("evaluator_id", "x"))).alias("own"))
+    later = F.flatten(
+        F.transform(
+            "own",
+            lambda r, i: F.transform(
+                F.slice("own", i + 2, F.size("own")),
+                lambda o: F.struct(
+                    r["evaluator_id"].alias("rater_a"), o["evaluator_id"].alias("rater_b"), r["x"].alias("a"), o["x"].alias("b")
+                ),
+            ),
+        )
     )
     pair = ["rater_a", "rater_b"]
     cells = (
-        rated.select(F.explode(pairs).alias("pair"))
+        gathered.select(F.explode(later).alias("pair"))
         .select("pair.*")
-        .dropna()
         .groupBy(*pair, "a", "b")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -137,6 +137,7 @@ def load_features(
     if store.is_published(batch_id):
         raise BatchExistsError(batch_id)
     order_column(features)
+    known = store.batches(APPLICANTS.name)
     with staged(coerce_loans(features, config), f"load-{batch_id}") as coerced:
         plan = plan_load(coerced, store.read(APPLICANTS.name))
         totals = coerced.agg(
@@ -150,15 +151,39 @@ def load_features(
         if config.dry_run:
             inserted = plan.new_rows.count()
         else:
-            with staged(plan.new_rows, f"new-{batch_id}") as new_rows:
-                inserted = store.write(APPLICANTS.name, applicant_rows(new_rows, run_ts), batch_id)
-                store.write(FEATURES.name, feature_rows(new_rows, run_ts), batch_id)
             if rejected:
                 plan.rejects.write.mode("overwrite").parquet(store.path("rejects", batch_id))
             else:  # what an earlier, failed attempt may have left
                 delete_folder(store.spark, store.path("rejects", batch_id))
-            counts = {APPLICANTS.name: inserted, FEATURES.name: inserted, "rejects": rejected}
-            store.publish(batch_id, counts, run_ts)
+            inserted = store_new_rows(plan.new_rows, store, batch_id, run_ts, known, rejected)
     return LoadResult(
         batch_id, total, inserted, total - rejected - inserted, rejected, config.dry_run
     )
+
+
+def store_new_rows(
+    new_rows: DataFrame, store: LoanStore, batch_id: str, run_ts: datetime, known: set[str], rejected: int = 0
+) -> int:
+    """Write both tables and publish them together; returns the rows inserted.
+
+    ``known`` are the batches that ``new_rows`` were compared with. What other loads have published since is compared
+    again while nobody else can publish, so of two loads started together each fingerprint is inserted once.
+    """
+
+    def write(rows: DataFrame) -> int:
+        count = store.write(APPLICANTS.name, applicant_rows(rows, run_ts), batch_id)
+        store.write(FEATURES.name, feature_rows(rows, run_ts), batch_id)
+        return count
+
+    with staged(new_rows, f"new-{batch_id}") as rows:
+        inserted = write(rows)
+        with store.publishing(batch_id):
+            if store.is_published(batch_id):
+                raise BatchExistsError(batch_id)
+            later = store.batches(APPLICANTS.name) - known
+            if later:
+                others = store.read_batches(APPLICANTS.name, later).select(*KEYS)
+                inserted = write(rows.join(others, KEYS, "left_anti").select(*rows.columns))
+            counts = {APPLICANTS.name: inserted, FEATURES.name: inserted, "rejects": rejected}
+            store.publish(batch_id, counts, run_ts)
+    return inserted

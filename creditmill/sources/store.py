@@ -8,9 +8,12 @@ way is never seen, and running it again under the same batch id replaces it.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+import time
+from collections.abc import Iterable, Iterator, Mapping
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +74,18 @@ class LoanStore:
         rows = self._read_or_empty([f"{self.root}/{name}"], schema)
         return rows.join(self._published(name), "batch_id", "left_semi").select(*TABLES[name].columns)
 
+    def current(self, name: str) -> DataFrame:
+        """``read`` for lookups: a plain scan of the published folders, so that a key reaches the files' filters.
+
+        The driver holds one short id per load.
+        """
+        return self.read_batches(name, self.batches(name))
+
+    def read_batches(self, name: str, batch_ids: Iterable[str]) -> DataFrame:
+        """The rows of some batches of a table."""
+        paths = [self.path(name, batch_id) for batch_id in sorted(batch_ids)]
+        return self._read_or_empty(paths, TABLES[name].schema).select(*TABLES[name].columns)
+
     def create_tables(self) -> None:
         """Publish an empty first batch of every table that has none."""
         absent = [name for name in TABLES if self._published(name).isEmpty()]
@@ -107,6 +122,37 @@ class LoanStore:
             f"{self.root}/manifest"
         )
 
+    def batches(self, name: str) -> set[str]:
+        """Ids of the published batches of a table, one per load."""
+        return {row["batch_id"] for row in self._published(name).collect()}
+
+    @contextmanager
+    def publishing(self, batch_id: str, wait: float = 600.0) -> Iterator[None]:
+        """One publisher at a time: a file that only one can create, deleted at the end.
+
+        A load checks what others have published since its plan and publishes inside. A process that dies here leaves
+        the file, which names its batch; later loads then fail after ``wait`` seconds and say which file to remove.
+        """
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_publishing")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        until = time.monotonic() + wait
+        while True:
+            try:
+                out = files.create(path, False)
+                break
+            except Py4JJavaError as error:
+                if not files.exists(path) and time.monotonic() > until:
+                    raise
+                if time.monotonic() > until:
+                    raise TimeoutError(f"another load has been publishing for {wait:.0f} s; if it is gone, delete {path.toString()}") from error
+                time.sleep(0.2)
+        try:
+            out.write(bytearray(batch_id.encode()))
+            out.close()
+            yield
+        finally:
+            files.delete(path, False)
+
     def append(
         self, name: str, rows: DataFrame, batch_id: str, run_ts: datetime | None = None
     ) -> DataFrame:
