@@ -19,8 +19,10 @@ CHUNK_SIZE = 512
 CHUNK_OVERLAP = 64
 TOP_K = 5
 
-# Parts that a term's rows are dealt to when the idf is joined.
-_SALTS = 16
+#: Chunks of a frequent term that meet its idf in one part.
+TERM_PART = 100_000
+#: Frequent terms up to which their parts are broadcast, counted first; beyond it the join is left to the optimizer.
+BROADCAST_TERMS = 100_000
 
 
 def chunk_texts(
@@ -60,24 +62,26 @@ def tfidf_weights(chunks: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight) with idf applied, before normalisation.
 
     Terms are counted once, into a scratch table that also keeps the chunks without
-    a term, so it gives their number too. A term of every chunk is dealt to
-    several parts by a hash of the chunk, each of which gets the term's idf.
+    a term, so it gives their number too. A term of more than TERM_PART chunks is dealt, by a hash of the chunk, to
+    as many parts as it needs, each of which gets the term's idf; such terms are few, at most all counts over TERM_PART.
     """
     found = chunks.select(key, F.explode_outer(terms(F.col(text))).alias("term"))
     counted = stage(found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
     size = counted.select(key).distinct().count()
     counted = counted.where(F.col("term").isNotNull())
-    idf = (
-        counted.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .select(
-            "term",
-            (F.log(F.lit(1.0 + size) / (F.col("df") + 1.0)) + 1.0).alias("idf"),
-            F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"),
-        )
+    held = stage(counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term-chunks")
+    parts = F.ceil(F.col("df") / TERM_PART).cast("int")
+    idf = held.select(
+        "term",
+        (F.log(F.lit(1.0 + size) / (F.col("df") + 1.0)) + 1.0).alias("idf"),
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
     )
-    dealt = counted.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(_SALTS)).cast("int"))
-    return dealt.join(idf, ["term", "salt"]).select(
+    frequent = held.where(F.col("df") > TERM_PART).select("term", parts.alias("parts"))
+    if frequent.count() <= BROADCAST_TERMS:
+        frequent = F.broadcast(frequent)
+    part = F.pmod(F.xxhash64(key), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = counted.join(frequent, "term", "left").withColumn("part", part)
+    return dealt.join(idf, ["term", "part"]).select(
         key, "term", (F.col("tf") * F.col("idf")).alias("weight")
     )
 

@@ -61,6 +61,8 @@ def load_first_arrivals(
     def store_batch(rows: DataFrame, number: int) -> None:
         batch_id = f"{name}-{number:08d}"
         if store.is_published(batch_id):
+            # A replay: nothing is written, but the state of this micro-batch has to be.
+            rows.write.format("noop").mode("overwrite").save()
             return
         new = rows.withColumn("applicant_id", fingerprint_id())
         store_new_rows(new, store, batch_id, datetime.now(timezone.utc), store.batches(APPLICANTS.name))

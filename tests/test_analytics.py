@@ -33,7 +33,7 @@ def brute_vectors():
 
 @pytest.mark.parametrize("salts", [1, 3, 16])
 def test_tfidf(spark, monkeypatch, salts):
-    monkeypatch.setattr(retrieval, "_SALTS", salts)
+    monkeypatch.setattr(retrieval, "TERM_PART", salts)
     chunks = spark.createDataFrame(list(TEXTS.items()), "id string, text string")
     vectors = retrieval.tfidf_vectors(chunks, "id", "text")
     found = {r["id"]: r["tfidf_vector"] for r in vectors.collect()}
@@ -113,6 +113,12 @@ def test_kappa(spark):
         pairs = [(scores[(i, a)], scores[(i, b)]) for i in range(40) if (i, a) in scores and (i, b) in scores]
         assert row["items"] == len(pairs)
         assert row["kappa"] == pytest.approx(brute_kappa(pairs))
+    everyone = evaluation.rater_agreement(ratings, "score").orderBy("rater_a", "rater_b").collect()
+    assert everyone == evaluation.rater_agreement(ratings, "score", panel).orderBy("rater_a", "rater_b").collect()
+    # Repeated ratings count as their mean rounded half up; null raters and scores are none.
+    odd = [("1", "x", 1), ("1", "x", 2), ("1", "y", 2), ("2", "x", 4), ("2", "y", 4), ("3", "x", None), ("3", "y", 1), ("1", None, 3)]
+    found = evaluation.rater_agreement(spark.createDataFrame(odd, "explanation_id string, evaluator_id string, score int"), "score").collect()
+    assert [(r.rater_a, r.rater_b, r["items"], r.kappa) for r in found] == [("x", "y", 2, 1.0)]
     same = ratings.withColumn("score", F.lit(3))
     assert {r["kappa"] for r in evaluation.rater_agreement(same, "score", panel).collect()} == {None}
 

@@ -191,3 +191,31 @@ def test_scores_of_all_models(rows, train):
     assert odd.isEmpty()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_trained_models_and_their_predictions_are_stored(spark, raw, tmp_path):
+    from creditmill.operators.lookup import get_champion_model
+    from creditmill.plans.feature_table import build_feature_table
+    from creditmill.plans.load import load_features
+    from creditmill.plans.training import train_and_score
+    from creditmill.sources.store import LoanStore
+
+    r = random.Random(4)
+    changes = []
+    for i in range(150):
+        income = r.randrange(20_000, 120_000)
+        good = r.random() < (0.9 if income > 60_000 else 0.2)
+        changes.append({"person_income": str(income), "person_gender": r.choice(["male", "female"]), "loan_status": str(int(good)), "loan_amnt": str(5000 + i)})
+    store = LoanStore(spark, str(tmp_path / "store"))
+    load_features(build_feature_table(raw(*changes), extra=("row_no",)), store, batch_id="loans")
+    models, predictions = train_and_score(store, ("logistic_regression", "naive_bayes", "decision_tree"))
+    rows = models.collect()
+    assert {m.algorithm for m in rows} == {"logistic_regression", "naive_bayes", "decision_tree"}
+    assert all(m.cv_auc_roc > 0.6 and set(m.demographic_parity) == {"male", "female"} for m in rows)
+    assert get_champion_model(models).count() == sum(m.is_champion for m in rows) == 1
+    linear = next(m.id for m in rows if m.algorithm == "logistic_regression")
+    assert predictions.count() == 3 * store.read("loan_applicants").count()
+    own = predictions.where(F.col("model_id") == linear)
+    assert own.where("size(top_shap_features) <> 3 or shap_values is null").isEmpty()
+    assert predictions.where(F.col("model_id") != linear).where("shap_values is not null").isEmpty()
+    assert own.where("array_contains(top_shap_features, 'person_income')").count() > 0.5 * own.count()

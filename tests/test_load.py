@@ -1,5 +1,6 @@
 """The idempotent load."""
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from creditmill.catalog.samples import Samples
 from creditmill.config import LoadConfig
 from creditmill.plans.feature_table import build_feature_table
-from creditmill.plans.load import RejectedRowsError, chunk_counters, load_counters, load_features, plan_load
+from creditmill.plans.load import RejectedRowsError, chunk_counters, load_counters, load_features, plan_load, store_new_rows
+from creditmill.operators.dedup import first_occurrences, new_occurrences
 from creditmill.operators.coercion import coerce_applicant, coerce_features, coerce_loans, explain_rejects
 from creditmill.session import stage
 from creditmill.sources.files import read_features, write_features
@@ -187,3 +189,46 @@ def test_hot_fingerprint(features, store):
     table = table.withColumn("row_no", F.monotonically_increasing_id())
     result = load_features(table, store, batch_id="one")
     assert (result.total, result.inserted, result.skipped) == (300, 11, 289)
+
+
+def test_two_loads_started_together_insert_a_fingerprint_once(features, store, spark):
+    """The second is planned before the first is published, and published after it."""
+    first, second = features(*people(20)), features(*people(30)[10:])
+    known = store.batches("loan_applicants")
+    late = plan_load(coerce_loans(second), store.read("loan_applicants"))
+    assert load_features(first, store, batch_id="first").inserted == 20
+    assert store_new_rows(late.new_rows, store, "second", TS, known) == 10
+    keys = store.read("loan_applicants").select("id")
+    assert keys.count() == keys.distinct().count() == 30
+    assert store.read("engineered_features").count() == 30
+
+
+def test_loads_in_two_threads(features, store):
+    tables = [features(*people(30)), features(*people(40)[5:])]
+    with ThreadPoolExecutor(2) as pool:
+        results = list(pool.map(lambda i: load_features(tables[i], store, batch_id=f"t{i}"), range(2)))
+    assert sum(r.inserted for r in results) == 40
+    keys = store.read("loan_applicants").select("id")
+    assert keys.count() == keys.distinct().count() == 40
+
+
+def test_a_publisher_that_is_gone_is_reported(store):
+    with store.publishing("one"):
+        with pytest.raises(TimeoutError, match="_publishing"):
+            with store.publishing("two", wait=0.5):
+                raise AssertionError("two publishers at once")
+    with store.publishing("three", wait=0.5):
+        pass
+
+
+def test_repeated_row_numbers_leave_one_row(features, spark):
+    rows = features(*people(3)).withColumn("row_no", F.lit(7))
+    twice = rows.unionByName(rows)
+    assert first_occurrences(twice, keys=["person_income"]).count() == 3
+    none = twice.select("person_income").limit(0)
+    assert new_occurrences(twice, none, keys=["person_income"]).count() == 3
+
+
+def test_first_occurrences_keep_one_row_per_task_before_the_shuffle(features):
+    plan = first_occurrences(features(*people(3)))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan

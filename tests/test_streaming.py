@@ -3,6 +3,7 @@
 from creditmill.plans.feature_table import build_feature_table
 from creditmill.sources.store import LoanStore
 from creditmill.streaming.incremental import load_arrivals
+from creditmill.streaming.keyed import load_first_arrivals
 
 
 def test_arrivals_are_loaded_once(spark, raw, tmp_path):
@@ -45,3 +46,38 @@ def test_a_replayed_batch_does_nothing(spark, raw, tmp_path):
     load_arrivals(spark, landing, store, str(checkpoint)).awaitTermination()
     assert store.read("loan_applicants").count() == 2
     assert store.manifest().where("table_name = 'loan_applicants'").count() == 1
+
+
+def test_state_keeps_first_arrivals_over_restarts(spark, raw, tmp_path):
+    landing, checkpoint = str(tmp_path / "landing"), str(tmp_path / "checkpoint")
+    store = LoanStore(spark, str(tmp_path / "store"))
+
+    def arrive(first, last, gender):
+        changes = [{"person_income": str(30000 + 100 * (i % 7)), "person_gender": gender} for i in range(first, last)]
+        build_feature_table(raw(*changes)).coalesce(1).write.mode("append").parquet(landing)
+
+    def run():
+        load_first_arrivals(spark, landing, store, checkpoint).awaitTermination()
+        return sorted((float(r.person_income), r.person_gender) for r in store.read("loan_applicants").collect())
+
+    arrive(0, 4, "male")
+    assert run() == [(30000.0 + 100 * i, "male") for i in range(4)]
+    arrive(0, 20, "female")  # repeats in the batch and of the batch before
+    first = [(30000.0 + 100 * i, "male" if i < 4 else "female") for i in range(7)]
+    assert run() == first
+    assert run() == first
+    arrive(0, 7, "other")
+    assert run() == first
+    assert store.read("engineered_features").count() == 7
+
+
+def test_a_replayed_micro_batch_keeps_its_rows(spark, raw, tmp_path):
+    landing, checkpoint = str(tmp_path / "landing"), tmp_path / "checkpoint"
+    store = LoanStore(spark, str(tmp_path / "store"))
+    build_feature_table(raw({"person_income": "61000"}, {"person_income": "62000"})).write.parquet(landing)
+    load_first_arrivals(spark, landing, store, str(checkpoint)).awaitTermination()
+    for file in (checkpoint / "commits").glob("*0*"):
+        file.unlink()
+    load_first_arrivals(spark, landing, store, str(checkpoint)).awaitTermination()
+    assert store.read("loan_applicants").count() == 2
+    assert store.manifest().where("table_name = 'loan_applicants'").count() == 1
