@@ -14,7 +14,7 @@ from creditmill.session import stage
 #: Rows that one Arrow batch holds, so that long texts do not add up in a worker.
 BATCH_ROWS = 1000
 #: Bytes that one Arrow batch holds about, for texts of megabytes.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Estimated size up to which a join side is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
 
