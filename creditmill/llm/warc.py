@@ -1,7 +1,7 @@
 """WARC derivatives: metadata and plain-text conversion records of response records.
 
-Both derivatives name their response in ``WARC-Refers-To`` and repeat its target, date and
-payload digest. The metadata record lists the source's status, headers, digests and links; the
+Both derivatives name their response in ``WARC-Refers-To``, repeat its target and date, and keep its payload digest as
+``WARC-Source-Payload-Digest``; their own digests are those of their own blocks. The metadata record lists the source's status, headers, digests and links; the
 conversion record holds the page's plain text. Records are bytes in a column of one row
 each, so that a file is written by Spark and any part of it can be made again.
 """
@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditmill.llm.common import prepare
@@ -38,7 +38,7 @@ _HEAD = re.compile(
 )
 _CHARSET = re.compile(rb"<meta\b[^<>]*?\bcharset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.IGNORECASE)
 _HEADER_CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([^\s\"';,]+)", re.IGNORECASE)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.DOTALL | re.IGNORECASE)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*>", re.IGNORECASE), re.compile(r"</title\s*>", re.IGNORECASE)
 _BREAKS = re.compile(
     r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^<>]*>",
     re.IGNORECASE,
@@ -76,7 +76,14 @@ def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 def _clean(value: str) -> str:
     """A header value in one line."""
-    return re.sub(r"\s*[\r\n]+\s*", " ", value).strip()
+    return " ".join(filter(None, (line.strip() for line in re.split(r"[\r\n]+", value))))
+
+
+def _title(page: str) -> str | None:
+    """What stands between the first title tag and the next end tag; without an end tag there is no title."""
+    begin = _TITLE.search(page)
+    end = _TITLE_END.search(page, begin.end()) if begin else None
+    return page[begin.end() : end.start()] if end else None
 
 
 def http_message(page: str) -> bytes:
@@ -106,12 +113,17 @@ def _dechunked(body: bytes) -> bytes:
 def _inflated(body: bytes, modes: tuple[int, ...]) -> bytes:
     """All members of a compressed body, as far as it goes if it was cut; a body that is none stays."""
     for mode in modes:
-        parts, rest = [], body
+        parts, at = [], 0
         try:
-            while rest:
+            while at < len(body):
                 one = zlib.decompressobj(mode)
-                parts.append(one.decompress(rest) + one.flush())
-                rest = one.unused_data if one.eof else b""
+                while at < len(body) and not one.eof:  # some bytes at a time, so that a small member costs little
+                    parts.append(one.decompress(body[at : at + 16384]))
+                    at += 16384
+                parts.append(one.flush())
+                at = min(at, len(body)) - len(one.unused_data)
+                if not one.eof:
+                    break
         except zlib.error:
             if not any(parts):
                 continue
@@ -186,12 +198,12 @@ def derive(data: bytes) -> list[tuple[str, str, bytes]]:
         ("WARC-Refers-To-Date", headers.get("warc-date", EPOCH)),
         ("WARC-Target-URI", headers.get("warc-target-uri", "")),
         ("WARC-Date", headers.get("warc-date", EPOCH)),
-        ("WARC-Payload-Digest", payload),
+        ("WARC-Source-Payload-Digest", payload),
     ]
-    title, language = _TITLE.search(page), _LANGUAGE.search(page)
-    facts = [("source-status", status.decode("utf-8", "replace")), ("source-block-digest", headers.get("warc-block-digest") or digest(block))]
+    title, language = _title(page), _LANGUAGE.search(page)
+    facts = [("source-status", status.decode("utf-8", "replace")), ("source-block-digest", headers.get("warc-block-digest") or digest(block)), ("source-payload-digest", payload)]
     facts += [(f"source-header-{k}", v) for k, v in named]
-    facts += [("title", _SPACES.sub(" ", entities.unescape(title.group(1))))] if title else []
+    facts += [("title", _SPACES.sub(" ", entities.unescape(title)))] if title is not None else []
     facts += [("language", language.group(1))] if language else []
     facts += [("outlink", entities.unescape(next(g for g in m.groups() if g is not None))) for m in _LINKS.finditer(page)]
     meta = "".join(f"{k}: {_clean(v)}\r\n" for k, v in facts).encode()
@@ -199,7 +211,7 @@ def derive(data: bytes) -> list[tuple[str, str, bytes]]:
     out = []
     for kind, content, block_ in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text)):
         own = record_id(kind, source)
-        out.append((kind, own, record(kind, [("WARC-Record-ID", own), *linked, ("Content-Type", content)], block_)))
+        out.append((kind, own, record(kind, [("WARC-Record-ID", own), *linked, ("WARC-Payload-Digest", digest(block_)), ("Content-Type", content)], block_)))
     return out
 
 
@@ -231,6 +243,7 @@ def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
 def derivatives(records: DataFrame, key: str = "page_id", column: str = "record") -> DataFrame:
     """(key, warc_type, record_id, refers_to, target_uri, payload_digest, block_digest, n_bytes, record).
 
+    payload_digest is the source's, block_digest the record's own.
     Two rows per response record; records of other types and null records have none. Repeated
     records repeat; an empty table gives an empty result.
     """
@@ -243,7 +256,7 @@ def derivatives(records: DataFrame, key: str = "page_id", column: str = "record"
                     _, headers, block = split_record(made)
                     at.append(i)
                     rows.append(
-                        (kind, own, headers["warc-refers-to"], headers["warc-target-uri"], headers["warc-payload-digest"],
+                        (kind, own, headers["warc-refers-to"], headers["warc-target-uri"], headers["warc-source-payload-digest"],
                          headers["warc-block-digest"], len(block), made)
                     )
             columns = list(zip(*rows)) if rows else [[]] * 8
@@ -270,3 +283,54 @@ def write_warc(records: DataFrame, path: str, column: str = "record", compressio
     records.select(F.col(column).cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option(
         "compression", compression
     ).text(path)
+
+
+_BREAK = b"\r\n\r\n"
+
+
+def next_record(data: bytearray) -> tuple[bytes | None, int, int]:
+    """(record, bytes used, bytes needed) at the beginning of a stream; what is not a record is passed over up to the next double break."""
+    begin = 0
+    while data[begin : begin + 2] == b"\r\n":
+        begin += 2
+    end = data.find(_BREAK, begin)
+    if end < 0:
+        return None, begin, 0
+    if not re.match(rb"WARC/\d", data[begin : begin + 6]):
+        return None, end + 4, 0
+    size = split_record(bytes(data[begin : end + 4]))[1].get("content-length", "0")
+    stop = end + 4 + (int(size) if size.isdigit() else 0)
+    if len(data) < stop + 4:  # with its closing breaks, which a reader adds where a file is cut
+        return None, 0, stop + 4
+    return bytes(data[begin:stop]), stop, 0
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record) of gzip WARC files, however many members they have: the inverse of ``write_warc``.
+
+    Spark reads the pieces between double line breaks in order, a file in one task, as gzip cannot be split; a record is put together
+    again from its stated length, so a task holds one record. A record cut off at the end of its file is left out, and what does not
+    begin with a version line is passed over.
+    """
+    pieces = spark.read.option("lineSep", "\r\n\r\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, need = None, bytearray(), 0
+        for batch in batches:
+            files, records = [], []
+            for file, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if file != now:
+                    now, held, need = file, bytearray(), 0
+                held += piece + _BREAK
+                while held and len(held) >= need:
+                    found, used, need = next_record(held)
+                    del held[:used]
+                    if found is not None:
+                        files.append(file)
+                        records.append(found)
+                    elif not used:
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(records, pa.binary())], names=["file", "record"])
+
+    prepare(spark)
+    return pieces.mapInArrow(run, "file string, record binary")

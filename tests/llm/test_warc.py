@@ -1,8 +1,14 @@
 import base64
 import gzip
 import hashlib
+import html
+import html.parser
+import random
+import time
 import zlib
 
+import pytest
+
 from creditmill.llm import warc
 
 PAGE = (
@@ -38,8 +44,8 @@ def test_derivatives_keep_what_they_refer_to():
         assert headers["warc-refers-to"] == "<urn:uuid:1>"
         assert headers["warc-refers-to-target-uri"] == headers["warc-target-uri"] == "http://e.org/"
         assert headers["warc-refers-to-date"] == "2024-05-06T07:08:09Z"
-        assert headers["warc-payload-digest"] == sha1(body)
-        assert headers["warc-block-digest"] == sha1(block)
+        assert headers["warc-source-payload-digest"] == sha1(body)
+        assert headers["warc-payload-digest"] == headers["warc-block-digest"] == sha1(block)
         assert int(headers["content-length"]) == len(block)
     lines = warc.split_record(meta)[2].decode().splitlines()
     assert lines[:2] == ["source-status: HTTP/1.1 200 OK", f"source-block-digest: {sha1(message)}"]
@@ -136,3 +142,134 @@ def test_codings_and_charsets_are_undone():
     ):
         assert derived(headers, body)[1] == want
     assert derived(b"A: b", b"<meta charset='koi8-r'><p>" + "\u043c\u0438\u0440".encode("koi8-r"))[1] == "\u043c\u0438\u0440"
+
+
+class Plain(html.parser.HTMLParser):
+    """A plain version of text, title and links for well-formed pages."""
+
+    BLOCKS = set("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.links, self.name, self.skip, self.in_title = [], [], None, 0, False
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attributes):
+        if tag in ("head", "script", "style"):
+            self.skip += 1
+        if tag == "title":
+            self.in_title, self.name = True, ""
+        if tag in self.BLOCKS:
+            self.parts.append("\n")
+        if tag == "a":
+            self.links += [v for k, v in attributes if k == "href"]
+
+    def handle_endtag(self, tag):
+        if tag in ("head", "script", "style"):
+            self.skip -= 1
+            self.parts.append(" ")
+        if tag == "title":
+            self.in_title = False
+        if tag in self.BLOCKS:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.name += data
+        elif not self.skip:
+            self.parts.append(data)
+
+    def handle_comment(self, data):
+        self.parts.append(" ")
+
+    def text(self):
+        lines = (" ".join(line.split()) for line in "".join(self.parts).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
+def test_random_pages_equal_a_plain_version():
+    r = random.Random(3)
+
+    def content(depth):
+        out = []
+        for _ in range(r.randint(1, 4)):
+            kind = r.random()
+            words = " ".join(r.choice(["one", "two", "&amp;", "caf&eacute;", "&lt;b&gt;", "&#65;"]) for _ in range(r.randint(1, 5)))
+            if kind < 0.4 or depth == 0:
+                out.append(words)
+            elif kind < 0.7:
+                tag = r.choice(["p", "div", "b", "li", "em", "td", "section", "span"])
+                out.append(f"<{tag} class='c{r.randint(1, 9)}'>{content(depth - 1)}</{tag}>")
+            elif kind < 0.8:
+                out.append(f'<a href="/x{r.randint(1, 99)}?a=1&amp;b=2" rel=nofollow>{words}</a>')
+            elif kind < 0.9:
+                out.append(r.choice(["<script>var x = '<p>';</script>", "<style>p{}</style>", "<!-- note -->", "<br>", "<hr/>"]))
+            else:
+                out.append("\n  \t")
+        return "".join(out)
+
+    for _ in range(300):
+        page = f"<!DOCTYPE html><html lang=en><head><title>T {r.randint(1, 99)} &amp; more</title><meta charset=utf-8></head><body>{content(3)}</body></html>"
+        plain = Plain(page)
+        assert warc.plain_text(page) == plain.text()
+        data, message = response(page)
+        (_, _, meta), (_, _, text) = warc.derive(data)
+        lines = warc.split_record(meta)[2].decode().splitlines()
+        assert [x.partition(": ")[2] for x in lines if x.startswith("outlink")] == plain.links
+        assert f"title: {plain.name}" in lines and warc.split_record(text)[2].decode() == plain.text()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<title>" * 143_000,
+        "<title" * 160_000,
+        '<a href="' + " " * 1_000_000,
+        "<a href='" + " \n" * 500_000 + "'>x</a>",
+        "<a " * 330_000,
+        "<head>" + "<title>" * 143_000,
+        "<noscript>" * 100_000,
+        "<!--" * 250_000,
+        "<script>" * 125_000,
+        "<" * 1_000_000,
+        "&" * 1_000_000,
+        "<html " * 160_000,
+        "</title" + " " * 1_000_000,
+        "<p>" + " " * 1_000_000 + "x",
+    ],
+)
+def test_hostile_pages_of_a_megabyte_are_quick(page):
+    begin = time.process_time()
+    assert len(warc.derive(response(page)[0])) == 2
+    assert time.process_time() - begin < 2
+
+
+def test_many_small_members_are_quick():
+    body = gzip.compress(b"x") * 40_000
+    begin = time.process_time()
+    assert warc.decoded(body, [("content-encoding", "gzip")]) == b"x" * 40_000
+    assert time.process_time() - begin < 5
+
+
+def test_files_are_read_back(spark, tmp_path):
+    pages = spark.createDataFrame(
+        [(i, f"http://a/{i}", PAGE + "\r\n" * (i % 5) + "WARC/1.1 no\r\n\r\n" * (i % 3)) for i in range(30)] + [(99, None, None)],
+        "page_id bigint, url string, html string",
+    )
+    own = warc.responses(pages)
+    records = own.select("record").unionByName(warc.derivatives(own).select("record"))
+    warc.write_warc(records.repartition(3), str(tmp_path / "w"), compression="gzip")
+    found = warc.read_warc(spark, str(tmp_path / "w"))
+    assert sorted(bytes(r.record) for r in found.collect()) == sorted(bytes(r.record) for r in records.collect())
+    assert found.select("file").distinct().count() == 3
+    # Derivatives of records read from files are those of the records.
+    again = warc.derivatives(found, "file").count()
+    assert again == 2 * pages.count()
+
+
+def test_one_member_a_record_and_cut_files(spark, tmp_path):
+    made = [warc.record("response", [("WARC-Record-ID", f"<urn:{i}>")], b"HTTP/1.1 200\r\n\r\n" + b"y" * i) for i in range(5)]
+    path = tmp_path / "m.warc.gz"
+    path.write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in made[:4]) + gzip.compress(b"junk\r\n\r\n" + made[4][:-2]))
+    assert sorted(bytes(r.record) for r in warc.read_warc(spark, str(path)).collect()) == sorted(made[:4])
