@@ -11,12 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import broadcast_if_small, small_enough, stage
+from creditmill.llm.common import BROADCAST_BYTES, broadcast_if_small, stage
 
 WINDOW = 10
-#: Bytes that a window takes in a broadcast: its words, its hash entry and its items.
-WINDOW_BYTES = 400
-WORD_BYTES = 100
+#: Bytes of a value's and a row's bookkeeping in a broadcast, beside its characters.
+VALUE_BYTES, ROW_BYTES = 24, 64
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,13 +45,22 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
     return one.groupBy("words").agg(F.collect_set("item").alias("items"))
 
 
+def _bytes(*texts: Column) -> Column:
+    """Bytes that the rows of a frame take in a broadcast: arrays of texts and texts, UTF-8, with their bookkeeping."""
+    total = F.lit(ROW_BYTES)
+    for text in texts:
+        total = total + F.octet_length(text) + VALUE_BYTES
+    return F.coalesce(F.sum(total), F.lit(0))
+
+
 def _rarest(windows: DataFrame, docs: DataFrame) -> DataFrame:
     """Windows with their rarest word (ties: the first) and its offset."""
     vocabulary = windows.select(F.explode("words").alias("word")).select(_key(F.col("word")).alias("word")).distinct()
     seen = docs.select(F.explode("doc_words").alias("word")).select(_key(F.col("word")).alias("word"))
-    counts = (
-        seen.join(broadcast_if_small(vocabulary, WORD_BYTES), "word").groupBy("word").agg(F.count("*").alias("n"))
-    )
+    vocabulary = stage(vocabulary, "window-words")
+    if vocabulary.agg(_bytes(F.col("word"))).first()[0] <= BROADCAST_BYTES:
+        vocabulary = F.broadcast(vocabulary)
+    counts = seen.join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n"))
     placed = windows.select("words", "items", F.posexplode("words").alias("offset", "word")).withColumn("word", _key(F.col("word")))
     counted = placed.join(counts, "word", "left")
     first = F.min_by(F.struct("word", "offset"), F.struct(F.coalesce("n", F.lit(0)), "offset"))
@@ -82,10 +90,11 @@ def find_passages(
     base = docs.select(F.col(doc_id).alias("doc_id"), held.alias("carried"), words_of(F.col(text)).alias("doc_words"))
     windows = stage(_rarest(item_windows(items, item_id, item_text, window), base), "windows")
     # Every document meets the entry of the empty word once, which keeps documents without hits.
-    by_word = windows.groupBy("word").agg(F.collect_list(F.struct("offset", "words", "items")).alias("windows"))
-    none = by_word.select("windows").schema["windows"].dataType
-    marker = docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(None).cast(none).alias("windows"))
+    by_word = windows.select("word", F.struct("offset", "words", "items").alias("w"))
+    marker = docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(None).cast(by_word.schema["w"].dataType).alias("w"))
     lookup = by_word.unionByName(marker)
+    told = F.concat_ws(" ", "words", F.transform("items", lambda i: i.cast("string")))
+    size = windows.agg(_bytes(told) + F.coalesce(F.sum((F.size("words") + F.size("items")) * VALUE_BYTES), F.lit(0))).first()[0]
     rows = base.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "carried", "doc_words", F.size("doc_words").cast("bigint").alias("n_words")
     )
@@ -94,18 +103,17 @@ def find_passages(
         .withColumn("word", _key(F.col("word")))
         .withColumn("first", F.lit(0))
     )
-    if small_enough(windows, WINDOW_BYTES):
+    if size <= BROADCAST_BYTES:
         met = places.join(F.broadcast(lookup), "word")
     else:  # a join that shuffles carries the words around the place, not the document
         first = F.greatest(F.col("place") - (window - 1), F.lit(0))
         near = F.slice("doc_words", first + 1, 2 * window - 1)
         met = places.withColumn("first", first).withColumn("doc_words", near).join(lookup, "word")
-    tried = met.select("*", F.explode_outer("windows").alias("w"))
     start = F.col("place") - F.col("w.offset")
     fits = (start >= 0) & (start + F.size("w.words") <= F.col("n_words"))
     words = F.slice("doc_words", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.size("w.words"))
     same = _fold(F.array_join(words, " ")) == F.array_join("w.words", " ")
-    found = tried.where(F.col("w").isNull() | (fits & same)).select(
+    found = met.where(F.col("w").isNull() | (fits & same)).select(
         "row",
         "doc_id",
         "carried",

@@ -23,9 +23,13 @@ from creditmill.llm.components import connected_components
 from creditmill.llm.hnsw import LINKS, Graph
 
 THRESHOLD = 0.9
-#: Vectors that a shard holds at most (in expectation), and the fewest shards.
-SHARD_ROWS = 1_000_000
+#: Bytes that the double vectors of a shard take (in expectation), and the fewest shards.
+SHARD_BYTES = 128 << 20
 SHARDS = 4
+#: Share of a shard from which on a beam gives way to comparing the query with all of the shard.
+DENSE = 0.125
+#: Queries and nodes of one block of such a comparison.
+BLOCK = (256, 16384)
 #: Slices of the queries of each shard; each becomes a task of its own.
 SLICES = 6
 BEAM = 24
@@ -63,7 +67,7 @@ def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]
                 yield int(unit[a]), pa.Table.from_batches([batch.slice(int(a), int(b - a))])
 
 
-_NODE = "unit bigint, dim int, node int, rep bigint, n bigint, vector array<double>, links array<int>"
+_NODE = "unit bigint, dim int, node int, rep bigint, n bigint, vector {kind}, links array<int>"
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +76,10 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(unit: int, parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         table = pa.concat_tables(parts).combine_chunks()
         rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
-        vectors = np.concatenate([_matrix(c) for c in table.column("vector").chunks])
-        graph = Graph.build(_unit(vectors))
+        given = table.column("vector").combine_chunks()
+        vectors = _matrix(given)
+        dim, graph = vectors.shape[1], Graph.build(_unit(vectors))
+        del vectors
         for lo in range(0, len(rep), 5000):
             hi = min(lo + 5000, len(rep))
             links = [
@@ -82,11 +88,11 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(hi - lo, unit)),
-                    pa.array(np.full(hi - lo, vectors.shape[1], np.int32)),
+                    pa.array(np.full(hi - lo, dim, np.int32)),
                     pa.array(np.arange(lo, hi, dtype=np.int32)),
                     pa.array(rep[lo:hi]),
                     pa.array(n[lo:hi]),
-                    pa.array(list(vectors[lo:hi]), pa.list_(pa.float64())),
+                    given.slice(lo, hi - lo),
                     pa.array(links, pa.list_(pa.int32())),
                 ],
                 names=["unit", "dim", "node", "rep", "n", "vector", "links"],
@@ -131,12 +137,36 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dots / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
 
 
+def compare_all(vectors: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of all pairs with a cosine of at least the threshold, by products of blocks, verified one by one."""
+    out = [np.zeros((2, 0), np.int64)]
+    own = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    for lo in range(0, len(vectors), BLOCK[1]):
+        nodes = vectors[lo : lo + BLOCK[1]]
+        units = (nodes / np.linalg.norm(nodes, axis=1, keepdims=True)).T
+        for at in range(0, len(own), BLOCK[0]):
+            q, node = np.nonzero(own[at : at + BLOCK[0]] @ units >= threshold - 1e-9)
+            for part in range(0, len(q), 100_000):
+                a, b = q[part : part + 100_000] + at, node[part : part + 100_000]
+                true = _cosines(queries[a], nodes[b]) >= threshold
+                out.append(np.stack([a[true], b[true] + lo]))
+    found = np.concatenate(out, axis=1)
+    return found[0], found[1]
+
+
 def ask(graph: Graph, vectors: np.ndarray, queries: np.ndarray, beam: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) with a cosine of at least the threshold, found with beams of at least ``beam``."""
+    """(query, node) with a cosine of at least the threshold, found with beams of at least ``beam``.
+
+    A query whose links fill its beam gets a wider one; once that is DENSE of the shard it is compared with all of it.
+    """
     units = _unit(queries)
     left, out = np.arange(len(queries)), []
     while len(left):
         size = min(beam, len(vectors))
+        if size > BEAM and size >= DENSE * len(vectors):
+            q, node = compare_all(vectors, queries[left], threshold)
+            out.append(np.stack([left[q], node]))
+            break
         ids, sims = graph.search(units[left], size)
         q, c = np.nonzero(sims >= threshold - 1e-3)
         node = ids[q, c]
@@ -165,14 +195,13 @@ def audited_beam(graph: Graph, vectors: np.ndarray, queries: np.ndarray, thresho
     near = min(1.0, threshold + 1e-3)
     planted = near * own + np.sqrt(1 - near * near) * noise / np.where(length > 0, length, 1.0)
     sample = np.concatenate([planted, queries[:AUDIT]])
-    norms = np.linalg.norm(sample, axis=1)[:, None] * np.linalg.norm(vectors, axis=1)[None, :]
-    true = sample @ vectors.T / norms >= threshold
+    true = np.bincount(compare_all(vectors, sample, threshold)[0], minlength=len(sample))
     beam = BEAM
     while beam < len(vectors):
         q, node = ask(graph, vectors, sample, beam, threshold)
         # Each query counts alike, so that one with very many links does not hide the others.
-        hits = np.bincount(q, minlength=len(sample)) / np.maximum(1, true.sum(axis=1))
-        some = true.any(axis=1)
+        hits = np.bincount(q, minlength=len(sample)) / np.maximum(1, true)
+        some = true > 0
         if not some.any() or hits[some].mean() >= RECALL:
             break
         beam *= 2
@@ -252,15 +281,16 @@ def near_vectors(
         rows.where("usable").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")),
         "classes",
     )
-    count = classes.count()
-    shards = max(SHARDS, -(-count // SHARD_ROWS))
-    wide = classes.select("rep", "n", F.size("vector").alias("dim"), F.col("vector").cast("array<double>").alias("vector"))
+    size = classes.agg(F.coalesce(F.sum(F.size("vector").cast("bigint") * 8), F.lit(0))).first()[0]
+    shards = max(SHARDS, -(-size // SHARD_BYTES))
+    wide = classes.select("rep", "n", F.size("vector").alias("dim"), "vector")
+    kind = classes.schema["vector"].dataType.simpleString()
     shard = F.pmod(F.xxhash64("rep"), F.lit(shards))
     placed = wide.select(
         (F.col("dim").cast("bigint") * shards + shard).alias("unit"), "rep", "n", "vector"
     )
     graph = stage(
-        placed.repartition(shards, "unit").sortWithinPartitions("unit", "rep").mapInArrow(_build, _NODE), "graph"
+        placed.repartition(shards, "unit").sortWithinPartitions("unit", "rep").mapInArrow(_build, _NODE.format(kind=kind)), "graph"
     )
     slices = F.sequence(F.lit(0), F.lit(SLICES - 1))
     nodes = graph.select(

@@ -41,7 +41,7 @@ DOCS = [
 @pytest.mark.parametrize("bound", [None, -1])
 def test_rows_match_brute_force(spark, monkeypatch, bound):
     if bound is not None:  # also the join that shuffles
-        monkeypatch.setattr(contamination, "small_enough", lambda *_: False)
+        monkeypatch.setattr(contamination, "BROADCAST_BYTES", -1)
     docs = spark.createDataFrame([(i, t, "x") for i, t in DOCS], "doc_id bigint, text string, word string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     found = sorted(map(tuple, contamination.find_passages(docs, items).collect()), key=str)

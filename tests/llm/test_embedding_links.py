@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -79,3 +81,46 @@ def test_rows_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert embedding_links.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_shards_far_larger_than_the_beam(spark, monkeypatch):
+    """Found links are true, and hardly any is missed, where a search sees a small part of its shard."""
+    monkeypatch.setattr(embedding_links, "SHARDS", 2)
+    r = np.random.default_rng(7)
+    base = r.normal(size=(1500, 16))
+    near = base[:400] / np.linalg.norm(base[:400], axis=1, keepdims=True)
+    noise = r.normal(size=near.shape)
+    noise -= (noise * near).sum(1, keepdims=True) * near
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = r.uniform(0.86, 0.99, (400, 1))
+    rows = np.float32(np.concatenate([base, cosine * near + np.sqrt(1 - cosine**2) * noise]))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id bigint, embedding array<float>")
+    found = {x.vec_id: x.n_links for x in embedding_links.near_vectors(frame).collect()}
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    got = np.array([found[i] for i in range(len(rows))])
+    assert (got <= true).all() and true.sum() > 400
+    assert got.sum() >= 0.97 * true.sum()
+
+
+def test_a_dense_group_is_compared_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_links, "SHARDS", 2)
+    r = np.random.default_rng(8)
+    rows = np.concatenate([r.normal(size=(1000, 16)), r.normal(size=(1, 16)) + 0.05 * r.normal(size=(1000, 16))]).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id bigint, embedding array<float>")
+    begin = time.monotonic()
+    found = {x.vec_id: (x.n_links, x.component_id) for x in embedding_links.near_vectors(frame).collect()}
+    assert time.monotonic() - begin < 40
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert true[1000:].min() > 900
+    assert [found[i][0] for i in range(1000, 2000)] == true[1000:].tolist()
+    assert len({found[i][1] for i in range(1000, 2000)}) == 1
+
+
+def test_block_products_equal_all_pairs(monkeypatch):
+    monkeypatch.setattr(embedding_links, "BLOCK", (7, 11))
+    rows = clouds(60, 6, 3, groups=4)
+    q, node = embedding_links.compare_all(rows, rows[:50], 0.9)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    assert sorted(zip(q.tolist(), node.tolist())) == [(int(a), int(b)) for a, b in np.argwhere(unit[:50] @ unit.T >= 0.9)]
