@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import stage
+from creditmill.session import delete_folder, scratch_path
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,6 +30,12 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, str]:
+    path = scratch_path(edges.sparkSession, "edges")
+    edges.write.parquet(path)
+    return edges.sparkSession.read.schema(edges.schema).parquet(path), path
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
@@ -42,15 +48,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two columns of one comparable type. Loops, repeats and edges
     with a null end are ignored; without edges the result is empty. Every round is
-    written to the shared folder, so that lineage stays short; it ends when a round changes
+    written to the shared folder, so that lineage stays short, and the round before is deleted; it ends when a round changes
     nothing, after a number of rounds logarithmic in the number of nodes.
     """
     a, b = edges.columns
-    now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
-    now = stage(now, "edges")
+    now, path = _written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     state = _state(now)
     while state[0]:
-        now = stage(_stars(_stars(now, True), False), "edges")
+        old = path
+        now, path = _written(_stars(_stars(now, True), False))
+        delete_folder(now.sparkSession, old)
         after = _state(now)
         if after == state:
             break
