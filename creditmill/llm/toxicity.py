@@ -31,8 +31,8 @@ WORD_DROPOUT = 0.3
 RATE = 0.01
 #: The score from which a text is predicted toxic when its language has no threshold of its own.
 CUT = 0.3
-#: Positives that a language needs in the calibration rows to get its own threshold.
-CALIBRATION_POSITIVES = 20
+#: Toxic rows that a cut of few rows is weighed against: a language's against the cut of all, that of all against even odds.
+PRIOR_POSITIVES = 20
 #: Bins of a logit of one, and the largest logit that has a bin of its own.
 BINS, LARGEST = 200, 30
 #: Words whose filter responses a worker keeps; the table is then begun anew.
@@ -266,6 +266,14 @@ def best_bin(counts: dict[int, list[int]]) -> float:
     return float((ranked[at] + below[at]) / 2)
 
 
+def drawn_cut(counts: dict[int, list[int]], general: float) -> float:
+    """The best cut of some rows, weighed by their toxic rows against a more general cut."""
+    positives = sum(bad for _, bad in counts.values())
+    if not positives:
+        return general
+    return (positives * best_bin(counts) + PRIOR_POSITIVES * general) / (positives + PRIOR_POSITIVES)
+
+
 class Model:
     """A trained network, its calibration and one threshold per language."""
 
@@ -322,22 +330,23 @@ def _calibration(rows: DataFrame, known: DataFrame, network: Network, trained: l
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """Train on four fifths of the sample and calibrate on all other labelled rows; None without both classes.
 
-    With under ten rows of a class, the rows trained on calibrate too. Scores are shifted so that CUT is the
-    best threshold over all languages. Languages serve only to calibrate thresholds; no score depends on them.
+    Scores are shifted so that CUT is the best threshold over all languages, and each language has a threshold of its own. A cut
+    found from few toxic rows is drawn towards a more general one by PRIOR_POSITIVES, whatever the number of rows.
+    Languages serve only to calibrate thresholds; no score depends on them.
     """
     rows = _sample(docs, labels, doc_id, text, lang)
     toxic = np.array([r["toxic"] for r in rows], np.int64)
     if len(set(toxic.tolist())) < 2:
         return None
-    texts = [r["text"] for r in rows]
     # The last fifth of either class is left to calibration.
     rank = np.zeros(len(rows))
     for label in (0, 1):
         own = np.flatnonzero(toxic == label)
         rank[own] = np.arange(len(own)) / len(own)
-    fitted = rank < 0.8 if min(toxic.sum(), len(toxic) - toxic.sum()) >= 10 else np.ones(len(rows), bool)
-    network = train([t for t, f in zip(texts, fitted) if f], toxic[fitted])
-    trained = [] if fitted.all() else [r["id"] for r, f in zip(rows, fitted) if f]
+    fitted = rank < 0.8
+    network = train([r["text"] for r, f in zip(rows, fitted) if f], toxic[fitted])
+    trained = [r["id"] for r, f in zip(rows, fitted) if f]
+    del rows
     counts = _calibration(_rows(docs, doc_id, text, lang), _known(labels, doc_id), network, trained)
     every: dict[int, list[int]] = {}
     for own in counts.values():
@@ -345,12 +354,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             both = every.setdefault(place, [0, 0])
             both[0] += other
             both[1] += bad
-    base = float(np.log(CUT / (1 - CUT)))
-    shift = base - best_bin(every)
-    thresholds = {}
-    for language, own in sorted(counts.items()):
-        if min(np.array(list(own.values())).sum(axis=0)) >= CALIBRATION_POSITIVES:
-            thresholds[language] = float(1 / (1 + np.exp(-(best_bin(own) + shift))))
+    # Training weighs both classes alike, so a logit of zero is even odds.
+    overall = drawn_cut(every, 0.0)
+    shift = float(np.log(CUT / (1 - CUT))) - overall
+    thresholds = {
+        language: float(1 / (1 + np.exp(-(drawn_cut(own, overall) + shift)))) for language, own in sorted(counts.items())
+    }
     network.embedding = network.embedding.astype(np.float16)
     return Model(network, shift, thresholds)
 

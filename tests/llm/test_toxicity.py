@@ -116,3 +116,38 @@ def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
     known = [i for i in range(1500) if zlib.crc32(str(i).encode()) % 4 != 2]
     found = np.array([v for own in counts.values() for v in own.values()]).sum(axis=0)
     assert found.tolist() == [sum(labels[i] == 0 for i in known), sum(labels[i] == 1 for i in known)]
+
+
+def plain_logit(network, text):
+    """Embedding means, filters at every place, maxima and the logistic layer, number by number."""
+    words = (text or "").lower().split() or [""]
+    vectors = [np.mean([network.embedding[b].astype(float) for b in toxicity.buckets(w)], axis=0) for w in words]
+    pad = np.mean([network.embedding[b].astype(float) for b in toxicity.buckets("")], axis=0)
+    pooled = []
+    for width, filters, bias in zip(toxicity.WIDTHS, network.filters, network.bias):
+        for k in range(toxicity.FILTERS):
+            best = -np.inf
+            for at in range(len(words)):
+                total = 0.0
+                for o in range(width):
+                    v = vectors[at + o] if at + o < len(words) else pad
+                    total += float(v @ filters[o * toxicity.DIM : (o + 1) * toxicity.DIM, k])
+                best = max(best, total)
+            pooled.append(max(best + float(bias[k]), 0.0))
+    return float(np.dot(pooled, network.out) + network.shift)
+
+
+def test_logits_equal_a_plain_forward_pass(trained):
+    texts, _ = make(25, 21)
+    texts += ["", None, "one", "vilest", "two words", "*** !!!", "A vilest a vilest"]
+    found = toxicity.Scorer(trained, 0.0).logits(texts)
+    assert np.allclose(found, [plain_logit(trained, t) for t in texts], atol=1e-4)
+
+
+def test_cuts_of_few_rows_are_drawn_to_the_general_one():
+    clear = {600: [0, 1], -200: [1, 0]}
+    assert toxicity.drawn_cut({}, 0.5) == 0.5 and toxicity.drawn_cut({-200: [4, 0]}, 0.5) == 0.5
+    own = toxicity.best_bin(clear)
+    assert toxicity.drawn_cut(clear, 0.0) == pytest.approx(own / 21)
+    many = {600: [0, 20_000], -200: [20_000, 0]}
+    assert toxicity.drawn_cut(many, 0.0) == pytest.approx(own, rel=0.002)
