@@ -15,10 +15,15 @@ def _with(steps: list[Step], select: str) -> str:
     return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({text})" for name, text in steps) + f"\n{select}"
 
 
-def _standard() -> list[Step]:
+_RAW = f"SELECT row_no, CAST(loan_status AS INTEGER) AS y, {', '.join(_COLUMNS)} FROM features"
+#: The stored applicants, in the types of their columns.
+_STORED = f"SELECT id AS row_no, CAST(loan_status AS INTEGER) AS y, {', '.join(_COLUMNS)} FROM applicants"
+
+
+def _standard(rows: str = _RAW) -> list[Step]:
     scaled = ", ".join(f"coalesce((f.{n} - m.m_{n}) / m.d_{n}, 0) AS {n}" for n in INPUTS)
     return [
-        ("every_row", building_blocks(f"SELECT row_no, CAST(loan_status AS INTEGER) AS y, {', '.join(_COLUMNS)} FROM features")),
+        ("every_row", building_blocks(rows)),
         (
             "moments",
             "SELECT "
@@ -189,6 +194,15 @@ _SHINGLED = [
     ("held", "SELECT id, len(s) AS n, unnest(s) AS shingle FROM classed WHERE id = class_id"),
 ]
 
+def _scores(key: str, model: str) -> str:
+    return (
+        f"SELECT {key}, {model}, CAST(p AS DECIMAL(6,4)) AS approval_probability, CASE WHEN p >= 0.5 THEN 'approved' ELSE 'rejected' END AS predicted_outcome, "
+        "CASE WHEN 1.0::DOUBLE - p >= 0.8::DOUBLE THEN 'high' WHEN 1.0::DOUBLE - p >= 0.5::DOUBLE THEN 'medium' ELSE 'low' END AS risk_tier FROM ("
+        "SELECT row_no, 'naive_bayes' AS model_id, round(1 / (1 + exp(-log_odds)), 4) AS p FROM odds UNION ALL "
+        "SELECT row_no, 'decision_tree', round(value, 4) FROM t_leaf) s"
+    )
+
+
 def _best(scores: str, key: str) -> str:
     return (
         f"SELECT query_id, {key}, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id "
@@ -212,12 +226,28 @@ ORACLES = {
     "train_random_forest": _with([*_standard(), _LONG, _BINS, *_grown("t", _FOREST, 2, 0, 4)], _nodes("tree", "t_nodes")),
     "train_gradient_boosting": _with([*_standard(), _LONG, _BINS, *_boosted(3, 2)], _nodes("round", f"({_ALL_NODES}) n")),
     "boosting_losses": _with([*_standard(), _LONG, _BINS, *_boosted(3, 2)], _LOSSES),
-    "batch_scores": _with(
-        [*_standard(), _LONG, _BAYES, _ODDS, _BINS, *_grown("t", _ONE_TREE, 3)],
-        "SELECT row_no, model_id, CAST(p AS DECIMAL(6,4)) AS approval_probability, CASE WHEN p >= 0.5 THEN 'approved' ELSE 'rejected' END AS predicted_outcome, "
-        "CASE WHEN 1.0::DOUBLE - p >= 0.8::DOUBLE THEN 'high' WHEN 1.0::DOUBLE - p >= 0.5::DOUBLE THEN 'medium' ELSE 'low' END AS risk_tier FROM ("
-        "SELECT row_no, 'naive_bayes' AS model_id, round(1 / (1 + exp(-log_odds)), 4) AS p FROM odds UNION ALL "
-        "SELECT row_no, 'decision_tree', round(value, 4) FROM t_leaf) s",
+    "batch_scores": _with([*_standard(), _LONG, _BAYES, _ODDS, _BINS, *_grown("t", _ONE_TREE, 3)], _scores("row_no", "model_id")),
+    "stored_predictions": _with(
+        [*_standard(_STORED), _LONG, _BAYES, _ODDS, _BINS, *_grown("t", _ONE_TREE, 3)], _scores("row_no AS applicant_id", "model_id AS algorithm")
+    ),
+    "stored_model_scores": _with(
+        [*_standard(_STORED), _LONG, *_FOLDED],
+        "SELECT 'naive_bayes' AS algorithm, true AS is_from_scratch, true AS is_champion, "
+        + ", ".join(
+            f"CAST(avg({value}) AS DECIMAL(6,4)) AS {name}"
+            for name, value in (
+                ("cv_accuracy", "(tp + tn)::DOUBLE / rows"),
+                ("cv_precision", "tp::DOUBLE / nullif(tp + fp, 0)"),
+                ("cv_recall", "tp::DOUBLE / nullif(tp + fn, 0)"),
+                (
+                    "cv_f1_weighted",
+                    "(coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0) * (tp + fn) "
+                    "+ coalesce(2 * tn::DOUBLE / nullif(2 * tn + fp + fn, 0), 0) * (fp + tn)) / rows",
+                ),
+                ("cv_auc_roc", "auc"),
+            )
+        )
+        + " FROM cells JOIN fold_auc USING (fold)",
     ),
     "linear_attributions": _with(
         [*_standard(), _LONG, _BAYES, _LINEAR],

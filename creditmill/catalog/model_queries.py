@@ -9,6 +9,7 @@ from creditmill.catalog.samples import Samples
 from creditmill.learning import bayes, logistic, scoring, trees
 from creditmill.learning.design import Scale, fit_scale, labelled
 from creditmill.operators import policy, search, similar_chunks, splits
+from creditmill.plans.training import train_and_score
 
 FOREST = 3
 
@@ -69,6 +70,23 @@ def batch_scores(s: Samples) -> DataFrame:
     return scoring.score_all(every, models, "row_no")
 
 
+def stored_predictions(s: Samples) -> DataFrame:
+    """All stored applicants scored by two models that were trained on them, as stored."""
+    models, predictions = train_and_score(s.loaded_store(), ("naive_bayes", "decision_tree"))
+    named = models.select(F.col("id").alias("model_id"), "algorithm")
+    return predictions.join(F.broadcast(named), "model_id").select(
+        "applicant_id", "algorithm", "approval_probability", "predicted_outcome", "risk_tier"
+    )
+
+
+def stored_model_scores(s: Samples) -> DataFrame:
+    """The row of the model table that a training run leaves."""
+    models, _ = train_and_score(s.loaded_store(), ("naive_bayes",))
+    return models.select(
+        "algorithm", "is_from_scratch", "is_champion", "cv_accuracy", "cv_precision", "cv_recall", "cv_f1_weighted", "cv_auc_roc"
+    )
+
+
 def linear_attributions(s: Samples) -> DataFrame:
     """The log odds of every application by a linear model, and the three inputs that move it most."""
     rows, scale = _rows(s)
@@ -119,6 +137,8 @@ QUERIES = {
     "boosting_losses": boosting_losses,
     "train_logistic_regression": train_logistic_regression,
     "batch_scores": batch_scores,
+    "stored_predictions": stored_predictions,
+    "stored_model_scores": stored_model_scores,
     "linear_attributions": linear_attributions,
     "near_duplicate_chunks": near_duplicate_chunks,
     "duplicate_chunk_classes": duplicate_chunk_classes,

@@ -217,10 +217,15 @@ class Samples:
             _STORES[key] = store
         return _STORES[key]
 
-    def store_with_parents(self) -> LoanStore:
-        """A new store with the applicants, features and models that predictions refer to."""
+    def loaded_store(self) -> LoanStore:
+        """A new store with one loaded batch."""
         store = LoanStore(self.spark, scratch_path(self.spark, "store"))
         load_features(self.features(), store, batch_id="loans")
+        return store
+
+    def store_with_parents(self) -> LoanStore:
+        """A new store with the applicants, features and models that predictions refer to."""
+        store = self.loaded_store()
         kept = self.models().where("algorithm <> 'svm'").drop("trained_at")
         store.create_models(kept, "models")
         return store

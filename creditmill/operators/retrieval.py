@@ -104,8 +104,11 @@ def tfidf_vectors(chunks: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _ranked(scored: DataFrame, key: str, k: int) -> DataFrame:
-    """The k best rows of each query; Spark keeps only k per task before the shuffle."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
+    """The k best rows of each query; Spark keeps only k per task before the shuffle.
+
+    Sums depend on their order beyond the twelfth decimal, so closer scores are ties and go to the smaller key.
+    """
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc(key))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
