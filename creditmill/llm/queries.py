@@ -60,7 +60,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.add_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = pii.add_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return found.withColumn("has_personal_data", F.col("spans") != "")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
