@@ -120,7 +120,7 @@ def _grown(name: str, parts: str, depth: int, ridge: int = 0, inputs_per_node: i
 def _nodes(tree: str, nodes: str) -> str:
     return (
         f"SELECT CAST({tree} AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, CAST(rows AS BIGINT) AS rows, round(CAST(weight AS DOUBLE), 6) AS weight, "
-        f"round(value, 6) AS value, list_extract([{', '.join(repr(n) for n in INPUTS)}], input + 1) AS input, CAST(bin AS INTEGER) AS bin, "
+        f"round(value, 6) + 0 AS value, list_extract([{', '.join(repr(n) for n in INPUTS)}], input + 1) AS input, CAST(bin AS INTEGER) AS bin, "
         f"round(gain, 6) AS gain FROM {nodes}"
     )
 

@@ -154,9 +154,9 @@ def _best_splits(sums: DataFrame, inputs: int, ridge: float, inputs_per_node: in
 
 
 def nodes_table(spark: SparkSession, nodes: Sequence[Node], inputs: Sequence[str]) -> DataFrame:
-    """(tree, node, rows, weight, value, input, bin, gain); leaves have no input."""
+    """(tree, node, rows, weight, value, input, bin, gain); leaves have no input. Values keep twelve decimals, and zero has no sign."""
     rows = [
-        (n.tree, n.node, n.rows, float(n.weight), float(n.value), None if n.input is None else inputs[n.input], n.bin, n.gain)
+        (n.tree, n.node, n.rows, float(n.weight), round(float(n.value), 12) + 0.0, None if n.input is None else inputs[n.input], n.bin, n.gain)
         for n in nodes
     ]
     return spark.createDataFrame(
