@@ -221,17 +221,27 @@ class LineIndex:
         return add_columns(docs, text, _fields(names), task)
 
     def _dealt(self, docs: DataFrame, text: str, names: tuple[str, str, str]) -> DataFrame:
-        """The same rows by shuffles: keys of distinct texts meet their shard's filter, dropped ones come back to the texts."""
+        """The same rows by shuffles: keys of distinct texts meet their shard's filter, dropped ones come back to the texts.
+
+        A shard is dealt to as many parts as its keys and texts need, so a line of a third of all documents is many tasks' work.
+        """
+        own, salt, packed = (_unused(c, docs.columns) for c in ("__own", "__salt", "__packed"))
         key = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-        texts = docs.select(key.alias("__text"), F.col(text).alias("text"))
-        asked = texts.mapInArrow(_asked(self.shards), "__text binary, shard int, low bigint, high bigint").distinct()
-        wanted = self.filters.select("shard", "data").groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_passing, "__text binary, shard int, low bigint, high bigint")
-        true = wanted.join(self.exceptions, ["shard", "low", "high"], "left_anti")
-        back = true.groupBy("__text").agg(F.collect_set(F.struct("low", "high")).alias("__dropped"))
-        back = back.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-        met = docs.withColumns({"__text": key, "__salt": salt}).join(back, ["__text", "__salt"], "left")
-        packed = F.struct(F.col(text).alias("text"), F.transform("__dropped", lambda x: x["low"]).alias("low"), F.transform("__dropped", lambda x: x["high"]).alias("high"))
+        texts = docs.select(key.alias("own"), F.col(text).alias("text"))
+        asked = stage(texts.mapInArrow(_asked(self.shards), _ASKED).distinct(), "line-keys")
+        parts = asked.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_KEYS).cast("int").alias("parts"))
+        parts = stage(parts, "line-parts")
+        asked = asked.join(parts, "shard").select(*asked.columns, F.pmod(F.xxhash64("own"), F.col("parts")).cast("int").alias("part"))
+        many = parts.select("shard", F.col("parts").alias("many"))
+        filters = self.filters.join(many, "shard").select("shard", "data", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("part"))
+        met = filters.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(_passing, _ASKED)
+        true = met.join(self.exceptions, ["shard", "low", "high"], "left_anti")
+        back = true.groupBy(F.col("own").alias(own)).agg(F.collect_set(F.struct("low", "high")).alias(packed))
+        back = back.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        place = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+        told = docs.withColumns({own: key, salt: place}).join(back, [own, salt], "left")
+        keys = F.col(packed)
+        told = told.withColumn(packed, F.struct(F.col(text).alias("text"), keys["low"].alias("low"), keys["high"].alias("high")))
 
         def task():
             def run(values):
@@ -244,10 +254,16 @@ class LineIndex:
 
             return run
 
-        marked = add_columns(met.withColumn("__packed", packed), "__packed", _fields(names), task)
+        marked = add_columns(told, packed, _fields(names), task)
         return marked.select(*[c for c in docs.columns if c not in names], *names)
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def _fields(names: tuple[str, str, str]) -> list[tuple[str, str]]:
     return list(zip(names, ("bigint", "bigint", "string")))
 
@@ -316,8 +332,12 @@ def _updated(old: pa.Table, moves: pa.Table) -> pa.Table:
     return _filter_row(shard, own)
 
 
+_ASKED = "own binary, shard int, low bigint, high bigint"
+
+
 def _passing(filters: pa.Table, asked: pa.Table) -> pa.Table:
     """Rows whose key passes their shard's filter."""
+    asked = asked.select(["own", "shard", "low", "high"])
     if not filters.num_rows or not asked.num_rows:
         return asked.slice(0, 0)
     own = CuckooFilter.from_bytes(filters.column("data")[0].as_py())
@@ -339,7 +359,7 @@ def _asked(shards: int):
                 low, high = _halves(own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(repeat(name, len(own))), pa.binary()), pa.array((low % shards).astype(np.int32)), pa.array(low), pa.array(high)],
-                    names=["__text", "shard", "low", "high"],
+                    names=["own", "shard", "low", "high"],
                 )
 
     return run
@@ -406,10 +426,10 @@ def _exceptions(index: LineIndex) -> DataFrame:
 
         found = below.mapInArrow(run, schema)
     else:
-        named = below.withColumn("__text", F.lit(None).cast("binary"))
-        found = index.filters.select("shard", "data").groupBy("shard").cogroup(named.select("__text", "shard", "low", "high").groupBy("shard")).applyInArrow(
-            _passing, f"__text binary, {schema}"
-        ).drop("__text")
+        named = below.withColumn("own", F.lit(None).cast("binary"))
+        found = index.filters.select("shard", "data").groupBy("shard").cogroup(named.select("own", "shard", "low", "high").groupBy("shard")).applyInArrow(
+            _passing, _ASKED
+        ).drop("own")
     return stage(found, "line-exceptions")
 
 

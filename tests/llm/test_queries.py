@@ -11,6 +11,7 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 import __spark_entry__ as contract  # noqa: E402
 from check_oracles import compare, connect  # noqa: E402
 from creditmill.llm import queries  # noqa: E402
+from test_spelling import one_edit, slow_words  # noqa: E402
 
 COLUMNS = {
     "op1_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
@@ -49,6 +50,30 @@ def test_contract_columns_and_all_rows(spark, sf_dir, name, monkeypatch):
     assert found.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
 
 
+def test_spelling_columns_and_roots(spark, sf_dir):
+    found = queries.op11_spelling_variants(spark, sf_dir)
+    assert found.dtypes == [("word", "string"), ("form", "string"), ("root", "string"), ("n", "bigint"), ("n_near", "bigint"), ("form_n", "bigint")]
+    rows = {r.word: r for r in found.collect()}
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert {w: r.n for w, r in rows.items()} == slow_words(texts)
+    for r in rows.values():
+        if r.form is None:
+            assert r.root == r.word and r.form_n is None
+        else:
+            assert one_edit(r.word, r.form) and rows[r.form].n == r.form_n >= 2 * r.n and r.root == rows[r.form].root and r.n_near > 0
+    # All words one edit apart share a word with one code point less, or are one.
+    near = {}
+    for w in rows:
+        for key in {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}:
+            near.setdefault(key, []).append(w)
+    pairs = {(a, b) for group in near.values() for a in group for b in group if a < b and one_edit(a, b)}
+    counts = dict.fromkeys(rows, 0)
+    for pair in pairs:
+        for w in pair:
+            counts[w] += 1
+    assert {w: r.n_near for w, r in rows.items()} == counts
+
+
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_query_matches_oracle(spark, sf_dir, name):
     df = queries.QUERIES[name](spark, sf_dir)
