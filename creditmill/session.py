@@ -19,6 +19,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
+    # State of streams beyond the memory of executors.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # The feature projection compiles to one long method, and HotSpot leaves
     # methods above 8000 bytes of bytecode interpreted; with this limit Spark
     # evaluates such a projection in smaller compiled pieces instead.

@@ -16,10 +16,6 @@ from creditmill.plans.load import store_new_rows
 from creditmill.sources.store import LoanStore
 from creditmill.sources.tables import APPLICANTS
 
-_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def first_arrivals(coerced: DataFrame, order: list[str]) -> DataFrame:
     """The earliest row of each fingerprint that no earlier micro-batch had.
 
@@ -45,13 +41,11 @@ def load_first_arrivals(
 ) -> StreamingQuery:
     """Load the first occurrences among all parquet feature files not seen yet, then stop.
 
-    The stored tables are not read again: the fingerprints live in the state of the checkpoint, in RocksDB, which a restarted
-    stream takes up. Files are taken as they arrive; inside a micro-batch the order is file time, file and row. Each
+    The stored tables are not read again: the fingerprints live in the state of the checkpoint, which a restarted
+    stream takes up. ``build_session`` keeps it in RocksDB; other sessions choose their provider themselves. Files are taken as they arrive; inside a micro-batch the order is file time, file and row. Each
     micro-batch is a batch of the store under its own number, so a replay finds it published and does nothing. Rows that
     cannot be stored are passed over.
     """
-    if spark.conf.get(_STATE_STORE, _ROCKS) != _ROCKS and "HDFSBacked" in spark.conf.get(_STATE_STORE):
-        spark.conf.set(_STATE_STORE, _ROCKS)
     schema = schema or spark.read.parquet(landing).schema
     order = {"_time": "file_modification_time", "_file": "file_path", "_row": "row_index"}
     arriving = spark.readStream.schema(schema).parquet(landing)
