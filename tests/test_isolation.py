@@ -23,4 +23,4 @@ def test_entry_without_the_training_operators(tmp_path, left):
     done = subprocess.run([sys.executable, "-c", SHOW], cwd=copy, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
     assert done.returncode == 0, done.stderr
     names, queries, oracles = done.stdout.rsplit(maxsplit=2)
-    assert names == "[]" and int(queries) == int(oracles) > 80
+    assert names == "[]" and int(queries) >= int(oracles) > 80
