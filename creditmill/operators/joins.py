@@ -1,7 +1,7 @@
 """Navigation between the stored tables, as set-based joins.
 
-No join hints: adaptive execution broadcasts a side when its measured size
-allows it and splits the partitions of a parent that most rows point to.
+Adaptive execution broadcasts a side when its measured size allows it and splits the
+partitions of a parent that most rows point to; the only hint is for documents that were counted.
 Columns two tables share get the table's prefix.
 """
 
@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditmill.session import broadcast_up_to
+
+#: Document chunks that are broadcast, counted first; beyond it the join is left to the optimizer.
+BROADCAST_DOCUMENTS = 1_000_000
+
 
 def _keyed(parent: DataFrame, key: str, prefix: str, other: DataFrame) -> DataFrame:
     """Rename the parent's id to the child's foreign key, and clashing columns."""
@@ -50,9 +55,14 @@ def prediction_explanations(predictions: DataFrame, explanations: DataFrame) ->
 def explanation_documents(
     explanations: DataFrame, chunks: DataFrame, documents: DataFrame
 ) -> DataFrame:
-    """The document chunks each explanation used, through the junction table."""
+    """The document chunks each explanation used, through the junction table.
+
+    Links outnumber both other tables by far. They are shuffled once, by explanation, as long as the columns of the
+    documents can be broadcast.
+    """
     links = chunks.drop("id")
-    return links.join(_keyed(documents, "document_id", "document", links), "document_id").join(
+    parents = broadcast_up_to(_keyed(documents, "document_id", "document", links), BROADCAST_DOCUMENTS)
+    return links.join(parents, "document_id").join(
         _keyed(explanations, "explanation_id", "explanation", links), "explanation_id"
     )
 
