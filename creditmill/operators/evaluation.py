@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditmill.operators.ranks import totals_before
+from creditmill.session import stage
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -101,7 +102,7 @@ def rater_agreement(ratings: DataFrame, score: str, panel: Sequence[str] | None
     """Cohen's kappa of every pair of evaluators, on the items both rated.
 
     The evaluators are those of the data, or those of ``panel`` only. An evaluator's repeated ratings of an item count as one,
-    their mean rounded half up; null scores are none. An item's ratings are gathered in its row, as many as it has evaluators,
+    their mean rounded half up; null scores are none. Ratings are shuffled once, by item. An item's ratings are gathered in its row, as many as it has evaluators,
     and paired there; no row meets another one. All later steps work on counts per pair and score. Kappa
     is null when chance alone would give full agreement.
     """
@@ -109,7 +110,8 @@ def rater_agreement(ratings: DataFrame, score: str, panel: Sequence[str] | None
     if panel is not None:
         rated = rated.where(F.col("evaluator_id").isin(*panel))
     kind = ratings.schema[score].dataType
-    once = rated.groupBy("explanation_id", "evaluator_id").agg(F.round(F.avg(score)).cast(kind).alias("x"))
+    placed = rated.select("explanation_id", "evaluator_id", score).repartition("explanation_id")
+    once = placed.groupBy("explanation_id", "evaluator_id").agg(F.round(F.avg(score)).cast(kind).alias("x"))
     gathered = once.groupBy("explanation_id").agg(F.sort_array(F.collect_list(F.struct("evaluator_id", "x"))).alias("own"))
     later = F.flatten(
         F.transform(
@@ -123,11 +125,13 @@ def rater_agreement(ratings: DataFrame, score: str, panel: Sequence[str] | None
         )
     )
     pair = ["rater_a", "rater_b"]
-    cells = (
+    # At most pairs of evaluators times pairs of scores, and read three times below.
+    cells = stage(
         gathered.select(F.explode(later).alias("pair"))
         .select("pair.*")
         .groupBy(*pair, "a", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        "rating-cells",
     )
     totals = cells.groupBy(*pair).agg(
         F.sum("n").alias("items"),
@@ -153,11 +157,13 @@ def krippendorff_alpha(ratings: DataFrame, item: str, rater: str, score: str) ->
     """Krippendorff's alpha for interval scores, any number of raters and missing ratings; one row.
 
     A rater's repeated ratings of an item count as one, their mean. Disagreement within items and overall
-    follows from sums of scores and their squares, so nothing is paired: items are combined before
-    the shuffle and one row reaches the end. Null without two ratings of some item or without any spread.
+    follows from sums of scores and their squares, so nothing is paired: ratings are shuffled once, by item, items are
+    combined where they lie and one row reaches the end. Null without two ratings of some item or without any spread.
     """
     own = (
         ratings.where(F.col(score).isNotNull())
+        .select(item, rater, score)
+        .repartition(item)
         .groupBy(item, rater)
         .agg(F.avg(score).alias("x"))
     )
