@@ -104,3 +104,12 @@ def test_long_evaluators_of_the_rule_check_are_those_of_the_sample(fresh):
     counts = queries.dq_table_rules(fresh).where("table_name = 'evaluator_assessments' AND rule = 'evaluator_id: too long'").first()["row_count"]
     limit = tables.ASSESSMENTS.field("evaluator_id").max_length
     assert counts == fresh.long_evaluators().where(F.length("evaluator_id") > limit).count() > 0
+
+
+def test_terms_of_a_chunk_stay_together(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a b b"), (2, "a c"), (3, None)], "id bigint, t string")
+    few = retrieval.tfidf_weights(rows, "id", "t")
+    assert "Exchange hashpartitioning" not in plan_of(few)
+    monkeypatch.setattr(retrieval, "BROADCAST_VOCABULARY", 0)
+    monkeypatch.setattr(retrieval, "TERM_PART", 1)
+    assert sorted(few.collect()) == sorted(retrieval.tfidf_weights(rows, "id", "t").collect())
