@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.session import stage
+from creditmill.session import broadcast_up_to, stage
 
 # Fixed value: the similarity from which chunks are near duplicates, in hundredths.
 SIMILARITY = 85
 WIDTH = 5
 #: Sets of one block of a shingle.
 BLOCK = 2048
+#: Ids that a join broadcasts, counted first, so that sets stay where they are; beyond it the join is left to the optimizer.
+BROADCAST_IDS = 1_000_000
 
 
 def content_hash(text: Column) -> Column:
@@ -100,11 +102,15 @@ def near_duplicates(chunks: DataFrame, key: str, text: str, hundredths: int = SI
     """
     sets = shingle_sets(chunks, key, text)
     members = classes(sets)
-    heads = sets.where(F.size("shingles") > 0).join(members.where("id = class_id").select("id"), "id", "left_semi")
-    heads = stage(heads.select("id", "shingles"), "shingle-heads")
+    copies = stage(members.groupBy("id").agg(F.max(F.col("id") == F.col("class_id")).alias("head")).where("not head").select("id"), "copies")
+    wordy = sets.where((F.size("shingles") > 0) & F.col("id").isNotNull()).select("id", "shingles")
+    heads = wordy.join(broadcast_up_to(copies, BROADCAST_IDS), "id", "left_anti")
     pairs = stage(candidates(heads, hundredths, block), "candidates")
-    left = heads.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
-    right = heads.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
+    # Only sets of a candidate are moved to be compared.
+    paired = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired")
+    compared = heads.join(broadcast_up_to(paired, BROADCAST_IDS), "id", "left_semi")
+    left = compared.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
+    right = compared.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     met = pairs.join(left, "a").join(right, "b").select(
         "a", "b", shared.cast("bigint").alias("shared"), (F.size("of_a") + F.size("of_b")).alias("n")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from creditmill.catalog import queries, samples
 from creditmill.catalog.samples import Samples
-from creditmill.operators import evaluation, joins, quality, retrieval
+from creditmill.operators import evaluation, joins, quality, retrieval, similar_chunks
 from creditmill.sources import tables
 
 
@@ -113,3 +113,18 @@ def test_terms_of_a_chunk_stay_together(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BROADCAST_VOCABULARY", 0)
     monkeypatch.setattr(retrieval, "TERM_PART", 1)
     assert sorted(few.collect()) == sorted(retrieval.tfidf_weights(rows, "id", "t").collect())
+
+
+def test_only_sets_of_candidates_are_moved_to_be_compared(spark, monkeypatch):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [("a", words), ("b", words + " x"), ("c", words), ("d", "one two three four five six")]
+    frame = spark.createDataFrame(rows, "id string, t string")
+    found = []
+    for limit in (similar_chunks.BROADCAST_IDS, 0):
+        monkeypatch.setattr(similar_chunks, "BROADCAST_IDS", limit)
+        links, _ = similar_chunks.near_duplicates(frame, "id", "t")
+        found.append(sorted(links.collect()))
+    assert found[0] == found[1] and [(r["a"], r["b"]) for r in found[0]] == [("a", "b")]
+    monkeypatch.setattr(similar_chunks, "BROADCAST_IDS", 1_000_000)
+    plan = similar_chunks.near_duplicates(frame, "id", "t")[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "rightHint=(strategy=broadcast)" in plan
