@@ -1,11 +1,13 @@
 """What a query writes and shuffles on the way to its rows."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from creditmill.catalog import queries, samples
 from creditmill.catalog.samples import Samples
-from creditmill.operators import evaluation, joins, quality, retrieval, similar_chunks
+from creditmill.operators import evaluation, joins, output_rules, quality, retrieval, similar_chunks
 from creditmill.sources import tables
 
 
@@ -128,3 +130,36 @@ def test_only_sets_of_candidates_are_moved_to_be_compared(spark, monkeypatch):
     monkeypatch.setattr(similar_chunks, "BROADCAST_IDS", 1_000_000)
     plan = similar_chunks.near_duplicates(frame, "id", "t")[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "rightHint=(strategy=broadcast)" in plan
+
+
+def shuffle_files(spark) -> int:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toString()
+    return files.count(".data")
+
+
+def test_prompts_are_made_in_slices_whose_shuffle_files_are_deleted(fresh, spark, monkeypatch):
+    lines = [(1, 1), (4, None), (7, None), (None, 2), (5, 3), (5, 3), (9, 4), (12, 5)]
+    tables_of = {
+        "lineitem": spark.createDataFrame(lines, "l_orderkey bigint, l_suppkey bigint"),
+        "documents": spark.createDataFrame([(n, f"words of {n}", "s", 10) for n in range(9)], "doc_id bigint, text string, source string, n_chars bigint"),
+    }
+    monkeypatch.setattr(fresh, "table", tables_of.get)
+    texts = fresh.documents().select(F.col("id").alias("document_id"), "chunk_text")
+    whole = output_rules.prompts(fresh.explanation_chunks().join(texts, "document_id"), "explanation_id", "rank", "chunk_text", F.lit("Why was the loan decided so?"), 3)
+    expected = {r["explanation_id"]: r["m"] for r in whole.select("explanation_id", F.md5(F.col("constructed_prompt").cast("binary")).alias("m")).collect()}
+    monkeypatch.setattr(samples, "SLICE", 2)
+    with fresh.pair_slices() as slices:
+        assert len(slices) == 4 and sum(rows.count() for rows in slices) == 7
+    before = shuffle_files(spark)
+    found = queries.constructed_prompts(fresh).collect()
+    assert len(found) == len(expected) == 5 and {r["explanation_id"]: r["prompt_md5"] for r in found} == expected
+    until = time.monotonic() + 30
+    while shuffle_files(spark) > before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before
+
+
+def test_texts_of_prompts_are_not_gathered_before_the_shuffle(spark):
+    chunks = spark.createDataFrame([("a", 1, "one"), ("b", 1, "x")], "q string, rank int, text string")
+    plan = plan_of(output_rules.prompts(chunks, "q", "rank", "text", F.lit("Why?"), 2))
+    assert plan.count("Exchange") == 1 and "partial_collect_list" not in plan.split("Exchange")[1]
