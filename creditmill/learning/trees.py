@@ -171,6 +171,16 @@ def fit_tree(rows: DataFrame, scale: Scale, depth: int = DEPTH) -> list[Node]:
         return grow(own, len(scale.inputs), 1, depth)
 
 
+def fit_without_each_fold(rows: DataFrame, scale: Scale, folds: int, depth: int = DEPTH, fold: str = "fold") -> list[list[Node]]:
+    """For every fold the tree of all other folds, as ``fit_tree`` gives it; all trees are grown in one pass a level."""
+    others = F.filter(F.array(*[F.lit(n) for n in range(folds)]), lambda n: n != F.col(fold))
+    target = F.col("y").cast("double")
+    parts = F.transform(others, lambda n: F.struct(n.alias("tree"), F.lit(1.0).alias("weight"), target.alias("target")))
+    with staged(binned(rows, scale, "y", fold).select("bins", parts.alias("parts")), "fold-rows") as own:
+        nodes = grow(own, len(scale.inputs), folds, depth)
+    return [[n for n in nodes if n.tree == number] for number in range(folds)]
+
+
 def draws(key: Column, tree: int) -> Column:
     """How often a row is drawn for a tree: a Poisson draw of mean one from a hash of its key."""
     u = (key_hash(key, tree, "bootstrap") + 0.5) / float(1 << 32)

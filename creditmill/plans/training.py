@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping
+from contextlib import ExitStack
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditmill.learning import bayes, logistic, scoring, trees
-from creditmill.learning.design import INPUTS, Scale, fit_scale, labelled
+from creditmill.learning.design import INPUTS, Scale, fit_scale, label, labelled
 from creditmill.operators import evaluation, policy, splits
 from creditmill.session import staged
 from creditmill.sources.store import LoanStore
@@ -78,14 +79,17 @@ def _with_bins(rows: DataFrame, scale: Scale) -> DataFrame:
 def out_of_fold(rows: DataFrame, scale: Scale, algorithm: str, folds: int = splits.FOLDS) -> DataFrame:
     """``rows`` with the probability of a model that never saw the row's fold.
 
-    Naive Bayes takes one pass for all folds; the other models are fitted once per fold.
+    Naive Bayes takes one pass for all folds and a tree one pass a level; the other models are fitted once per fold.
     """
     if algorithm == "naive_bayes":
         return bayes.out_of_fold(rows, bayes.fit_without_each_fold(rows, scale))
+    if algorithm == "decision_tree":
+        models = [trees.value(nodes) for nodes in trees.fit_without_each_fold(rows, scale, folds)]
+    else:
+        models = [ALGORITHMS[algorithm](rows.where(F.col("fold") != number), scale).probability for number in range(folds)]
     chosen = F.lit(None).cast("double")
-    for number in range(folds):
-        model = ALGORITHMS[algorithm](rows.where(F.col("fold") != number), scale)
-        chosen = F.when(F.col("fold") == number, model.probability).otherwise(chosen)
+    for number, probability in enumerate(models):
+        chosen = F.when(F.col("fold") == number, probability).otherwise(chosen)
     return rows.withColumn("probability", chosen)
 
 
@@ -106,22 +110,25 @@ def train_and_score(
 ) -> tuple[DataFrame, DataFrame]:
     """(models, predictions) as stored: a row per algorithm with cross-validated scores, and every applicant by every model.
 
-    The model of the highest cross-validated AUC is the champion, of equal ones the first by name. All rows are read by the passes of
-    the fits, never collected; the driver holds coefficients, splits and the bounded sums they come from.
+    The model of the highest cross-validated AUC is the champion, of equal ones the first by name. Inputs are standardised once, into
+    a scratch table that the passes of the fits read, and so are the out-of-fold probabilities of a model; no rows are collected and the driver holds coefficients, splits and the bounded sums they come from.
     """
     run_ts = run_ts or datetime.now(timezone.utc)
     batch_id = batch_id or f"trained-{run_ts:%Y%m%dT%H%M%S%f}"
     spark = store.spark
-    with staged(training_rows(store), "training") as stored:
-        own = labelled(stored)
-        scale = fit_scale(own)
-        rows = _with_bins(scale.standardised(own, "id", "y", "person_gender"), scale).withColumn("fold", splits.fold(F.col("id")))
-        every = _with_bins(scale.standardised(stored, "id"), scale)
+    with ExitStack() as kept:
+        stored = kept.enter_context(staged(training_rows(store), "training"))
+        scale = fit_scale(labelled(stored))
+        inputs = scale.standardised(stored.withColumns({"y": label(), "fold": splits.fold(F.col("id"))}), "id", "y", "person_gender", "fold")
+        every = _with_bins(kept.enter_context(staged(inputs, "training-inputs")), scale)
+        rows = every.where("y is not null")
         made, models = [], {}
         for algorithm in algorithms:
             model = ALGORITHMS[algorithm](rows, scale)
             models[algorithm] = model
-            made.append(model_row(out_of_fold(rows, scale, algorithm), algorithm, model.hyperparameters, run_ts))
+            unseen = out_of_fold(rows, scale, algorithm).select("fold", "y", "person_gender", "probability")
+            with staged(unseen, "out-of-fold") as scored:
+                made.append(model_row(scored, algorithm, model.hyperparameters, run_ts))
         best = min(made, key=lambda r: (-(r[7] if r[7] is not None else -1.0), r[0]))[0]
         described = spark.createDataFrame(
             [(*r, r[0] == best) for r in made],

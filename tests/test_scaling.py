@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from creditmill.catalog import queries, samples
 from creditmill.catalog.samples import Samples
-from creditmill.operators import evaluation, joins, output_rules, quality, retrieval, similar_chunks
+from creditmill.learning import trees
+from creditmill.learning.design import Scale
+from creditmill.operators import coercion, evaluation, joins, output_rules, quality, retrieval, similar_chunks
+from creditmill.plans import training
+from creditmill.plans.feature_table import build_feature_table
 from creditmill.sources import tables
 
 
@@ -163,3 +167,37 @@ def test_texts_of_prompts_are_not_gathered_before_the_shuffle(spark):
     chunks = spark.createDataFrame([("a", 1, "one"), ("b", 1, "x")], "q string, rank int, text string")
     plan = plan_of(output_rules.prompts(chunks, "q", "rank", "text", F.lit("Why?"), 2))
     assert plan.count("Exchange") == 1 and "partial_collect_list" not in plan.split("Exchange")[1]
+
+
+def test_trees_of_all_folds_are_grown_together(spark, monkeypatch):
+    names = ("a", "b")
+    rows = spark.range(600).select(
+        "id", (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 5).cast("int").alias("fold"),
+        ((F.col("id") % 7) / 3.0 - 1).alias("a"), ((F.col("id") % 3) - 1.0).alias("b"),
+    )
+    scale = Scale(names, (0.0, 0.0), (1.0, 1.0))
+    grown = []
+    monkeypatch.setattr(trees, "grow", lambda *args, original=trees.grow, **named: grown.append(1) or original(*args, **named))
+    together = training.out_of_fold(rows.withColumn("bins", F.array(*[trees.bin_of(F.col(n)) for n in names])), scale, "decision_tree")
+    assert len(grown) == 1
+    for number, nodes in enumerate(trees.fit_without_each_fold(rows, scale, 5)):
+        alone = trees.fit_tree(rows.where(F.col("fold") != number), scale)
+        assert [{**n.__dict__, "tree": 0} for n in nodes] == [n.__dict__ for n in alone]
+    assert together.where("probability is null").isEmpty()
+
+
+def test_features_read_cleaned_rows_that_are_derived_once(fresh, monkeypatch):
+    passes = []
+    monkeypatch.setattr(samples, "fit_and_engineer", lambda rows, original=samples.fit_and_engineer: passes.append(rows.inputFiles()) or original(rows))
+    rows = fresh.features()
+    assert len(passes) == 1 and all("cleaned-loans" in name for name in passes[0])
+    assert rows.count() == fresh.loan_raw().count()
+
+
+def test_numbers_as_given_are_kept_of_rejects_only(raw):
+    rows = coercion.coerce_loans(build_feature_table(raw({}, {"person_age": "n/a", "person_income": "1e20"}), extra=("row_no",)))
+    found = {r["row_no"]: r for r in coercion.given_of_rejects(rows).select("row_no", "storable", "given_person_income").collect()}
+    assert found[0]["storable"] and found[0]["given_person_income"] is None
+    assert not found[1]["storable"] and found[1]["given_person_income"] == 1e20
+    whole, slim = (coercion.explain_rejects(r.where("not storable")).first()["violations"] for r in (rows, coercion.given_of_rejects(rows)))
+    assert whole == slim and "person_income: out of range" in slim
