@@ -5,7 +5,7 @@ representative and are bounded in rows. A task holds the graph of one shard and
 a slice of all representatives past it. Its beam is widened until an audit passes: planted
 neighbours at the threshold must be found, and for a sample of the real queries the
 links found by brute force. A query whose links fill a good part of its beam is asked again
-with a wider one. Links count only where the cosine in double precision reaches the threshold.
+with a wider one, or compared with the whole shard where that is cheaper. Links count only where the cosine in double precision reaches the threshold.
 A task returns counts per query and spanning links, not its pairs.
 """
 
@@ -23,11 +23,14 @@ from creditmill.llm.components import connected_components
 from creditmill.llm.hnsw import LINKS, Graph
 
 THRESHOLD = 0.9
-#: Bytes that the double vectors of a shard take (in expectation), and the fewest shards.
+#: Bytes that the double vectors of a shard take and rows that it holds (in expectation), and the fewest shards.
 SHARD_BYTES = 128 << 20
+SHARD_ROWS = 65_536
 SHARDS = 4
 #: Share of a shard from which on a beam gives way to comparing the query with all of the shard.
 DENSE = 0.125
+#: The same for a beam wider than the audited one: a place of a beam takes about as long as 1,000 products.
+WIDENED = 1 / 1024
 #: Queries and nodes of one block of such a comparison.
 BLOCK = (256, 16384)
 #: Slices of the queries of each shard; each becomes a task of its own.
@@ -137,15 +140,18 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dots / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
 
 
-def compare_all(vectors: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of all pairs with a cosine of at least the threshold, by products of blocks, verified one by one."""
+def compare_all(vectors: np.ndarray, queries: np.ndarray, threshold: float, units: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of all pairs with a cosine of at least the threshold, by products of blocks, verified one by one.
+
+    ``units`` are the vectors as single-precision rows of length one, where the caller has them.
+    """
     out = [np.zeros((2, 0), np.int64)]
-    own = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    own = _unit(queries)
     for lo in range(0, len(vectors), BLOCK[1]):
         nodes = vectors[lo : lo + BLOCK[1]]
-        units = (nodes / np.linalg.norm(nodes, axis=1, keepdims=True)).T
+        sides = (_unit(nodes) if units is None else units[lo : lo + BLOCK[1]]).T
         for at in range(0, len(own), BLOCK[0]):
-            q, node = np.nonzero(own[at : at + BLOCK[0]] @ units >= threshold - 1e-9)
+            q, node = np.nonzero(own[at : at + BLOCK[0]] @ sides >= np.float32(threshold - 1e-3))
             for part in range(0, len(q), 100_000):
                 a, b = q[part : part + 100_000] + at, node[part : part + 100_000]
                 true = _cosines(queries[a], nodes[b]) >= threshold
@@ -157,14 +163,15 @@ def compare_all(vectors: np.ndarray, queries: np.ndarray, threshold: float) -> t
 def ask(graph: Graph, vectors: np.ndarray, queries: np.ndarray, beam: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) with a cosine of at least the threshold, found with beams of at least ``beam``.
 
-    A query whose links fill its beam gets a wider one; once that is DENSE of the shard it is compared with all of it.
+    A query whose links fill its beam gets a wider one; once that is DENSE of the shard, or WIDENED for a beam above the
+    given one, it is compared with all of it.
     """
     units = _unit(queries)
-    left, out = np.arange(len(queries)), []
+    left, out, given = np.arange(len(queries)), [], beam
     while len(left):
         size = min(beam, len(vectors))
-        if size > BEAM and size >= DENSE * len(vectors):
-            q, node = compare_all(vectors, queries[left], threshold)
+        if size > BEAM and size >= (DENSE if beam == given else WIDENED) * len(vectors):
+            q, node = compare_all(vectors, queries[left], threshold, graph.vectors)
             out.append(np.stack([left[q], node]))
             break
         ids, sims = graph.search(units[left], size)
@@ -281,8 +288,8 @@ def near_vectors(
         rows.where("usable").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")),
         "classes",
     )
-    size = classes.agg(F.coalesce(F.sum(F.size("vector").cast("bigint") * 8), F.lit(0))).first()[0]
-    shards = max(SHARDS, -(-size // SHARD_BYTES))
+    count, size = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("vector").cast("bigint") * 8), F.lit(0))).first()
+    shards = max(SHARDS, -(-size // SHARD_BYTES), -(-count // SHARD_ROWS))
     wide = classes.select("rep", "n", F.size("vector").alias("dim"), "vector")
     kind = classes.schema["vector"].dataType.simpleString()
     shard = F.pmod(F.xxhash64("rep"), F.lit(shards))

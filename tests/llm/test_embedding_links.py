@@ -124,3 +124,41 @@ def test_block_products_equal_all_pairs(monkeypatch):
     q, node = embedding_links.compare_all(rows, rows[:50], 0.9)
     unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
     assert sorted(zip(q.tolist(), node.tolist())) == [(int(a), int(b)) for a, b in np.argwhere(unit[:50] @ unit.T >= 0.9)]
+
+
+def test_a_widened_beam_gives_way_to_products_before_it_costs_more(monkeypatch):
+    r = np.random.default_rng(9)
+    group = r.normal(size=(1, 16)) + 0.02 * r.normal(size=(300, 16))
+    rows = np.concatenate([group, r.normal(size=(9000, 16))])
+    graph = Graph.build((rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32))
+    beams = []
+    monkeypatch.setattr(Graph, "search", lambda self, queries, beam, layer=0, original=Graph.search: beams.append(beam) or original(self, queries, beam, layer))
+    q, node = embedding_links.ask(graph, rows, rows[:20], embedding_links.BEAM, 0.9)
+    assert beams == [embedding_links.BEAM]
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    assert sorted(zip(q.tolist(), node.tolist())) == [(int(a), int(b)) for a, b in np.argwhere(unit[:20] @ unit.T >= 0.9)]
+
+
+def test_a_narrow_beam_finds_planted_neighbours_of_a_large_shard():
+    r = np.random.default_rng(10)
+    unit = r.normal(size=(12_000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    graph = Graph.build(unit.astype(np.float32))
+    own = unit[:400]
+    noise = r.normal(size=own.shape)
+    noise -= (noise * own).sum(1, keepdims=True) * own
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    planted = (0.901 * own + np.sqrt(1 - 0.901**2) * noise).astype(np.float32)
+    ids, _ = graph.search(planted, embedding_links.BEAM)
+    assert (ids == np.arange(400)[:, None]).any(axis=1).mean() > 0.99
+
+
+def test_shards_are_bounded_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(embedding_links, "SHARD_ROWS", 10)
+    written = []
+    monkeypatch.setattr(embedding_links, "stage", lambda df, label, original=embedding_links.stage: written.append((label, original(df, label))) or written[-1][1])
+    rows = clouds(50, 4, 6, groups=5)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links.near_vectors(frame).collect()}
+    assert found == slow([(i, v.tolist()) for i, v in enumerate(rows)])
+    assert dict(written)["graph"].select("unit").distinct().count() > 4
