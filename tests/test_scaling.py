@@ -1,5 +1,6 @@
 """What a query writes and shuffles on the way to its rows."""
 
+import math
 import time
 
 import pytest
@@ -201,3 +202,35 @@ def test_numbers_as_given_are_kept_of_rejects_only(raw):
     assert not found[1]["storable"] and found[1]["given_person_income"] == 1e20
     whole, slim = (coercion.explain_rejects(r.where("not storable")).first()["violations"] for r in (rows, coercion.given_of_rejects(rows)))
     assert whole == slim and "person_income: out of range" in slim
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 2, 0])
+def test_vectors_are_the_same_whichever_terms_are_broadcast(spark, monkeypatch, limit):
+    monkeypatch.setattr(retrieval, "BROADCAST_VOCABULARY", limit)
+    rows = [("a", "x y y"), ("a", "y z"), (None, "x q"), (None, "x"), ("b", "only here"), ("c", "x"), ("d", None), ("e", "12")]
+    frame = spark.createDataFrame(rows, "id string, t string")
+    counts = {"a": {"x": 1, "y": 3, "z": 1}, None: {"x": 2, "q": 1}, "b": {"only": 1, "here": 1}, "c": {"x": 1}}
+    df = {t: sum(t in own for own in counts.values()) for own in counts.values() for t in own}
+    found = {r["id"]: r["tfidf_vector"] for r in retrieval.tfidf_vectors(frame, "id", "t").collect()}
+    assert found.keys() == counts.keys()
+    for key, own in counts.items():
+        weights = {t: n * (math.log(7 / (1 + df[t])) + 1) for t, n in own.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        assert found[key] == pytest.approx({t: w / norm for t, w in weights.items()})
+
+
+def test_weights_of_common_terms_are_not_shuffled(spark, monkeypatch):
+    rows = spark.createDataFrame([(n, f"a b w{'x' * n}") for n in range(9)], "id bigint, t string")
+    monkeypatch.setattr(retrieval, "BROADCAST_VOCABULARY", 3)
+    own = retrieval.vocabulary(rows, "id", "t")
+    assert sorted(r["term"] for r in own.common.collect()) == ["a", "b"] and own.rare.count() == 9
+    plan = plan_of(retrieval.weighted_terms(own, "id"))
+    # What is joined with the broadcast idf has been shuffled as lists, before their terms became rows.
+    common = plan.split("SortMergeJoin")[1] if "SortMergeJoin" in plan else plan
+    assert common.index("BroadcastHashJoin") < common.index("Generate") < common.index("Exchange hashpartitioning")
+
+
+def test_the_length_of_a_chunk_is_summed_once(spark):
+    rows = spark.createDataFrame([("a", "x y y")], "id string, t string")
+    plan = retrieval.tfidf_vectors(rows, "id", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_repeat(SQRT(aggregate" in plan and plan.count("SQRT(aggregate") == 1
