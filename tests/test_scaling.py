@@ -234,3 +234,23 @@ def test_the_length_of_a_chunk_is_summed_once(spark):
     rows = spark.createDataFrame([("a", "x y y")], "id string, t string")
     plan = retrieval.tfidf_vectors(rows, "id", "t")._jdf.queryExecution().optimizedPlan().toString()
     assert "array_repeat(SQRT(aggregate" in plan and plan.count("SQRT(aggregate") == 1
+
+
+def test_links_are_joined_in_slices_whose_shuffle_files_are_deleted(fresh, spark, monkeypatch):
+    lines = [(1, 1), (4, None), (7, None), (None, 2), (5, 3), (5, 3), (9, 4), (12, 5)]
+    tables_of = {
+        "lineitem": spark.createDataFrame(lines, "l_orderkey bigint, l_suppkey bigint"),
+        "documents": spark.createDataFrame([(n, f"words of {n}", "s", 10) for n in range(9)], "doc_id bigint, text string, source string, n_chars bigint"),
+    }
+    monkeypatch.setattr(fresh, "table", tables_of.get)
+    monkeypatch.setattr(joins, "BROADCAST_DOCUMENTS", 0)
+    whole = queries.join_explanation_documents(fresh)
+    expected = sorted(whole.collect())
+    monkeypatch.setattr(samples, "LINK_SLICE", 2)
+    before = shuffle_files(spark)
+    found = queries.join_explanation_documents(fresh)
+    assert found.columns == whole.columns and sorted(found.collect()) == expected and len(expected) > 5
+    until = time.monotonic() + 30
+    while shuffle_files(spark) > before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before
